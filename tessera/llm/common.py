@@ -52,3 +52,13 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, by: str | None = None
     for value, n in counts.items():
         rate = F.when(F.col(by) == F.lit(value), int((1 << 20) * min(1.0, share / n))).otherwise(rate)
     return df.where(unit < rate)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, bound: int) -> DataFrame:
+    """(label, text) of about `bound` labelled documents; labels other than 0 and 1 are left out, a null text counts as empty.
+
+    The labels are sampled by a hash of the id first. Their number is bounded, so they are broadcast and no text is shuffled.
+    """
+    known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and _id is not null")
+    chosen = bounded_sample(known, F.col("_id"), bound)
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text")

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read
+from tessera.llm import language, quality, toxicity
+from tessera.llm.common import read, remainder
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.mixing import mix_sources
 
@@ -21,8 +22,34 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["copy"].cast("string"), x["words"].cast("string"))), ",").alias("draws"))
 
 
+def held_out(modulus: int, value: int) -> Column:
+    """Whether crc32 of the id as text leaves that remainder; false for a null id."""
+    return F.coalesce(remainder("doc_id", modulus) == value, F.lit(False))
+
+
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = language.fit(docs.where(~held_out(4, 2)))
+    return language.identify(docs.select("doc_id", "text"), model).selectExpr("*", "row.doc_id").select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.score(docs, quality.fit(docs, read(spark, sf_dir, "labels").where(~held_out(4, 2)), "quality"))
+    return scored.selectExpr("*", "row.doc_id").select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score(docs, toxicity.fit(docs, read(spark, sf_dir, "labels").where(~held_out(5, 0)), "toxic"))
+    return scored.selectExpr("*", "row.doc_id").select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
+    "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
+    "op5_toxicity": op5_toxicity,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

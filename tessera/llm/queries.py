@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessera.llm import language, quality, toxicity
 from tessera.llm.common import read, remainder
 from tessera.llm.exact_dedup import exact_dedup
+from tessera.llm.minhash import Near, near_dedup
 from tessera.llm.mixing import mix_sources
 
 
@@ -45,11 +46,16 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.selectExpr("*", "row.doc_id").select("doc_id", held_out(5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup(read(spark, sf_dir, "documents"), params=Near(words=2)).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 

@@ -12,6 +12,7 @@ from tessera.llm.common import read, remainder
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import Near, near_dedup
 from tessera.llm.mixing import mix_sources
+from tessera.llm.substrings import remove_repeats
 
 
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,9 +51,14 @@ def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(read(spark, sf_dir, "documents"), params=Near(words=2)).withColumnRenamed("id", "doc_id")
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(read(spark, sf_dir, "documents")).drop("removed").withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
     "op9_near_dedup": op9_near_dedup,

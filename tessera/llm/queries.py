@@ -12,6 +12,7 @@ from tessera.llm.common import read, remainder
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import Near, near_dedup
 from tessera.llm.mixing import mix_sources
+from tessera.llm.neighbours import near_vectors
 from tessera.llm.substrings import remove_repeats
 
 
@@ -55,12 +56,17 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(read(spark, sf_dir, "documents")).drop("removed").withColumnRenamed("id", "doc_id")
 
 
+def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op8_embedding_dedup": op8_embedding_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }

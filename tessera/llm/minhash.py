@@ -271,3 +271,15 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     out = signed.select("id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")
     component = F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id"))
     return out.select("id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+
+
+def drop_near(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Near = Near(), max_bits: int = 1 << 30) -> DataFrame:
+    """df without the rows that near_dedup does not keep. A bitmap of the dropped ids lets all other rows pass without a shuffle."""
+    gone = cut(near_dedup(df, id_col, text_col, params).where("not kept").select(F.col("id").alias("_gone")).distinct())
+    n_bits = min(max_bits, max(1 << 15, 32 * gone.count()))
+    marks = gone.select(F.explode(F.array(*cells(F.col("_gone"), n_bits, 2))).alias("cell")).distinct()
+    bitmaps = marks.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(id_col).cast("long").alias("_id"))
+    marked = possibly_repeated(packed, "_id", cut(bitmaps), n_bits)
+    rest = marked.where("maybe").join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    return marked.where("not maybe").unionByName(rest).select("row.*")

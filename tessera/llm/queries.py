@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, quality, toxicity
+from tessera.llm import language, pieces, quality, secrets, toxicity
 from tessera.llm.common import read, remainder
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import Near, near_dedup
@@ -60,12 +60,24 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_vectors(read(spark, sf_dir, "embeddings")).withColumnRenamed("id", "vec_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scanned = secrets.digest(secrets.scan(docs, secrets.fit(docs)))
+    return scanned.selectExpr("row.doc_id as doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
     "op3_suffix_dedup": op3_suffix_dedup,
     "op4_mixing": op4_mixing,
     "op5_toxicity": op5_toxicity,
+    "op6_secrets": op6_secrets,
+    "op7_sentencepiece": op7_sentencepiece,
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,

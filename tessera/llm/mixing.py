@@ -38,27 +38,35 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, most:
     return s.select("source", "source_size", F.when(level.isNull(), F.col("cap")).otherwise(F.least(F.col("cap"), level * F.col("weight"))).alias("target"))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def hypergeometric(take: Column, marked: Column, total: Column, u: Column) -> Column:
     """How many of `marked` among `total` blocks are in a draw of `take`, by inverting the distribution at u.
 
-    The weights start at 1 at the mode and follow the ratio of neighbouring terms, so no factorial is needed.
+    Terms follow from the ratio of neighbours, so no factorial is needed; those more than 12 standard deviations from the
+    mode, of weight below 1e-30, are left out. Two folds over the terms: their sum, then the place where it passes u.
     """
-    low, high = F.greatest(F.lit(0), take + marked - total), F.least(take, marked)
-    mode = F.least(high, F.greatest(low, F.floor((take + 1) * (marked + 1) / (total + 2))))
-    step = lambda k: (marked - k) * (take - k) / ((k + 1) * (total - marked - take + k + 1))  # noqa: E731  weight(k + 1) / weight(k)
-    pair = lambda k, v: F.struct(k.cast("double").alias("k"), v.cast("double").alias("v"))
-    grow = lambda seq, f: F.aggregate(seq, F.array(pair(mode, F.lit(1.0))), lambda a, k: F.concat(a, F.array(f(F.element_at(a, -1), k))))
-    up = F.when(mode < high, F.sequence(mode + 1, high)).otherwise(F.array().cast("array<bigint>"))
-    down = F.when(mode > low, F.sequence(mode - 1, low, F.lit(-1))).otherwise(F.array().cast("array<bigint>"))
-    right = grow(up, lambda last, k: pair(k, last["v"] * step(k - 1)))
-    left = grow(down, lambda last, k: pair(k, last["v"] / step(k)))
-    terms = F.concat(F.reverse(F.slice(left, F.lit(2), F.size(left))), right)
-    mass = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x["v"])
-    found = F.aggregate(
-        terms, F.struct(F.lit(0.0).alias("sum"), F.lit(-1.0).alias("k")),
-        lambda a, x: F.struct((a["sum"] + x["v"]).alias("sum"), F.when((a["k"] < 0) & (a["sum"] + x["v"] > u * mass), x["k"]).otherwise(a["k"]).alias("k")),
-    )["k"]
-    return F.when(found < 0, high).otherwise(found).cast("long")
+    one = F.lit(1.0)
+    mode = lambda c: F.floor((c["t"] + 1) * (c["m"] + 1) / (c["n"] + 2))
+    wide = lambda c: F.ceil(12 * F.sqrt(c["t"] * (c["m"] / c["n"]) * (1 - c["m"] / c["n"])) + 12)
+
+    def ends(c: Column) -> Column:
+        least, most = F.greatest(F.lit(0), c["t"] + c["m"] - c["n"]), F.least(c["t"], c["m"])
+        return F.struct(c["t"].alias("t"), c["m"].alias("m"), c["n"].alias("n"), F.least(most, F.greatest(least, mode(c) - wide(c))).cast("long").alias("low"), F.greatest(least, F.least(most, mode(c) + wide(c))).cast("long").alias("high"))
+
+    def draw(c: Column) -> Column:
+        step = lambda k: (c["m"] - k) * (c["t"] - k) / ((k + 1) * (c["n"] - c["m"] - c["t"] + k + 1))  # noqa: E731  weight(k + 1) / weight(k)
+        after = lambda a, k: F.when(k < c["high"], a["v"] * step(k)).otherwise(a["v"])
+        terms = F.sequence(c["low"], c["high"])
+        mass = F.aggregate(terms, F.struct(one.alias("v"), F.lit(0.0).alias("sum")), lambda a, k: F.struct(after(a, k).alias("v"), (a["sum"] + a["v"]).alias("sum")))["sum"]
+        start = F.struct(one.alias("v"), F.lit(0.0).alias("sum"), F.lit(-1).cast("long").alias("k"))
+        found = lambda goal: F.aggregate(terms, start, lambda a, k: F.struct(after(a, k).alias("v"), (a["sum"] + a["v"]).alias("sum"), F.when((a["k"] < 0) & (a["sum"] + a["v"] > goal), k).otherwise(a["k"]).alias("k")))["k"]
+        return let(let(u * mass, found), lambda k: F.when(k < 0, c["high"]).otherwise(k))
+
+    return let(let(F.struct(take.cast("long").alias("t"), marked.cast("long").alias("m"), total.cast("long").alias("n")), ends), draw)
 
 
 def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
@@ -74,7 +82,7 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
 
         def draw(a, x):
             n = hypergeometric(a["take"], x["quota"], a["left"], unit(F.lit(seed), F.lit(at), F.col("node"), x["source_no"]))  # noqa: B023  used within this pass
-            return F.struct((a["left"] - x["quota"]).alias("left"), (a["take"] - n).alias("take"), F.concat(a["out"], F.array(n)).alias("out"))
+            return let(n, lambda n: F.struct((a["left"] - x["quota"]).alias("left"), (a["take"] - n).alias("take"), F.concat(a["out"], F.array(n)).alias("out")))
 
         start = F.struct(F.col("total").alias("left"), F.floor((F.col("total") + F.col("node") % 2) / 2).alias("take"), F.array().cast("array<bigint>").alias("out"))
         level = level.select("node", "has", total.alias("total")).select("node", "has", F.aggregate("has", start, draw)["out"].alias("left"))

@@ -51,7 +51,7 @@ def hypergeometric(take: Column, marked: Column, total: Column, u: Column) -> Co
     """
     one = F.lit(1.0)
     mode = lambda c: F.floor((c["t"] + 1) * (c["m"] + 1) / (c["n"] + 2))
-    wide = lambda c: F.ceil(12 * F.sqrt(c["t"] * (c["m"] / c["n"]) * (1 - c["m"] / c["n"])) + 12)
+    wide = lambda c: F.ceil(12 * F.sqrt(c["t"] * (c["m"] / F.greatest(F.lit(1), c["n"])) * (1 - c["m"] / F.greatest(F.lit(1), c["n"]))) + 12)
 
     def ends(c: Column) -> Column:
         least, most = F.greatest(F.lit(0), c["t"] + c["m"] - c["n"]), F.least(c["t"], c["m"])

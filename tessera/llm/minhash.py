@@ -81,6 +81,15 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
     return h[order], owner[order]
 
 
+def sets_of(texts: pd.Series, p: Near) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct shingle hashes of each text, one text after the other, and their n + 1 offsets."""
+    data, offsets = k.bytes_of(pa.array(texts, pa.string()))
+    h, owner = shingles(data, offsets, p.words)
+    at = np.searchsorted(owner, np.arange(len(texts) + 1))
+    own = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(texts))]
+    return np.concatenate([np.zeros(0, np.uint64), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
+
+
 def signatures(docs: DataFrame, p: Near) -> DataFrame:
     """(id, text) to (id, n_shingles, set_a, set_b, sig): the set's size, 128 bits that name it, and its MinHash signature."""
     times, plus = p.coefficients()
@@ -144,10 +153,10 @@ def alive(x: np.ndarray, y: np.ndarray, p: Near, least: np.ndarray) -> tuple[np.
 
 
 def plausible(pairs: DataFrame, signed: DataFrame, p: Near) -> DataFrame:
-    """Sequential Bayesian verification of pairs (a, b): those whose signatures leave the similarity possible."""
+    """Sequential Bayesian verification of pairs (a, b): those whose sizes and signatures leave the similarity possible."""
     least = p.least_matches()
-    side = signed.select("id", "sig")
-    both = pairs.join(side.select(F.col("id").alias("a"), F.col("sig").alias("sig_a")), "a").join(side.select(F.col("id").alias("b"), F.col("sig").alias("sig_b")), "b")
+    side = lambda x: signed.select(F.col("id").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("sig").alias(f"sig_{x}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= p.percent * F.greatest("n_a", "n_b"))
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -158,27 +167,28 @@ def plausible(pairs: DataFrame, signed: DataFrame, p: Near) -> DataFrame:
     return both.select("a", "b", "sig_a", "sig_b").mapInArrow(check, "a long, b long")
 
 
+def texts_of(docs: DataFrame, ids: DataFrame, max_bits: int) -> DataFrame:
+    """docs(id, text) of ids(id). A bitmap of the ids (at most max_bits) keeps other texts out of the shuffle that follows."""
+    n_bits = min(max_bits, max(1 << 15, 32 * ids.count()))
+    marks = ids.select(F.explode(F.array(*cells(F.col("id"), n_bits, 2))).alias("cell")).distinct()
+    bitmaps = marks.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
+    return possibly_repeated(docs, "id", cut(bitmaps), n_bits).where("maybe").select("id", "text")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, p: Near, max_bits: int = 1 << 30) -> DataFrame:
     """Pairs (a, b) whose full shingle sets reach the similarity.
 
-    A bitmap of the ids in pairs (at most max_bits) keeps other texts out of the shuffle. The partners of an a are dealt to
-    groups of about 64, each with one copy of a's text.
+    The partners of an a are dealt to groups of about 64, each with one copy of a's text.
     """
     pairs = cut(pairs)
     size = pairs.groupBy("a").agg(F.ceil(F.count("*") / 64).alias("parts"))
     dealt = pairs.join(size, "a").select("a", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"), "b")
     needs = dealt.select("a", "part", F.col("b").alias("id")).unionByName(dealt.select("a", "part", F.col("a").alias("id")).distinct())
-    n_bits = min(max_bits, max(1 << 15, 32 * pairs.count()))
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id"))
-    marks = ids.select(F.explode(F.array(*cells(F.col("id"), n_bits, 2))).alias("cell")).distinct()
-    bitmaps = marks.groupBy(F.bitmap_bucket_number("cell").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("cell")).alias("bits"))
-    texts = possibly_repeated(docs, "id", cut(bitmaps), n_bits).where("maybe").select("id", "text")
+    texts = texts_of(docs, pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct(), max_bits)
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        data, offsets = k.bytes_of(pa.array(group["text"]))
-        h, owner = shingles(data, offsets, p.words)
-        at = np.searchsorted(owner, np.arange(len(group) + 1))
-        sets = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(group))]
+        h, at = sets_of(group["text"], p)
+        sets = [h[at[i] : at[i + 1]] for i in range(len(group))]
         hub = sets[int(np.flatnonzero(group["id"] == key[0])[0])]
         common = [len(np.intersect1d(hub, s, assume_unique=True)) for s in sets]
         near = [100 * c >= p.percent * (len(hub) + len(s) - c) for c, s in zip(common, sets, strict=True)]
@@ -188,44 +198,73 @@ def verified(pairs: DataFrame, docs: DataFrame, p: Near, max_bits: int = 1 << 30
     return needs.join(texts, "id").groupBy("a", "part").applyInPandas(compare, "a long, b long")
 
 
-def unsettled(members: DataFrame, signed: DataFrame, p: Near, most: int | None) -> DataFrame:
-    """Plausible pairs (a, b, more) between different components of one bucket, other than those of its hub's component among themselves.
+def unsettled(members: DataFrame, signed: DataFrame, docs: DataFrame, p: Near, max_bits: int = 1 << 30) -> DataFrame:
+    """Links (a, b) between different components of one bucket, other than those of its hub's component among themselves.
 
-    members(bucket, id, component_id, hub_component). Members outside the hub's component meet all others of the bucket,
-    in blocks; a pair is compared only in the first band that it shares. Each such member keeps its `most` best partners
-    of a block, and `more` tells whether there were others.
+    members(bucket, id, component_id, hub_component). Members outside the hub's component (free ones) meet all others of the
+    bucket, in blocks of free ones by blocks of all. First come the signatures: who has no partner that the posterior leaves
+    possible goes. The others meet once more in their block with their texts, and their full sets are compared. Of a member's
+    links into one component the first is returned, so neither step's result is larger than its input.
     """
     least = p.least_matches()
     rows = members.withColumn("free", F.col("component_id") != F.col("hub_component"))
     mixed = rows.groupBy("bucket").agg(F.count_if("free").alias("n_free"), F.count("*").alias("n")).where("n_free > 0")
-    rows = rows.join(mixed, "bucket").join(signed.select("id", "sig"), "id")
+    rows = rows.join(mixed, "bucket").join(signed.select("id", "n_shingles", "sig"), "id")
     across = lambda n: F.ceil(F.col(n) / p.block)
     dealt = lambda n: F.pmod(F.xxhash64("id"), across(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), across(n) - 1))
     asks = rows.where("free").withColumn("ask", dealt("n_free")).withColumn("tell", every("n")).withColumn("asks", F.lit(True))
     tells = rows.withColumn("tell", dealt("n")).withColumn("ask", every("n_free")).withColumn("asks", F.lit(False))
-    take = ["bucket", "ask", "tell", "asks", "id", "component_id", "free", "sig"]
+    block, take = ["bucket", "ask", "tell"], ["bucket", "ask", "tell", "asks", "id", "component_id", "free"]
+
+    def sides(group: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+        return group[group["asks"]], group[~group["asks"]]
+
+    def others(x: pd.DataFrame, y: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
+        """For each asking row the rows of y in other components; of two free rows, one asks."""
+        y_id, y_part, y_free = y["id"].to_numpy(), y["component_id"].to_numpy(), y["free"].to_numpy()
+        for i, (own, part) in enumerate(zip(x["id"], x["component_id"], strict=True)):
+            yield i, np.flatnonzero((y_part != part) & (~y_free | (y_id > own)))
+
+    def prune(group: pd.DataFrame) -> pd.DataFrame:
+        x, y = sides(group)
+        keep_x, keep_y = np.zeros(len(x), bool), np.zeros(len(y), bool)
+        if len(x) and len(y):
+            sx, sy, nx, ny = unpacked(x["sig"].tolist(), p), unpacked(y["sig"].tolist(), p), x["n_shingles"].to_numpy(), y["n_shingles"].to_numpy()
+            for i, rest in others(x, y):
+                rest = rest[100 * np.minimum(ny[rest], nx[i]) >= p.percent * np.maximum(ny[rest], nx[i])]
+                left, _ = alive(np.broadcast_to(sx[i], (len(rest), p.hashes)), sy[rest], p, least)
+                keep_x[i] = len(left) > 0
+                keep_y[rest[left]] = True
+        return pd.concat([x[keep_x], y[keep_y]])[take]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y = group[group["asks"]], group[~group["asks"]]
-        out = []
+        x, y = sides(group)
+        a, b = [], []
         if len(x) and len(y):
-            sx, sy = unpacked(x["sig"].tolist(), p), unpacked(y["sig"].tolist(), p)
-            kx, ky = band_keys(sx, p), band_keys(sy, p)
-            bucket = np.int64(group["bucket"].iloc[0]).view(np.uint64)
-            band = int(np.flatnonzero((kx[0] == bucket))[0])
-            y_id, y_part, y_free = y["id"].to_numpy(), y["component_id"].to_numpy(), y["free"].to_numpy()
-            for i, (own, part) in enumerate(zip(x["id"], x["component_id"], strict=True)):
-                rest = np.flatnonzero((y_part != part) & (~y_free | (y_id > own)))
-                if band:
-                    rest = rest[~(ky[rest, :band] == kx[i, :band]).any(axis=1)]
-                keep, matches = alive(np.broadcast_to(sx[i], (len(rest), p.hashes)), sy[rest], p, least)
-                best = np.lexsort((y_id[rest[keep]], -matches))
-                chosen = rest[keep[best[:most]]]
-                out.append(pd.DataFrame({"a": np.minimum(own, y_id[chosen]), "b": np.maximum(own, y_id[chosen]), "more": most is not None and len(keep) > most}))
-        return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "more": []}).astype({"a": "int64", "b": "int64", "more": bool})
-
-    return asks.select(take).unionByName(tells.select(take)).groupBy("bucket", "ask", "tell").applyInPandas(compare, "a long, b long, more boolean")
+            h, at = sets_of(group["text"], p)
+            n, number = np.diff(at), np.unique(h, return_inverse=True)[1]
+            rows_x, rows_y = np.flatnonzero(group["asks"]), np.flatnonzero(~group["asks"])
+            flat = np.concatenate([number[at[j] : at[j + 1]] for j in rows_y])
+            begin = np.concatenate([[0], np.cumsum(n[rows_y])[:-1]])
+            held = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+            y_id, y_part = y["id"].to_numpy(), y["component_id"].to_numpy()
+            for i, rest in others(x, y):
+                own = number[at[rows_x[i]] : at[rows_x[i] + 1]]
+                held[own] = 1
+                common = np.add.reduceat(held[flat], begin)
+                held[own] = 0
+                near = rest[100 * common[rest] >= p.percent * (len(own) + n[rows_y[rest]] - common[rest])]
+                near = near[np.unique(y_part[near], return_index=True)[1]]
+                a += [x["id"].iloc[i]] * len(near)
+                b += y_id[near].tolist()
+        return pd.DataFrame({"a": a, "b": b}).astype("int64")
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"ask": "long", "tell": "long", "asks": "boolean"}
+    more = [*take, "n_shingles", "sig"]
+    left = cut(asks.select(more).unionByName(tells.select(more)).groupBy(block).applyInPandas(prune, ", ".join(f"{c} {kinds[c]}" for c in take)))
+    texts = texts_of(docs, left.select("id").distinct(), max_bits)
+    return left.join(texts, "id").groupBy(block).applyInPandas(compare, "a long, b long")
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", params: Near = Near()) -> DataFrame:
@@ -237,35 +276,29 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     on the full sets. component_id is the smallest id reachable over links, kept whether that is the row itself.
     Rows that repeat an id and its text share a decision; null ids link with nothing. An empty table gives an empty result.
 
-    Equal sets are one class and act as one text from then on. Members of a band's bucket are first compared with its
-    smallest id; what stays outside that one's component meets all other components of its buckets, so groups of
-    near-copies cost about their size, and no candidate link between different components is left out.
+    Equal sets are one class and act as one text from then on. A text is first compared with one hub, of the smallest ids of
+    its buckets the one that it shares most with. What is then outside a bucket's hub's component meets all other components
+    of that bucket (in a bucket of two: its hub), so groups of near-copies cost about their size, and no candidate
+    link between different components is left out.
     """
     p = params
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(signatures(docs, p))
     classes = signed.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = cut(classes)
-    reps = classes.select(F.col("rep").alias("id"), "sig")
+    reps = classes.select(F.col("rep").alias("id"), "n_shingles", "sig")
     dealt = buckets(reps, p)
     hubs = cut(dealt.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
     members = cut(dealt.join(hubs, "bucket"))
-    pairs = members.where("id <> hub").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct()
-    links = cut(verified(plausible(pairs, reps, p), docs, p))
-    tried = None
-    for most in (16, None):
-        parts = cut(components(links))
-        named = members.where("n > 2").join(parts, "id", "left").select("bucket", "id", "hub", F.coalesce("component_id", "id").alias("component_id"))
-        named = named.join(parts.select(F.col("id").alias("hub"), F.col("component_id").alias("hub_part")), "hub", "left")
-        found = unsettled(named.select("bucket", "id", "component_id", F.coalesce("hub_part", "hub").alias("hub_component")), reps, p, most)
-        found = cut(found.groupBy("a", "b").agg(F.max("more").alias("more")))
-        fresh = found.join(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti").select("a", "b")
-        if tried is not None:
-            fresh = fresh.join(tried, ["a", "b"], "left_anti")
-        new = cut(verified(fresh, docs, p))
-        links, tried = links.unionByName(new), found.select("a", "b")
-        if not found.where("more").head(1):
-            break
+    pairs = members.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
+    first = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
+    links = cut(verified(plausible(first, reps, p), docs, p))
+    parts = cut(components(links))
+    named = members.join(parts, "id", "left").select("bucket", "id", "hub", "n", F.coalesce("component_id", "id").alias("component_id"))
+    named = named.join(parts.select(F.col("id").alias("hub"), F.col("component_id").alias("hub_component")), "hub", "left").withColumn("hub_component", F.coalesce("hub_component", "hub"))
+    named = cut(named)
+    alone = named.where("n = 2 and component_id <> hub_component").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct().join(first, ["a", "b"], "left_anti")
+    links = links.unionByName(verified(plausible(alone, reps, p), docs, p)).unionByName(unsettled(named.where("n > 2").drop("hub", "n"), reps, docs, p))
     parts = components(links).withColumnRenamed("id", "rep")
     named = classes.join(parts, "rep", "left").select("n_shingles", "set_a", "set_b", F.coalesce("component_id", "rep").alias("component_id"))
     out = signed.select("id", "n_shingles", "set_a", "set_b").join(named, ["n_shingles", "set_a", "set_b"], "left")

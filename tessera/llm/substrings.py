@@ -32,7 +32,7 @@ class Repeats:
     filter_bits: int = 28
     hot_bits: int = 24
     hot: int = 20_000
-    flush: int = 200_000
+    flush: int = 40_000
 
     @property
     def grams(self) -> int:
@@ -107,9 +107,9 @@ def repeated_anchors(docs: DataFrame, p: Repeats) -> tuple[np.ndarray, np.ndarra
 
         for batch in batches:
             data, offsets = k.bytes_of(k.column(batch, "text"))
-            for a, b in k.pieces(offsets, PIECE):
-                held.append(anchors(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], p)[0])
-                if sum(map(len, held)) > 8 * p.flush:
+            for _, low, high, starts in stretches(offsets, p):
+                held.append(anchors(data[low:high], starts, p)[0])
+                if sum(map(len, held)) > 40 * p.flush:
                     yield sent()
         if held:
             yield sent()
@@ -142,10 +142,25 @@ def test(bits: np.ndarray, width: int, h: np.ndarray) -> np.ndarray:
 
 
 def gather(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The ranges of data, one after the other, and their offsets."""
+    """The ranges of data, one after the other, and their offsets; in runs of about a MB, as each byte needs an index meanwhile."""
     length = end - start
     at = np.concatenate([[0], np.cumsum(length)])
-    return data[np.arange(at[-1]) - np.repeat(at[:-1] - start, length)], at
+    out = np.empty(at[-1], np.uint8)
+    for a, b in k.pieces(at, 1 << 20):
+        out[at[a] : at[b]] = data[np.arange(at[a], at[b]) - np.repeat(at[a:b] - start[a:b], length[a:b])]
+    return out, at
+
+
+def stretches(offsets: np.ndarray, p: Repeats) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """(first text, start and end in bytes, offsets from start) of runs of whole texts; a long text comes in stretches that overlap by less than a string."""
+    for a, b in k.pieces(offsets, PIECE):
+        low, high = int(offsets[a]), int(offsets[b])
+        if b > a + 1 or high - low <= 2 * PIECE:
+            yield a, low, high, offsets[a : b + 1] - low
+        else:
+            for at in range(low, high - p.length + 1, PIECE):
+                end = min(high, at + PIECE + p.length - 1)
+                yield a, at, end, np.array([0, end - at])
 
 
 def classes(key: np.ndarray, data: np.ndarray, at: np.ndarray, place: np.ndarray) -> np.ndarray:
@@ -308,8 +323,8 @@ def neighbourhoods(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, p: Re
         for batch in batches:
             data, offsets = k.bytes_of(k.column(batch, "text"))
             ids = k.column(batch, "id").to_numpy()
-            for i, j in k.pieces(offsets, PIECE):
-                own, starts = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
+            for i, low, high, starts in stretches(offsets, p):
+                own, shift = data[low:high], low - offsets[i]
                 h, text, a, s, e = anchors(own, starts, p)
                 some = test(bits, p.filter_bits, h)
                 h, text, a, s, e = h[some], text[some], a[some], s[some], e[some]
@@ -317,13 +332,14 @@ def neighbourhoods(docs: DataFrame, repeated: np.ndarray, hot: np.ndarray, p: Re
                 rows = [(h[~busy], text[~busy], a[~busy], s[~busy], e[~busy])]
                 if busy.any():
                     prefix, bh, bt, ba, bs, be = k.Prefix(own), h[busy], text[busy], a[busy], s[busy], e[busy]
-                    for near, low, high, x, y in ((1, ba - half, ba, ba, ba + p.length - half), (2, ba - p.grams + 1, ba - half - 1, ba - half - 1, ba + p.gram)):
-                        first, last = np.maximum(bs, low), np.minimum(be, high)
+                    for near, lowest, highest, x, y in ((1, ba - half, ba, ba, ba + p.length - half), (2, ba - p.grams + 1, ba - half - 1, ba - half - 1, ba + p.gram)):
+                        first, last = np.maximum(bs, lowest), np.minimum(be, highest)
                         ok = first <= last
                         rows.append((k.mix(bh[ok] + k.mix(prefix.range(x[ok], y[ok])) * np.uint64(2 * near + 1)), bt[ok], ba[ok], first[ok], last[ok]))
                 key, text, a, s, e = (np.concatenate(x) for x in zip(*rows, strict=True))
                 bytes_, at = gather(own, s, e + p.length)
-                held.append((key, ids[i + text], a - starts[text], s - starts[text], e - starts[text], bytes_, at))
+                begin = starts[text] - shift
+                held.append((key, ids[i + text], a - begin, s - begin, e - begin, bytes_, at))
                 if sum(len(x[0]) for x in held) > p.flush:
                     yield sent()
         if held:

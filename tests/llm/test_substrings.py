@@ -3,6 +3,7 @@ from __future__ import annotations
 import hashlib
 import random
 
+import numpy as np
 import pytest
 
 from tessera.llm.substrings import Repeats, remove_repeats
@@ -68,3 +69,27 @@ def test_removed_runs(spark):
     text = "".join(chr(97 + i * i % 26) for i in range(400))
     r = {x.id: x for x in remove_repeats(spark.createDataFrame([(1, text), (2, "@@" + text[:150] + "@@")], "doc_id long, text string")).collect()}
     assert [(x.start, x.stop) for x in r[2].removed] == [(2, 152)]
+
+
+def test_long_text_in_stretches(spark, monkeypatch):
+    """A text that is longer than a stretch: repeats across and within stretches."""
+    import tessera.llm.substrings as module
+
+    rng = random.Random(9)
+    part = "".join(rng.choice("abcdefgh ") for _ in range(700))
+    text = "".join(rng.choice("abcdefgh ") for _ in range(1500)) + part + "x" * 50 + part
+    monkeypatch.setattr(module, "PIECE", 256)
+    p = module.Repeats()
+    own, offsets = np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)])
+    runs = list(module.stretches(offsets, p))
+    assert runs[0][1] == 0 and runs[-1][2] == len(text) and all(b[1] == a[2] - p.length + 1 for a, b in zip(runs, runs[1:], strict=False))
+    whole = set()
+    for h, _, a, s, e in [module.anchors(own, offsets, p)]:
+        for i in range(len(h)):
+            whole |= {(int(h[i]), int(a[i]), x) for x in range(int(s[i]), int(e[i]) + 1)}
+    parts = set()
+    for _, low, high, starts in runs:
+        h, _, a, s, e = module.anchors(own[low:high], starts, p)
+        for i in range(len(h)):
+            parts |= {(int(h[i]), int(a[i]) + low, x + low) for x in range(int(s[i]), int(e[i]) + 1)}
+    assert parts == whole

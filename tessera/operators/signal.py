@@ -6,6 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 
 def chunk_starts(n: Column, length: int, hop: int) -> Column:
@@ -35,7 +36,7 @@ def bounded_gain(rms_dbfs: Column, peak_dbfs: Column, target: float, most: float
     return F.least(F.greatest(F.lit(target) - rms_dbfs, F.lit(-most)), F.lit(most), F.lit(headroom) - peak_dbfs)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(ArrayType(DoubleType()))
 def convolved(signal: pd.Series, kernel: pd.Series) -> pd.Series:
     """Full linear convolution by FFT."""
 

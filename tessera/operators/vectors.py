@@ -46,7 +46,8 @@ def knn(queries: DataFrame, k: int, gallery: DataFrame | None = None, id_col: st
 
 def cosine(a: Column, b: Column) -> Column:
     """Cosine within [-1, 1]; null where a vector has no length."""
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))))
+    raw = dot(a, b) / F.nullif(norm(a) * norm(b), F.lit(0.0))
+    return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
 def score_table(left: DataFrame, right: DataFrame) -> DataFrame:

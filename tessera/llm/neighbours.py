@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,18 +19,27 @@ from tessera.llm.graph import components
 
 @dataclass(frozen=True)
 class MultiIndex:
-    """cosine: least of a link. codes: size of each half's codebook. sample: most vectors that codebooks are fitted on.
-
-    recall: cells are visited until the part of possible links that is covered reaches it; 1 covers all. block: vectors
-    of a cell compared in one group.
+    """cosine: least of a link. codes: most centres of a half's codebook; fewer where a label's cells would hold less than half a
+    block. sample: most vectors that codebooks are fitted on. recall: expected part of the links that are compared; 1 compares
+    all. block: vectors of a cell compared in one group.
     """
 
     cosine: float = 0.98
-    codes: int = 32
+    codes: int = 256
     sample: int = 20_000
-    recall: float = 1.0
+    recall: float = 0.9999
     block: int = 1024
 
+    def reach(self, width: int) -> float:
+        """Squared distance up to which cells are visited.
+
+        A link is at most 2 - 2 cosine apart (squared). At recall 1 that is the reach. Else the difference of two linked vectors is
+        taken to have no favoured direction: its part across the two nearest cell borders then is chi-square with two degrees of
+        freedom, times the squared distance over the dimensions, and the reach is the quantile of recall.
+        """
+        far = 2 - 2 * self.cosine
+        return far + 1e-9 if self.recall >= 1 else min(far, -2 * math.log(1 - self.recall) * far / width) + 1e-9
+
 
 def codebook(x: np.ndarray, codes: int, steps: int = 12) -> np.ndarray:
     """Centres of k-means, from evenly spaced rows; an empty centre keeps its place."""
@@ -67,10 +77,10 @@ class Cells:
         """The cell of each unit vector, and the cells that may hold vectors within the linking distance, nearest first.
 
         A half whose nearest centre is c lies at least (d(x, c)**2 - d(x, own)**2) / (2 d(c, own)) away. Cells come in order of
-        the two halves' bounds together (the multi-sequence order); the walk ends at the squared linking distance, 2 - 2 cosine,
-        times the target recall. At recall 1 no link can lie in a cell left out.
+        the two halves' bounds together (the multi-sequence order); the walk ends at the reach for the target recall. At recall 1 no
+        link can lie in a cell left out.
         """
-        reach = (2 - 2 * self.p.cosine) * self.p.recall + 1e-9
+        reach = self.p.reach(x.shape[1])
         width, half = len(self.books[1]), x.shape[1] // 2
         own, order, bound = [], [], []
         for part, centres, gap in zip((x[:, :half], x[:, half:]), self.books, self.gap, strict=True):
@@ -96,12 +106,13 @@ class Cells:
 
 def fit(vectors: DataFrame, p: MultiIndex) -> Cells | None:
     """Codebooks from about p.sample vectors, chosen by a hash of id, which reach the driver. None without a usable vector."""
+    most = vectors.groupBy("label").count().agg(F.max("count")).first()[0] or 0
     rows = [r["v"] for r in bounded_sample(vectors, F.col("id"), p.sample).select("v").toLocalIterator()]
     x, _, _ = unit_rows(pa.array(rows, pa.list_(pa.float64())))
     if not len(x):
         return None
-    half = x.shape[1] // 2
-    return Cells(codebook(x[:, :half], p.codes), codebook(x[:, half:], p.codes), p)
+    half, codes = x.shape[1] // 2, min(p.codes, max(2, math.ceil(math.sqrt(2 * most / p.block))))
+    return Cells(codebook(x[:, :half], codes), codebook(x[:, half:], codes), p)
 
 
 def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label", params: MultiIndex = MultiIndex()) -> DataFrame:
@@ -109,11 +120,13 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
 
     Null labels and vectors that are null, zero, or hold null or non-finite components link with nothing; vectors of different
     lengths do not link. n_links counts the other vectors linked directly; component_id is the smallest id reachable, the row's
-    own without links; kept tells whether that is the row. Ids name vectors. An empty table gives an empty result.
+    own without links; kept tells whether that is the row. A row that repeats an id counts as one more vector. An empty table gives an empty result.
 
-    Every vector lies in one cell of its label and visits the cells within reach. Vectors of a cell are dealt to blocks, visitors
-    to each block, so neither a hot label nor a hot cell meets in one task. A group returns link counts and a spanning
-    forest of its links, never all pairs. Vectors of another length than most of the sample have a cell of their own by length.
+    Equal unit vectors of a label are one class, which counts as often as it has rows. Every class lies in one cell of its label
+    and visits the cells within reach; a pair is compared if either visits the other's cell, and counted once for both. Classes
+    of a cell are dealt to blocks, visitors to each block, so neither a hot label nor a hot cell meets in one task. A group
+    returns link counts and a spanning forest of its links, never all pairs. Vectors of another length than most of the sample
+    have a cell of their own by length.
     """
     p = params
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), F.col(label_col).alias("label"))
@@ -136,12 +149,17 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
             take = pa.array([o[0] for o in out], pa.int64())
             yield pa.RecordBatch.from_arrays([k.column(batch, "id").take(take), k.column(batch, "label").take(take), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64())), pa.array([o[3] for o in out], pa.binary())], names=["id", "label", "cell", "visits", "x"])
 
-    placed = cut(usable.mapInArrow(place, f"id long, label {label_type}, cell long, visits array<long>, x binary"))
-    filled = placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / p.block).alias("blocks"))
-    filled = cut(filled)
-    homes = placed.join(filled, ["label", "cell"]).select("label", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(False).alias("asks"), "id", "x")
-    asks = placed.select("id", "x", "label", F.explode("visits").alias("cell")).join(filled, ["label", "cell"])
-    asks = asks.select("label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "x")
+    unit = usable.mapInArrow(place, f"id long, label {label_type}, cell long, visits array<long>, x binary")
+    unit = unit.withColumns({"h1": F.xxhash64("x"), "h2": F.xxhash64("x", F.lit(1))})
+    name = ["label", "h1", "h2"]
+    members = cut(unit.select("id", *name))
+    placed = cut(unit.groupBy(*name).agg(F.min("id").alias("id"), F.count("*").alias("w"), F.first("cell").alias("cell"), F.first("visits").alias("visits"), F.first("x").alias("x")))
+    filled = cut(placed.groupBy("label", "cell").agg(F.ceil(F.count("*") / p.block).alias("blocks")))
+    filled = F.broadcast(filled) if filled.count() <= 100_000 else filled
+    homes = placed.join(filled, ["label", "cell"])
+    homes = homes.select("label", "cell", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), F.lit(False).alias("asks"), "id", "w", "visits", "x")
+    asks = placed.select("id", "w", "x", "label", F.array("cell").alias("visits"), F.explode("visits").alias("cell")).join(filled, ["label", "cell"])
+    asks = asks.select("label", "cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("asks"), "id", "w", "visits", "x")
     # Visitors of a block come in parts of about p.block as well; each part meets the whole block.
     parts = cut(asks.groupBy("label", "cell", "block").agg(F.ceil(F.count("*") / p.block).alias("parts")))
     asks = asks.join(parts, ["label", "cell", "block"]).withColumn("part", F.pmod(F.xxhash64("id", F.lit(1)), F.col("parts"))).drop("parts")
@@ -152,35 +170,34 @@ def near_vectors(df: DataFrame, id_col: str = "vec_id", vector_col: str = "embed
         if not len(q) or not len(d):
             return pd.DataFrame({"a": [], "b": [], "n": []}).astype("int64")
         xq, xd = (np.frombuffer(b"".join(s["x"]), np.float64).reshape(len(s), -1) for s in (q, d))
-        iq, idd = q["id"].to_numpy(), d["id"].to_numpy()
+        iq, idd, wq, wd = q["id"].to_numpy(), d["id"].to_numpy(), q["w"].to_numpy(), d["w"].to_numpy()
         near = (xq @ xd.T >= p.cosine) & (iq[:, None] != idd[None])
-        n = near.sum(axis=1)
-        label = np.arange(len(q) + len(d))  # spanning forest: each row takes the least label among its neighbours until none changes
+        # Where a home visits the asking row's cell too, both meet twice: the smaller id counts.
+        cells, at = np.unique([v[0] for v in q["visits"]], return_inverse=True)
+        back = np.stack([np.isin(cells, v) for v in d["visits"]])
+        near &= ~back[:, at].T | (iq[:, None] < idd[None])
         rows, cols = np.nonzero(near)
-        cols = cols + len(q)
-        ids = np.concatenate([iq, idd])
-        label = np.unique(ids, return_inverse=True)[1]
-        names = np.unique(ids)
-        while len(rows):
+        names, number = np.unique(np.concatenate([iq, idd]), return_inverse=True)
+        r, c = number[: len(q)][rows], number[len(q) :][cols]
+        n = np.bincount(r, wd[cols], len(names)) + np.bincount(c, wq[rows], len(names))
+        label = np.arange(len(names))  # spanning forest: each takes the least label among its neighbours until none changes
+        while len(r):
             new = label.copy()
-            np.minimum.at(new, rows, label[cols])
-            np.minimum.at(new, cols, label[rows])
-            least = np.arange(len(names))
-            np.minimum.at(least, np.unique(ids, return_inverse=True)[1], new)
-            new = least[np.unique(ids, return_inverse=True)[1]]
+            np.minimum.at(new, r, label[c])
+            np.minimum.at(new, c, label[r])
             if (new == label).all():
                 break
             label = new
-        linked = n > 0
-        counts = pd.DataFrame({"a": iq[linked], "b": names[label[: len(q)][linked]], "n": n[linked]})
-        also = np.unique(cols) if len(rows) else np.zeros(0, np.int64)
-        return pd.concat([counts, pd.DataFrame({"a": ids[also], "b": names[label[also]], "n": 0})])
+        linked = np.flatnonzero(n)
+        return pd.DataFrame({"a": names[linked], "b": names[label[linked]], "n": n[linked].astype(np.int64)})
 
-    take = ["label", "cell", "block", "part", "asks", "id", "x"]
+    take = ["label", "cell", "block", "part", "asks", "id", "w", "visits", "x"]
     found = asks.select(take).unionByName(homes.select(take)).groupBy("label", "cell", "block", "part").applyInPandas(compare, "a long, b long, n long")
     found = cut(found)
-    links = found.groupBy("a").agg(F.sum("n").alias("n_links"))
-    parts = components(found.select("a", "b"))
-    out = rows.select("id").join(links.withColumnRenamed("a", "id"), "id", "left").join(parts, "id", "left")
+    links = found.groupBy("a").agg(F.sum("n").alias("n"))
+    groups = placed.select(*name, "w", F.col("id").alias("rep")).join(links.withColumnRenamed("a", "rep"), "rep", "left").join(components(found.select("a", "b")).withColumnRenamed("id", "rep"), "rep", "left")
+    groups = groups.select(*name, (F.col("w") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component_id", "rep").alias("component_id"))
+    out = members.join(groups, name).groupBy("id").agg(F.max("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    rest = rows.select("id").join(out, "id", "left")
     component = F.coalesce("component_id", "id")
-    return out.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
+    return rest.select("id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

@@ -55,19 +55,27 @@ def compare(spark, rows, **kw):
 
 
 def test_all_links_are_found(spark):
-    compare(spark, made(600))
+    compare(spark, made(600), recall=1.0)
 
 
 def test_small_blocks_and_codebooks(spark):
     """A hot cell is dealt to many blocks; links across blocks still count."""
-    compare(spark, made(300), block=16, codes=2, sample=50)
+    compare(spark, made(300), block=16, codes=2, sample=50, recall=1.0)
 
 
 def test_lower_recall_visits_fewer_cells(spark):
     rows = made(400)
     want = sum(n for n, _ in plain(rows).values())
-    got = near_vectors(spark.createDataFrame(rows, SCHEMA), params=MultiIndex(recall=0.6)).agg({"n_links": "sum"}).first()[0]
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA), params=MultiIndex(recall=0.6, block=32)).agg({"n_links": "sum"}).first()[0]
     assert 0.6 * want <= got <= want
+    got = near_vectors(spark.createDataFrame(rows, SCHEMA), params=MultiIndex(block=32)).agg({"n_links": "sum"}).first()[0]
+    assert 0.99 * want <= got <= want
+
+
+def test_copies_count_as_rows(spark):
+    """A hot vector: its copies link with each other and with what is near, as if all pairs were listed."""
+    rows = [(i, [1.0, 0.0, 0.0, 0.0], 1, "x", 1) for i in range(50)] + [(100 + i, [1.0, 0.01 * i, 0.0, 0.0], 1, "x", 1) for i in range(8)] + [(200, [1.0, 0.0, 0.0, 0.0], 2, "x", 1)]
+    compare(spark, rows)
 
 
 def test_empty(spark):

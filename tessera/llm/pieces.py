@@ -30,7 +30,7 @@ class Transducer:
     weight: the shortest, and the model's own segmentation. A run of spaces merges last, from the left; its arcs follow that.
     """
 
-    def __init__(self, model: bytes, cache: int = 400_000):
+    def __init__(self, model: bytes, cache: int = 1_000_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -43,7 +43,7 @@ class Transducer:
             raise ValueError("a piece has a space inside")
         self.byte_id = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.out = [p.piece.encode() if p.type == NORMAL else bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else b"" for p in proto.pieces]
-        self.longest = max(map(len, self.ids), default=1)
+        self.tails = {p[i:] for p in self.ids for i in range(len(p))}
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.runs: dict[int, list[str]] = {}
@@ -72,20 +72,24 @@ class Transducer:
             return 1.0
         pair = (before, piece)
         if pair not in self.fits:
-            if len(self.fits) > 4 * self.room:
+            if len(self.fits) > self.room:
                 self.fits.clear()
             self.fits[pair] = self.merged(before + piece) == [before, piece]
         return 1.0 if self.fits[pair] else float("inf")
 
     def extend(self, text: str, at: int, cost: list[float], last: list[str | None]) -> None:
-        """The best way to place `at`, from those to all places before it."""
-        cost[at], last[at] = float("inf"), None
-        for n in range(min(at, self.longest), 0, -1):
+        """The best way to place `at`, from those to all places before it; it ends where no piece has so long a tail."""
+        best, found = float("inf"), None
+        for n in range(1, at + 1):
             piece = text[at - n : at]
-            if (piece in self.ids or n == 1) and cost[at - n] + 1 < cost[at]:
-                whole = cost[at - n] + self.weight(last[at - n], piece)
-                if whole < cost[at]:
-                    cost[at], last[at] = whole, piece
+            if n > 1 and piece not in self.tails:
+                break
+            before = cost[at - n] + 1
+            if before < best and (n == 1 or piece in self.ids):
+                fits = self.fits.get((last[at - n], piece))
+                if fits or fits is None and self.weight(last[at - n], piece) == 1:
+                    best, found = before, piece
+        cost[at], last[at] = best, found
 
     def path(self, text: str, last: list[str | None]) -> list[str]:
         out, at = [], len(text)
@@ -132,8 +136,8 @@ class Transducer:
         """Ids of each text; a null or empty text has none."""
         split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
         out = []
-        for a in range(0, len(split), 64):
-            some = split[a : a + 64]
+        for a in range(0, len(split), 512):
+            some = split[a : a + 512]
             new = set(chain.from_iterable(some)).difference(self.cache)
             if len(self.cache) + len(new) > self.room and new:
                 self.cache.clear()

@@ -43,6 +43,16 @@ def table(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1024) -> None:
+    """Arrow batches of at most `rows` rows from here on in the session; a smaller setting stays.
+
+    A batch holds whole texts, in the JVM and in the Python worker; Spark's 10,000 rows fill an executor of 3 GB.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= rows:
+        spark.conf.set(key, rows)
+
+
 def remainder(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % modulus

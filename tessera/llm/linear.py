@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from tessera.llm import kernels as k
-from tessera.llm.common import cut
+from tessera.llm.common import cut, small_batches
 
 EXAMPLE = "label int, idx binary, val binary, swap_idx binary, swap_val binary"
 #: An example's parts: feature indices and values, and the difference that a counterfactual swap makes (often empty).
@@ -59,6 +59,7 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
             pack = lambda i, t: pa.array([x[i].astype(t).tobytes() for x in found], pa.binary())
             yield pa.RecordBatch.from_arrays([k.column(batch, "label").cast(pa.int32()), pack(0, np.int32), pack(1, np.float32), pack(2, np.int32), pack(3, np.float32)], names=["label", "idx", "val", "swap_idx", "swap_val"])
 
+    small_batches(labelled.sparkSession)
     shards = cut(labelled.select("label", "text").repartition(tasks).mapInArrow(extract, EXAMPLE))
     context, leader = labelled.sparkSession.sparkContext, new()
     for turn in range(rounds):

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.common import cut
+from tessera.llm.common import cut, small_batches
 from tessera.llm.exact_dedup import cells, possibly_repeated
 from tessera.llm.graph import components
 
@@ -282,6 +282,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     link between different components is left out.
     """
     p = params
+    small_batches(df.sparkSession)
     docs = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     signed = cut(signatures(docs, p))
     classes = signed.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))

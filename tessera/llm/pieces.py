@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
+from tessera.llm.common import small_batches
 
 #: A public vocabulary; pass another path to use another. The driver reads it and broadcasts its bytes (about half a MB).
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -174,6 +175,7 @@ def encode(df: DataFrame, text_col: str = "text", model: bytes | None = None) ->
 
     The model's bytes are broadcast. An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model_bytes() if model is None else model)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
 
@@ -191,6 +193,7 @@ def encode(df: DataFrame, text_col: str = "text", model: bytes | None = None) ->
 
 def decode(df: DataFrame, ids_col: str = "ids", model: bytes | None = None) -> DataFrame:
     """Each row inside `row`, with `text`, decoded from its ids; null ids give an empty text."""
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model_bytes() if model is None else model)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(ids_col).alias("ids"))
 
@@ -206,6 +209,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     """(id, n_tokens, ids_sha256, round_trip) of each row: the digest of its ids as comma-joined text, and whether decoding gives the text back."""
     import hashlib
 
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model_bytes() if model is None else model)
 
     def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.common import labelled_sample
+from tessera.llm.common import labelled_sample, small_batches
 from tessera.llm.linear import Example, Leader, train
 
 PIECE = 1 << 20
@@ -91,6 +91,7 @@ def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     The model's 2**bits weights are broadcast. Whole texts are read; an empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
 

@@ -70,6 +70,7 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
             own.z, own.n = (x.copy() for x in shared.value)
             for batch in batches:
                 rows += batch.to_pylist()
+            rows.sort(key=lambda r: (r["label"], r["idx"], r["val"]))  # whatever order the shuffle brought
             for at in np.random.default_rng(turn).permutation(len(rows)):
                 r = rows[at]
                 own.learn(r["label"], (np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["swap_idx"], np.int32), np.frombuffer(r["swap_val"], np.float32)))

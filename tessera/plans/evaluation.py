@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, sampling, vectors as x
+from tessera.operators import metrics, sampling, select, vectors as x
 from tessera.plans.base import KNN, VECTORS, knn, nodes, query, r6, read, vectors
 from tessera.streaming import jobs
 
@@ -135,6 +135,41 @@ def n3(spark, d):
     return sampling.gallery(read(spark, d, "orders"), "o_custkey", "o_orderkey", "s", 10, 20, 4).select("o_orderkey", "is_query")
 
 
+QUOTA = "cap AS (SELECT o_custkey, count(*) AS capacity FROM orders GROUP BY 1), sh AS (SELECT *, 500 * sqrt(capacity) / sum(sqrt(capacity)) OVER () AS share FROM cap), ba AS (SELECT *, least(floor(share), capacity)::BIGINT AS base FROM sh), pl AS (SELECT *, 500 - sum(base) OVER () AS spare, row_number() OVER (ORDER BY base < capacity DESC, round(share - floor(share), 9) DESC, o_custkey) AS r FROM ba), quota AS (SELECT o_custkey, base + (base < capacity AND r <= spare)::BIGINT AS quota FROM pl)"
+
+
+def order_quotas(spark, d):
+    """(o_custkey, quota): 500 orders shared by the square root of each customer's number of orders."""
+    return sampling.quotas(read(spark, d, "orders").groupBy("o_custkey").agg(F.count("*").alias("capacity")), "o_custkey", 500)
+
+
+@query("n11_quotas", f"WITH {QUOTA} SELECT * FROM quota")
+def n11(spark, d):
+    return order_quotas(spark, d)
+
+
+@query("n12_stratified_pick", f"WITH {QUOTA}, i AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderpriority ORDER BY sha256('s|' || o_orderkey)) AS i FROM orders), o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY i, sha256('s|' || o_custkey || '|' || o_orderpriority), o_orderkey) AS k FROM i) SELECT o_orderkey FROM o JOIN quota USING (o_custkey) WHERE k <= quota")
+def n12(spark, d):
+    return sampling.stratified_pick(read(spark, d, "orders"), "o_custkey", "o_orderpriority", "o_orderkey", "s", order_quotas(spark, d)).select("o_orderkey")
+
+
+@query("n13_hash_trials", "WITH x AS (SELECT o_custkey AS o, o_orderkey AS k, o_orderdate::DATE AS b FROM orders), p AS (SELECT *, row_number() OVER (PARTITION BY b ORDER BY o, k) - 1 AS place, count(*) OVER (PARTITION BY b) AS n, count(*) OVER (PARTITION BY b, o) AS m FROM x), f AS (SELECT l.k AS q, l.b, r.k, row_number() OVER (PARTITION BY l.k ORDER BY r.place) - 1 AS place FROM p l JOIN p r ON l.b = r.b AND l.o <> r.o), a AS (SELECT DISTINCT k AS q, (7 + 17 * k + 31 * i) % (n - m) AS place FROM p, range(0, 2) t(i) WHERE n > m) SELECT l.k AS \"left\", r.k AS \"right\", 1 AS label FROM x l JOIN x r ON l.o = r.o AND l.k <> r.k UNION ALL SELECT q, f.k, 0 FROM a JOIN f USING (q, place)")
+def n13(spark, d):
+    return sampling.hash_trials(read(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), "o_custkey", "o_orderkey", "day", 7, 2)
+
+
+@query("n14_matched", "WITH o AS (SELECT o_orderkey, o_orderpriority, month(o_orderdate) AS bin, round(abs(o_totalprice - 150000), 2) AS distance FROM orders), s AS (SELECT bin, round(300 * count(*) / sum(count(*)) OVER ()) AS want FROM o WHERE o_orderpriority = '1-URGENT' GROUP BY 1), r AS (SELECT o.*, want, row_number() OVER (PARTITION BY bin ORDER BY distance, o_orderkey) AS r FROM o LEFT JOIN s USING (bin) WHERE o_orderpriority <> '1-URGENT') SELECT o_orderkey, bin, distance FROM r ORDER BY r > coalesce(want, 0), distance, o_orderkey LIMIT 300")
+def n14(spark, d):
+    o = read(spark, d, "orders").select("o_orderkey", "o_orderpriority", F.month("o_orderdate").alias("bin"), F.round(F.abs(F.col("o_totalprice") - 150000), 2).alias("distance"))
+    urgent = F.col("o_orderpriority") == "1-URGENT"
+    return sampling.matched(o.where(~urgent), o.where(urgent), "bin", "distance", "o_orderkey", 300).select("o_orderkey", "bin", "distance")
+
+
+@query("n15_cohort", "WITH c AS (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS r, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_orderkey FROM c WHERE n >= 5 AND r <= 8 ORDER BY r, o_custkey LIMIT 400")
+def n15(spark, d):
+    return select.cohort(read(spark, d, "orders"), "o_custkey", "o_orderkey", 5, 8, 400).select("o_orderkey")
+
+
 @query("st4_telemetry", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100 FROM events GROUP BY 1, 2")
 def st4(spark, d):
     return jobs.telemetry(read(spark, d, "events"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import metrics, sampling, select, vectors as x
+from tessera.operators import metrics, sampling, select, signal, vectors as x
 from tessera.plans.base import KNN, VECTORS, knn, nodes, query, r6, read, vectors
 from tessera.streaming import jobs
 
@@ -170,6 +170,22 @@ def n15(spark, d):
     return select.cohort(read(spark, d, "orders"), "o_custkey", "o_orderkey", 5, 8, 400).select("o_orderkey")
 
 
+@query("f1_chunks", "WITH l AS (SELECT doc_id, n_chars AS n, greatest(n_chars - 400, 0) AS last FROM documents), c AS (SELECT doc_id, n, unnest(list_sort(list_distinct(list_append(range(0, last + 1, 300), last)))) AS start FROM l) SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY start) - 1)::INT AS chunk, start, least(start + 400, n) AS stop FROM c")
+def f1(spark, d):
+    return signal.chunks(read(spark, d, "documents"), "doc_id", "n_chars", 400, 300)
+
+
+@query("p4_soft_labels", f"WITH {KNN(10)}, sc AS (SELECT src, label, sum(score) AS s FROM knn JOIN v ON id = dst GROUP BY 1, 2), p AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY round(s, 12) DESC, label) AS place FROM sc), e AS (SELECT *, exp((s - max(s) OVER (PARTITION BY src)) / 0.1) AS e FROM p WHERE place <= 3) SELECT src, label, round(e / sum(e) OVER (PARTITION BY src), 6) AS prob, place FROM e")
+def p4(spark, d):
+    return select.soft_labels(knn(spark, d, 10), nodes(spark, d), 3).withColumn("prob", F.round("prob", 6))
+
+
+@query("p5_stable_groups", "WITH x AS (SELECT vec_id AS id, label AS a, vec_id % 7 AS b FROM embeddings), n AS (SELECT b, a, count(*) AS n FROM x GROUP BY 1, 2), w AS (SELECT b, a FROM n QUALIFY row_number() OVER (PARTITION BY b ORDER BY n DESC, a) = 1) SELECT id, b AS label FROM x JOIN w USING (b, a)")
+def p5(spark, d):
+    v = nodes(spark, d)
+    return select.stable_groups(v, v.select("id", (F.col("id") % 7).alias("label")))
+
+
 @query("st4_telemetry", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100 FROM events GROUP BY 1, 2")
 def st4(spark, d):
     return jobs.telemetry(read(spark, d, "events"))

@@ -63,7 +63,7 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     scanned = secrets.digest(secrets.scan(docs, secrets.fit(docs)))
-    return scanned.selectExpr("row.doc_id as doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+    return scanned.selectExpr("row.doc_id as doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "scores")
 
 
 def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

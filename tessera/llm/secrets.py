@@ -1,4 +1,4 @@
-"""Secret scans: fixed patterns, and a character convolutional network over every other candidate in its context."""
+"""Secret scans: fixed patterns, and a character convolutional network over every span and every other run in its context."""
 
 from __future__ import annotations
 
@@ -21,7 +21,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "net")
 WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
-#: What the network judges: longer runs of characters that secrets are made of, with a digit and a letter.
+#: What the network judges beside the base spans: longer runs of characters that secrets are made of.
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
 
 AROUND, INSIDE, SYMBOLS = 24, 48, 100
@@ -36,13 +36,16 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 
 
 def candidates(text: str, spans: list[tuple[int, str, int]]) -> list[tuple[int, int]]:
-    """Candidates that touch no base span."""
+    """Runs of 12 characters and more, or what base spans leave of them."""
     out = []
     for m in CANDIDATE.finditer(text):
-        own = m[0]
-        if any(c.isdigit() for c in own) and any(c.isalpha() for c in own) and not any(a < m.end() and m.start() < b for a, _, b in spans):
-            out.append((m.start(), m.end()))
-    return out
+        at = m.start()
+        for a, _, b in spans:
+            if a < m.end() and at < b:
+                out.append((at, a))
+                at = b
+        out.append((at, m.end()))
+    return [(a, b) for a, b in out if b - a >= 12]
 
 
 def runs_of(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
@@ -53,15 +56,12 @@ def runs_of(mask: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def worth_reading(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Texts that can hold a base span or a candidate: byte tests over the batch, so that the patterns see few texts."""
+    """Texts that can hold a base span or a candidate: byte tests over the batch, so that the patterns see no others."""
     low = k.lower_ascii(data)
-    digit = (data >= 0x30) & (data <= 0x39)
-    token = digit | ((low >= 0x61) & (low <= 0x7A)) | np.isin(data, np.frombuffer(b"+/_=-", np.uint8))
+    token = (data >= 0x30) & (data <= 0x39) | ((low >= 0x61) & (low <= 0x7A)) | np.isin(data, np.frombuffer(b"+/_=-", np.uint8))
     start, end = runs_of(token, 12)
-    digits, letters = (np.concatenate([[0], np.cumsum(m)]) for m in (digit, (digit | ((data >= 0x61) & (data <= 0x66)))))
-    some = (digits[end] > digits[start]) | (letters[end] - letters[start] >= 16)
     out = np.zeros(len(offsets) - 1, bool)
-    first, last = (np.searchsorted(offsets, x, side="right") - 1 for x in (start[some], end[some] - 1))
+    first, last = (np.searchsorted(offsets, x, side="right") - 1 for x in (start, end - 1))
     for i, j in zip(first, last, strict=True):  # a run may go on over several texts
         out[i : j + 1] = True
     flat = low.tobytes()
@@ -163,27 +163,59 @@ def invented(rng: random.Random, secret: bool) -> str:
     ])
 
 
+def unnumbered(rng: random.Random) -> tuple[str, str]:
+    """A cue and a made-up key or pass phrase without a digit; the cue is none that the base patterns know, or empty for keys."""
+    letters, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz"
+    pick = lambda of, n: "".join(rng.choice(of) for _ in range(n))
+    cue = rng.choice(["passphrase", "pass phrase", "pwd", "credential", "private key", "access key", "auth", "login"]) + rng.choice([": ", " = ", " is ", ' "'])
+    if rng.random() < 0.5:
+        return rng.choice(["", cue]), pick(letters + rng.choice(["", "+/", "_-"]), rng.randint(20, 64))
+    if rng.random() < 0.5:
+        return cue, pick(lower, rng.randint(16, 40))
+    return cue, rng.choice("-_").join(pick(lower, rng.randint(3, 8)) for _ in range(rng.randint(4, 6)))
+
+
+def base_windows(text: str, a: int, kind: str, b: int) -> list[np.ndarray]:
+    """Windows of a base span; of an assignment, of its value."""
+    own = ASSIGN.match(text, a) if kind == "assign" else None
+    return windows(text, own.start(2) if own else a, b)
+
+
 @dataclass
 class Scanner:
     network: Network
 
-    def scan(self, text: str) -> list[tuple[int, str, int]]:
-        """All spans (start, kind, end) of a text, base ones first at equal starts."""
-        spans = base_spans(text)
-        more = candidates(text, spans)
-        if more:
-            rows = [windows(text, a, b) for a, b in more]
+    def scan(self, texts: list[str]) -> list[list[tuple[int, str, int, float]]]:
+        """All spans (start, kind, end, probability) of each text, base ones first at equal starts.
+
+        The network judges every base span and candidate, and decides the candidates; base spans stay whatever it says.
+        """
+        spans, rows = [], []
+        for i, text in enumerate(texts):
+            base = base_spans(text)
+            for a, kind, b in base:
+                spans.append((i, a, kind, b))
+                rows.append(base_windows(text, a, kind, b))
+            for a, b in candidates(text, base):
+                spans.append((i, a, "net", b))
+                rows.append(windows(text, a, b))
+        out: list[list] = [[] for _ in texts]
+        if spans:
             p = self.network.probability(np.stack([w for ws in rows for w in ws]))
-            at = np.concatenate([[0], np.cumsum([len(ws) for ws in rows])])
-            spans += [(a, "net", b) for (a, b), i, j in zip(more, at[:-1], at[1:], strict=True) if p[i:j].max() >= self.network.threshold]
-        return sorted(spans, key=lambda s: (s[0], KINDS.index(s[1]), s[2]))
+            best = np.maximum.reduceat(p, np.concatenate([[0], np.cumsum([len(ws) for ws in rows])])[:-1])
+            for (i, a, kind, b), x in zip(spans, best.tolist(), strict=True):
+                if kind != "net" or x >= self.network.threshold:
+                    out[i].append((a, kind, b, x))
+        return [sorted(x, key=lambda s: (s[0], KINDS.index(s[1]), s[2])) for x in out]
 
 
 def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", bound: int = 4_000, examples: int = 3_000, recall: float = 0.98) -> Scanner:
     """Train on labelled findings in texts of about `bound` rows, chosen by a hash of key_col.
 
-    Positive are base findings and invented keys, negative other runs of the sample and invented harmless ones, each in context
-    from the sample. At most `examples` of each class; a fifth is held out to calibrate the scores and to set the threshold.
+    Nobody has labelled findings of these tables. Positive are base findings and invented keys and pass phrases (with and without
+    a digit), negative other runs of the sample and invented harmless ones, each in context from the sample. At most `examples`
+    windows of base findings and of other runs, and as many invented ones beside them (half of them keys with a digit or harmless
+    runs each, and as many keys and phrases without a digit); a fifth is held out to calibrate the scores and to set the threshold.
     """
     rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
     context, found, other = [], [], []
@@ -191,23 +223,26 @@ def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", bound:
     for row in bounded_sample(rows, F.col("key"), bound).select("text").toLocalIterator():
         text = row["text"]
         for m in re.finditer(r"\S{3,}", text[len(text) // 2 :]):
-            keep(context, text[len(text) // 2 + max(0, m.start() - 60) : len(text) // 2 + m.start()])
+            at = len(text) // 2 + m.start()
+            keep(context, text[max(0, at - 60) : at].strip())
             break
         spans = base_spans(text)
         for a, kind, b in spans:
-            own = ASSIGN.match(text, a)
-            a = own.start(2) if kind == "assign" and own else a
-            for w in windows(text, a, b):
+            for w in base_windows(text, a, kind, b):
                 keep(found, w)
         for a, b in candidates(text, spans):
             for w in windows(text, a, b):
                 keep(other, w)
     rng = random.Random(11)
     context = context or [" "]
-    for i in range(examples):
+    for i in range(examples):  # beside what the tables gave
         own = invented(rng, i % 2 == 0)
         before, after = rng.choice(context), rng.choice(context)
-        keep(found if i % 2 == 0 else other, windows(f"{before} {own} {after}", len(before) + 1, len(before) + 1 + len(own))[0])
+        (found if i % 2 == 0 else other).append(windows(f"{before} {own} {after}", len(before) + 1, len(before) + 1 + len(own))[0])
+        if i % 2 == 0:
+            cue, own = unnumbered(rng)
+            before = f"{rng.choice(context)} {cue}"
+            found.append(windows(f"{before}{own} {rng.choice(context)}", len(before), len(before) + len(own))[0])
     code = np.stack(found + other)
     label = np.concatenate([np.ones(len(found)), np.zeros(len(other))])
     order = np.random.default_rng(7).permutation(len(code))
@@ -219,34 +254,36 @@ def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", bound:
 
 
 def scan(df: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFrame:
-    """Each row inside `row` (no name can clash), with `spans`, an array of (start, kind, end) in code points, over its whole text.
+    """Each row inside `row` (no name can clash), with `spans`, an array of (start, kind, end, score) in code points, over its whole text.
 
-    Kinds are assign, access and hex by pattern, net by the network; net spans touch no other. A null text counts as empty. The
-    network (a few kB) is broadcast. An empty table gives an empty result.
+    Kinds are assign, access and hex by pattern, net by the network, which gives every span its probability; net spans overlap
+    no other. A null text counts as empty. The network (a few kB) is broadcast. An empty table gives an empty result.
     """
     shared = df.sparkSession.sparkContext.broadcast(scanner)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
-    kind = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32())])
+    kind = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("score", pa.float64())])
 
-    @F.arrow_udf("array<struct<start:int,kind:string,end:int>>")
+    @F.arrow_udf("array<struct<start:int,kind:string,end:int,score:double>>")
     def spans(text: pa.Array) -> pa.Array:
         data, offsets = k.bytes_of(text)
         out: list[list] = [[] for _ in range(len(text))]
         for a, b in k.pieces(offsets, 1 << 20):
-            for i in np.flatnonzero(worth_reading(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])):
-                own = data[offsets[a + i] : offsets[a + i + 1]].tobytes().decode("utf-8", "replace")
-                out[a + i] = [{"start": s, "kind": kind, "end": e} for s, kind, e in shared.value.scan(own)]
+            some = a + np.flatnonzero(worth_reading(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in some]
+            for i, found in zip(some, shared.value.scan(texts), strict=True):
+                out[i] = [{"start": s, "kind": kind, "end": e, "score": p} for s, kind, e, p in found]
         return pa.array(out, pa.list_(kind))
 
     return packed.select("row", spans("text").alias("spans"))
 
 
 def digest(scanned: DataFrame) -> DataFrame:
-    """Adds n_assign, n_access, n_hex, base_sha256 and spans as text (kind:start:end, comma-joined) to scanned rows."""
+    """Adds n_assign, n_access, n_hex, base_sha256, spans as text (kind:start:end, comma-joined) and scores, their probabilities
+    with four decimals in the same order, to scanned rows."""
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
     count = lambda name: F.size(F.filter("spans", lambda s: s["kind"] == name)).cast("long")
     base = F.filter("spans", lambda s: s["kind"] != "net")
-    return scanned.select("row", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+    return scanned.select("row", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"), F.array_join(F.transform("spans", lambda s: F.format_string("%.4f", s["score"])), ",").alias("scores"))
 
 
 def empty_digest() -> str:

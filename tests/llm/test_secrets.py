@@ -65,3 +65,23 @@ def test_awkward_rows(spark):
     got = secrets.digest(secrets.scan(df, scanner)).selectExpr("row.text", "base_sha256", "n_hex").collect()
     assert len(got) == df.count() and all(r.base_sha256 == secrets.empty_digest() for r in got if not r.text)
     assert secrets.scan(nothing(spark), secrets.fit(nothing(spark))).count() == 0
+
+
+def test_every_run_and_span_is_judged(spark, sf):
+    """Keys and pass phrases without a digit, in the words of the tables; base spans carry a probability, too."""
+    import random
+
+    df = spark.read.parquet(f"{sf}/documents.parquet").where("length(text) > 400")
+    scanner, rng = secrets.fit(df), random.Random(21)
+    words = [r.text[100:160] for r in df.select("text").collect()]
+    made = [(f"{words[i % len(words)]} {cue}{own}", own) for i in range(200) for cue, own in [secrets.unnumbered(rng)]]
+    docs = spark.createDataFrame([(i, f"{text} {words[-1]} secret:0123456789abcdef0123") for i, (text, _) in enumerate(made)], "doc_id long, text string")
+    found = 0
+    for r in secrets.digest(secrets.scan(docs, scanner)).selectExpr("row.doc_id as doc_id", "*").collect():
+        text, own = made[r.doc_id]
+        assert len(r.spans.split(",")) == len(r.scores.split(",")) and all(0 <= float(x) <= 1 for x in r.scores.split(","))
+        assert r.n_assign == 1 and r.n_hex == 1
+        found += f"net:{len(text) - len(own)}:{len(text)}" in r.spans.split(",")
+    assert found >= 180
+    assert secrets.candidates("abcdefghijklmnop 0123456789abcdef_rest_of_it", [(17, "hex", 33)]) == [(0, 16)]
+    assert secrets.candidates("0123456789abcdef_the_rest_of_it", [(0, "hex", 16)]) == [(16, 31)]

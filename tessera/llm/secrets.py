@@ -139,14 +139,14 @@ class Network:
                     self.w[n] -= rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
 
     def calibrate(self, code: np.ndarray, label: np.ndarray, recall: float) -> None:
-        """Platt scaling on held-out findings; the threshold is the highest that still finds `recall` of them, at least one half."""
+        """Platt scaling on held-out findings; the threshold is the highest that still finds `recall` of them (one half without any)."""
         x = self.logits(code)
         for _ in range(200):
             p = 1 / (1 + np.exp(-np.clip(self.scale * x + self.shift, -35, 35)))
             self.scale -= 0.2 * float(((p - label) * x).mean() / max(1e-9, (x * x).mean())) * 4
             self.shift -= 0.5 * float((p - label).mean())
         found = np.sort(self.probability(code)[label == 1])
-        self.threshold = max(0.5, float(found[int((1 - recall) * len(found))])) if len(found) else 0.5
+        self.threshold = float(found[min(len(found) - 1, int((1 - recall) * len(found)))]) if len(found) else 0.5
 
 
 def invented(rng: random.Random, secret: bool) -> str:

@@ -85,3 +85,14 @@ def test_every_run_and_span_is_judged(spark, sf):
     assert found >= 180
     assert secrets.candidates("abcdefghijklmnop 0123456789abcdef_rest_of_it", [(17, "hex", 33)]) == [(0, 16)]
     assert secrets.candidates("0123456789abcdef_the_rest_of_it", [(0, "hex", 16)]) == [(16, 31)]
+
+
+def test_threshold_keeps_recall_of_overlapping_classes():
+    import numpy as np
+
+    rng, network = np.random.default_rng(4), secrets.Network()
+    label = (np.arange(4000) % 4 == 0).astype(float)
+    network.logits = lambda code: code
+    code = rng.normal(0, 1, 4000) + label
+    network.calibrate(code, label, 0.98)
+    assert network.threshold < 0.5 and (network.probability(code)[label == 1] >= network.threshold).mean() >= 0.98

@@ -5,6 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.sources.lineage import cut
+
+
+def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
+    """df with `name`, each row's number from 1 in the order of the whole table; the order names every row once.
+
+    Rows are dealt by ranges of the order and counted by range, so that no task holds all of them. The dealt rows are
+    checkpointed: both steps see the same ranges.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    first = dealt.groupBy("_range").agg(F.count("*").alias("_n")).select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_range").orderBy(*order))
+    return dealt.join(F.broadcast(first), "_range").withColumn(name, (F.col("_before") + own).cast("long")).drop("_range", "_before")
+
 
 def speaker_stats(files: DataFrame, short: float = 2.0) -> DataFrame:
     """One row for each speaker: counts, durations (sample deviation), shares of short and of bad files, the commonest format."""

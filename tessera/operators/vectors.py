@@ -57,6 +57,31 @@ def score_table(left: DataFrame, right: DataFrame) -> DataFrame:
     return a.crossJoin(b).select("left_id", "right_id", cosine(F.col("a"), F.col("b")).alias("score"))
 
 
+def score_blocks(queries: DataFrame, gallery: DataFrame, block: int = 512) -> DataFrame:
+    """(left_id, right_id, score) of (id, v) tables: every query against every other row of the gallery, whatever its size.
+
+    Both sides are dealt to blocks as in knn; nothing is broadcast. score lies in [-1, 1], null where a vector has no length.
+    """
+    n_q, n_g = (max(1, -(-df.count() // block)) for df in (queries, gallery))
+    own = lambda df, n: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    q = own(queries, n_q).select(F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))).alias("gb"), F.lit(True).alias("asks"), "id", "v")
+    g = own(gallery, n_g).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.col("own").alias("gb"), F.lit(False).alias("asks"), "id", "v")
+
+    def scores(group: pd.DataFrame) -> pd.DataFrame:
+        q, g = group[group["asks"]], group[~group["asks"]]
+        if not len(q) or not len(g):
+            return pd.DataFrame({"left_id": [], "right_id": [], "score": []}).astype({"left_id": "int64", "right_id": "int64", "score": "float64"})
+        x, y = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (q, g))
+        with np.errstate(invalid="ignore"):
+            x, y = (m / np.sqrt((m * m).sum(axis=1, keepdims=True)) for m in (x, y))
+        score = np.clip(x @ y.T, -1, 1)
+        left, right = np.repeat(q["id"].to_numpy(), len(g)), np.tile(g["id"].to_numpy(), len(q))
+        return pd.DataFrame({"left_id": left, "right_id": right, "score": score.ravel()})[left != right]
+
+    found = q.unionByName(g).groupBy("qb", "gb").applyInPandas(scores, "left_id long, right_id long, score double")
+    return found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
+
+
 def pair_scores(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
     """pairs(left_id, right_id, ...) with `score`; null where an id is unknown."""
     a = vectors.select(F.col("id").alias("left_id"), F.col("v").alias("_a"))

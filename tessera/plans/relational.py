@@ -285,6 +285,13 @@ def j9(spark, d):
     return a.join(b, F.col("x") != F.col("y")).select("enrol", "test")
 
 
+@query("j9_enrol_test_all", "SELECT a.s_suppkey AS enrol, b.s_suppkey AS test FROM supplier a CROSS JOIN supplier b WHERE a.s_suppkey % 10 = 0 AND a.s_suppkey <> b.s_suppkey")
+def j9_all(spark, d):
+    s = read(spark, d, "supplier")
+    a, b = s.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("enrol")), s.select(F.col("s_suppkey").alias("test"))
+    return a.join(b, F.col("enrol") != F.col("test"))
+
+
 @query("j14_lookup", "SELECT s_suppkey, coalesce(n_name, 'none') AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3")
 def j14(spark, d):
     small = read(spark, d, "nation").where("n_regionkey < 3")
@@ -446,6 +453,12 @@ def t1(spark, d):
     return top.select(F.row_number().over(Window.orderBy(F.desc_nulls_first("c_acctbal"), "c_custkey")).cast("long").alias("place"), "c_custkey")
 
 
+@query("t1_sort_all", "SELECT row_number() OVER (ORDER BY c_acctbal DESC NULLS FIRST, c_custkey) AS place, c_custkey FROM customer")
+def t1_all(spark, d):
+    c = read(spark, d, "customer").select("c_acctbal", "c_custkey")
+    return profile.numbered(c, [F.desc_nulls_first("c_acctbal"), F.asc("c_custkey")], "place").select("place", "c_custkey")
+
+
 @query("t2_longest", WF + "SELECT filepath, duration_s FROM files WHERE duration_s IS NOT NULL ORDER BY duration_s DESC, row_index LIMIT 200")
 def t2(spark, d):
     return files(spark, d).where("duration_s is not null").orderBy(F.desc("duration_s"), "row_index").limit(200).select("filepath", "duration_s")

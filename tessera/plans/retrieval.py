@@ -37,6 +37,15 @@ def x5(spark, d):
     return x.score_table(v.where("id % 50 = 0"), v.where("id % 50 = 1")).withColumn("score", F.round("score", 6))
 
 
+X5_ALL = f"WITH {VECTORS} SELECT a.id AS left_id, b.id AS right_id, round(greatest(-1, least(1, list_cosine_similarity(a.e, b.e))), 6) AS score FROM v a JOIN v b ON a.id <> b.id WHERE a.id % 50 = 0"
+
+
+@query("x5_score_matrix_all", X5_ALL)
+def x5_all(spark, d):
+    v = vectors(spark, d)
+    return x.score_blocks(v.where("id % 50 = 0"), v).withColumn("score", F.round("score", 6))
+
+
 @query("x6_pair_scores", f"WITH {VECTORS} SELECT a.id AS left_id, b.id AS right_id, round(list_cosine_similarity(a.e, b.e), 6) AS score FROM v a JOIN v b ON b.id = a.id + 1")
 def x6(spark, d):
     v = vectors(spark, d)

@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import graph, metrics, signal, vectors
+from tessera.operators import graph, metrics, profile, signal, vectors
 
 
 @pytest.mark.parametrize("scores, want", [([(1, 0.9), (1, 0.8), (0, 0.2), (0, 0.1)], 0.0), ([(1, 0.9), (1, 0.2), (0, 0.8), (0, 0.1)], 0.5)])
@@ -75,3 +75,35 @@ def test_components(spark):
     from tessera.operators.components import components
 
     assert {r.id: r.component_id for r in components(edges).collect()} == {1: 1, 2: 1, 3: 1, 7: 7, 8: 7}
+
+
+def test_score_blocks_hold_every_pair(spark):
+    rows = [(i, [float(i % 7) - 3, float(i % 5), 1.0]) for i in range(60)] + [(60, [0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r.left_id, r.right_id): r.score for r in vectors.score_blocks(v.where("id % 20 = 0"), v, block=7).collect()}
+    want = {(r.left_id, r.right_id): r.score for r in vectors.score_table(v.where("id % 20 = 0"), v).collect() if r.left_id != r.right_id}
+    assert got.keys() == want.keys() and len(got) == 4 * 60
+    assert all((got[p] is None) == (want[p] is None) and (got[p] is None or abs(got[p] - want[p]) < 1e-12) for p in want)
+
+
+def test_numbered_over_several_ranges(spark):
+    rows = [(i, None if i % 11 == 0 else float(i * 37 % 13)) for i in range(500)]
+    df = spark.createDataFrame(rows, "id long, x double").repartition(5)
+    order = [F.desc_nulls_first("x"), F.asc("id")]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = {r.id: r.at for r in profile.numbered(df, order, "at").collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = sorted(rows, key=lambda r: (r[1] is not None, -(r[1] or 0.0), r[0]))
+    assert got == {i: at for at, (i, _) in enumerate(want, 1)}
+
+
+def test_whole_tables_are_registered(spark, sf):
+    from tessera import plans
+
+    n = lambda t: spark.read.parquet(f"{sf}/{t}.parquet").count()
+    part = lambda t, key, m: spark.read.parquet(f"{sf}/{t}.parquet").where(f"{key} % {m} = 0").count()
+    assert plans.QUERIES["t1_sort_all"](spark, sf).count() == n("customer")
+    assert plans.QUERIES["x5_score_matrix_all"](spark, sf).count() == part("embeddings", "vec_id", 50) * (n("embeddings") - 1)
+    assert plans.QUERIES["j9_enrol_test_all"](spark, sf).count() == part("supplier", "s_suppkey", 10) * (n("supplier") - 1)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
+from tessera.sources.lineage import cut
 
 
 def ranked(df: DataFrame, order: list[Column], k: int | None = None, by: str = "src") -> DataFrame:
@@ -95,24 +96,31 @@ class ClassFirst:
 def class_first(knn: DataFrame, classes: DataFrame, vectors: DataFrame, p: ClassFirst = ClassFirst()) -> DataFrame:
     """Candidates whose first class is among the query's first ones, best first; then the neighbours that are left.
 
-    Where too few neighbours qualify, members of these classes are added, most probable first and at most `most` in all.
+    Where too few neighbours qualify, members of these classes are added, most probable first, class after class until there are
+    `most`; of more than that the nearest stay.
     """
     from tessera.operators.vectors import cosine
 
+    knn, classes = cut(knn), cut(classes)  # each is read many times below; uncut, the plan outgrows the driver
     mine = classes.where(F.col("class_rank") <= p.fallback_classes).select(F.col("id").alias("src"), F.col("class_id").alias("their"), "class_rank")
     fits = knn.join(first_class(classes, "their", "dst"), "dst").join(mine, ["src", "their"]).select("src", "dst", F.col("rank").alias("near"))
+    fits = cut(fits)
     n = fits.groupBy("src").agg(F.count("*").alias("n"))
-    queries = knn.select("src").distinct().join(n, "src", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    queries = cut(knn.select("src").distinct().join(n, "src", "left").withColumn("n", F.coalesce("n", F.lit(0))))
     if p.backfill:
         by = Window.partitionBy("class_id").orderBy(F.desc("prob"), "id")
         bucket = classes.where("class_rank = 1").withColumn("place", F.row_number().over(by)).where(F.col("place") <= p.most)
         more = queries.where(F.col("n") < p.least).select("src").join(mine, "src").join(bucket.select(F.col("class_id").alias("their"), F.col("id").alias("dst"), "place"), "their").where("src <> dst")
-        more = more.join(fits, ["src", "dst"], "left_anti").select("src", "dst", F.lit(None).cast("int").alias("near"))
+        more = cut(more.join(fits, ["src", "dst"], "left_anti"))
+        sizes = more.groupBy("src", "class_rank").agg(F.count("*").alias("own")).join(queries, "src")
+        before = F.coalesce(F.sum("own").over(Window.partitionBy("src").orderBy("class_rank").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        wanted = sizes.withColumn("before", F.col("n") + before).where(F.col("before") < p.most).select("src", "class_rank")
+        more = more.join(wanted, ["src", "class_rank"]).select("src", "dst", F.lit(None).cast("int").alias("near"))
         fits = fits.unionByName(more)
     v = vectors.select(F.col("id"), "v")
     scored = fits.join(v.select(F.col("id").alias("src"), F.col("v").alias("a")), "src").join(v.select(F.col("id").alias("dst"), F.col("v").alias("b")), "dst").withColumn("cos", cosine(F.col("a"), F.col("b"))).drop("a", "b")
-    scored = ranked(scored, [F.desc("cos"), F.asc("dst")]).where(F.col("rank") <= p.most).drop("rank")
-    scored = class_overlap(scored, classes).join(first_class(classes, "own", "src"), "src").join(first_class(classes, "their", "dst"), "dst")
+    scored = ranked(scored, [F.desc("cos"), F.asc("dst")]).join(queries, "src").where((F.col("rank") <= p.most) | (F.col("n") >= p.least)).drop("rank", "n")
+    scored = class_overlap(cut(scored), classes).join(first_class(classes, "own", "src"), "src").join(first_class(classes, "their", "dst"), "dst")
     score = p.embedding * F.col("cos") + p.overlap * F.col("overlap") + p.same * (F.col("own") == F.col("their")).cast("double") + F.coalesce(p.rank_bonus / F.col("near"), F.lit(0.0))
     chosen = scored.withColumn("score", score).withColumn("held", F.count("*").over(Window.partitionBy("src"))).where(F.col("held") >= p.least).select("src", "dst", "score", F.lit(0).alias("late"), F.lit(0).alias("near"))
     rest = knn.join(chosen, ["src", "dst"], "left_anti").select("src", "dst", "score", F.lit(1).alias("late"), F.col("rank").alias("near"))

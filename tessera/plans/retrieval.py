@@ -291,6 +291,12 @@ def r9(spark, d):
     return rounded(rerank.class_first(knn(spark, d, 60), x.class_posteriors(v, "label", 5), v, rerank.ClassFirst(backfill=False)))
 
 
+@query("r9_class_first_backfill")
+def r9_backfill(spark, d):
+    v = vectors(spark, d)
+    return rounded(rerank.class_first(knn(spark, d, 60), x.class_posteriors(v, "label", 5), v))
+
+
 def half(spark, d, side: str, k: int):
     e = read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1 if side == "left" else 33, 32).alias("embedding"))
     return x.knn(e, k)

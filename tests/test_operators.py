@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import graph, metrics, profile, signal, vectors
+from tessera.operators import graph, metrics, profile, rerank, signal, vectors
 
 
 @pytest.mark.parametrize("scores, want", [([(1, 0.9), (1, 0.8), (0, 0.2), (0, 0.1)], 0.0), ([(1, 0.9), (1, 0.2), (0, 0.8), (0, 0.1)], 0.5)])
@@ -107,3 +107,55 @@ def test_whole_tables_are_registered(spark, sf):
     assert plans.QUERIES["t1_sort_all"](spark, sf).count() == n("customer")
     assert plans.QUERIES["x5_score_matrix_all"](spark, sf).count() == part("embeddings", "vec_id", 50) * (n("embeddings") - 1)
     assert plans.QUERIES["j9_enrol_test_all"](spark, sf).count() == part("supplier", "s_suppkey", 10) * (n("supplier") - 1)
+
+
+@pytest.mark.parametrize("most", [8, 600])
+def test_class_first_with_backfill(spark, most):
+    """Against a plain loop over rows, where few neighbours fit and buckets are larger and smaller than the bound."""
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    e = rng.normal(0, 1, (48, 6))
+    e /= np.sqrt((e * e).sum(axis=1, keepdims=True))
+    v = spark.createDataFrame([(i, e[i].tolist(), i % 12) for i in range(48)], "id long, v array<double>, label long").cache()
+    classes = vectors.class_posteriors(v, "label", 5).cache()
+    knn = vectors.knn(v.select(F.col("id").alias("vec_id"), F.col("v").alias("embedding")), 12).where("rank <= 4 or src % 2 = 0").cache()
+    p = rerank.ClassFirst(k=9, most=most)
+    got = {}
+    for r in rerank.class_first(knn, classes, v, p).orderBy("src", "rank").collect():
+        got.setdefault(r.src, []).append((r.dst, round(r.score, 9)))
+    near, prob = {}, {}
+    for r in knn.orderBy("src", "rank").collect():
+        near.setdefault(r.src, []).append((r.dst, r.score))
+    for r in classes.orderBy("id", "class_rank").collect():
+        prob.setdefault(r.id, {})[r.class_id] = r.prob
+    first = {i: next(iter(x)) for i, x in prob.items()}
+    filled = trimmed = 0
+    for i in range(48):
+        mine, rank = list(prob[i])[:3], {j: n for n, (j, _) in enumerate(near[i], 1)}
+        chosen = [j for j, _ in near[i] if first[j] in mine]
+        if len(chosen) < p.least:
+            filled += 1
+            for c in mine:
+                bucket = sorted((j for j in range(48) if first[j] == c), key=lambda j: (-prob[j][c], j))[:most]
+                chosen += [j for j in bucket if j != i and j not in chosen]
+                if len(chosen) >= most:
+                    break
+            if len(chosen) > most:
+                trimmed += 1
+                chosen = sorted(chosen, key=lambda j: -(e[i] @ e[j]))[:most]
+        score = {j: 0.5 * e[i] @ e[j] + 0.35 * sum(q * prob[j].get(c, 0) for c, q in prob[i].items()) + 0.15 * (first[i] == first[j]) + (0.03 / rank[j] if j in rank else 0) for j in chosen}
+        best = sorted(score, key=lambda j: -score[j]) if len(chosen) >= p.least else []
+        want = ([(j, score[j]) for j in best] + [(j, s) for j, s in near[i] if j not in best])[: p.k]
+        assert [j for j, _ in got[i]] == [j for j, _ in want], i
+        assert np.allclose([s for _, s in got[i]], [s for _, s in want])
+    assert filled and (trimmed or most == 600)
+    plain = rerank.class_first(knn, classes, v, rerank.ClassFirst(k=9, most=most, backfill=False))
+    assert plain.count() < sum(len(x) for x in got.values())
+
+
+def test_class_first_is_registered_with_backfill(spark, sf):
+    from tessera import plans
+
+    df = plans.QUERIES["r9_class_first_backfill"](spark, sf).toPandas()
+    assert (df.groupby("src").size() == 10).all() and (df.src != df.dst).all() and not df.duplicated(["src", "dst"]).any()

@@ -58,16 +58,17 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int, by: str | None = None) -> DataFrame:
+def bounded_sample(df: DataFrame, key: Column, bound: int, by: str | None = None, values: int = 256) -> DataFrame:
     """Rows chosen by a hash of key, about `bound` in all (within each value of `by`, an equal share of it).
 
-    Counts first (only the columns needed), then keeps rows whose hash lies below bound/count; no row is shuffled.
+    Counts first (only the columns needed), then keeps rows whose hash lies below bound/count; no row is shuffled. Of `by`, the
+    `values` most frequent values are sampled, so that what reaches the driver has a bound.
     """
     unit = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20))
     if by is None:
         n = df.count()
-        return df.where(unit < int((1 << 20) * min(1.0, bound / max(n, 1))) )
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().collect()}
+        return df.where(unit < int((1 << 20) * min(1.0, bound / max(n, 1))))
+    counts = {r[0]: r[1] for r in df.groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()}
     share = bound / max(1, len(counts))
     rate = F.lit(0)
     for value, n in counts.items():
@@ -76,10 +77,25 @@ def bounded_sample(df: DataFrame, key: Column, bound: int, by: str | None = None
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, bound: int) -> DataFrame:
-    """(label, text) of about `bound` labelled documents; labels other than 0 and 1 are left out, a null text counts as empty.
+    """(key, label, text) of about `bound` labelled documents; labels other than 0 and 1 are left out, a null text counts as empty.
 
     The labels are sampled by a hash of the id first. Their number is bounded, so they are broadcast and no text is shuffled.
     """
     known = labels.select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1) and _id is not null")
     chosen = bounded_sample(known, F.col("_id"), bound)
-    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select("label", "text")
+    return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select(F.col("_id").alias("key"), "label", "text")
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", most: int = 20_000) -> DataFrame:
+    """rows joined to groups(key, size, ...), one row for each key, where `size` counts the rows of a key and `total` all of them.
+
+    Keys of more than total / most rows are broadcast: there are fewer than `most` of them, whatever the input. The others, none
+    of which holds more than that part of the rows, meet in a shuffled join. So no key's rows come together in one task.
+    """
+    least = max(32, -(-total // most))
+    hot = groups.where(F.col(size) > least)
+    known = hot.select(F.col(key).alias("_hot"))
+    marked = rows.join(F.broadcast(known), F.col(key) == F.col("_hot"), "left")
+    few = marked.where(F.col("_hot").isNull()).drop("_hot").join(groups.where(F.col(size) <= least), key, how)
+    many = marked.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot), key)
+    return few.unionByName(many)

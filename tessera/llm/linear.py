@@ -7,11 +7,12 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
 from tessera.llm.common import cut, small_batches
 
-EXAMPLE = "label int, idx binary, val binary, swap_idx binary, swap_val binary"
+EXAMPLE = "shard int, label int, idx binary, val binary, swap_idx binary, swap_val binary"
 #: An example's parts: feature indices and values, and the difference that a counterfactual swap makes (often empty).
 Example = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -47,42 +48,50 @@ class Leader:
 
 
 def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]], new: Callable[[], Leader], tasks: int = 8, rounds: int = 3) -> np.ndarray:
-    """Weights fitted on (label, text) rows, a bounded sample.
+    """Weights fitted on (key, label, text) rows, a bounded sample.
 
-    The sample's features are written once, in `tasks` shards. In each round every shard continues from the averaged
-    state over its own rows and returns its state; the driver averages tasks x 2 x 2**bits numbers, whatever the input's size.
+    The sample's features are written once, in `tasks` shards by a hash of the key. In each round every shard continues from
+    the averaged state over its own rows and returns its state; the driver averages tasks x 2 x 2**bits numbers, whatever the
+    input's size. Shards, the order of rows in them and the order of the averages depend on the rows alone, not on files or partitions.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = list(features(k.column(batch, "text")))
             pack = lambda i, t: pa.array([x[i].astype(t).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([k.column(batch, "label").cast(pa.int32()), pack(0, np.int32), pack(1, np.float32), pack(2, np.int32), pack(3, np.float32)], names=["label", "idx", "val", "swap_idx", "swap_val"])
+            yield pa.RecordBatch.from_arrays([k.column(batch, "shard").cast(pa.int32()), k.column(batch, "label").cast(pa.int32()), pack(0, np.int32), pack(1, np.float32), pack(2, np.int32), pack(3, np.float32)], names=["shard", "label", "idx", "val", "swap_idx", "swap_val"])
 
     small_batches(labelled.sparkSession)
-    shards = cut(labelled.select("label", "text").repartition(tasks).mapInArrow(extract, EXAMPLE))
+    dealt = labelled.select(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("shard")), F.lit(tasks)).cast("int").alias("shard"), "label", "text")
+    shards = cut(dealt.repartitionById(tasks, "shard").mapInArrow(extract, EXAMPLE))
     context, leader = labelled.sparkSession.sparkContext, new()
     for turn in range(rounds):
         shared = context.broadcast((leader.z, leader.n))
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
-            own, seen, rows = new(), 0, []
-            own.z, own.n = (x.copy() for x in shared.value)
-            for batch in batches:
-                rows += batch.to_pylist()
+            rows = [r for batch in batches for r in batch.to_pylist()]
             rows.sort(key=lambda r: (r["label"], r["idx"], r["val"]))  # whatever order the shuffle brought
-            for at in np.random.default_rng(turn).permutation(len(rows)):
-                r = rows[at]
-                own.learn(r["label"], (np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["swap_idx"], np.int32), np.frombuffer(r["swap_val"], np.float32)))
-                seen += 1
-            if seen:
-                yield pa.RecordBatch.from_arrays([pa.array([seen], pa.int64()), pa.array([own.z.astype(np.float32).tobytes()], pa.binary()), pa.array([own.n.astype(np.float32).tobytes()], pa.binary())], names=["seen", "z", "n"])
-
-        z = n = 0.0
-        seen = 0
-        for r in shards.mapInArrow(learn, "seen long, z binary, n binary").toLocalIterator():
-            z, n, seen = z + r["seen"] * np.frombuffer(r["z"], np.float32).astype(float), n + r["seen"] * np.frombuffer(r["n"], np.float32).astype(float), seen + r["seen"]
-        if seen:
-            leader.z, leader.n = z / seen, n / seen
+            if rows:
+                own = shard_state(rows, new(), shared.value, turn)
+                yield pa.RecordBatch.from_arrays([pa.array([rows[0]["shard"]], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([own.z.astype(np.float32).tobytes()], pa.binary()), pa.array([own.n.astype(np.float32).tobytes()], pa.binary())], names=["shard", "seen", "z", "n"])
+
+        states = {r["shard"]: r for r in shards.mapInArrow(learn, "shard int, seen long, z binary, n binary").toLocalIterator()}
+        if states:
+            leader.z, leader.n = averaged([(r["seen"], np.frombuffer(r["z"], np.float32), np.frombuffer(r["n"], np.float32)) for _, r in sorted(states.items())])
         shared.unpersist()
     return leader.weights()
+
+
+def shard_state(rows: list[dict], own: Leader, state: tuple[np.ndarray, np.ndarray], turn: int) -> Leader:
+    """`own` after one pass over a shard's rows from `state`, in an order that the round's number fixes."""
+    own.z, own.n = (x.copy() for x in state)
+    for at in np.random.default_rng(turn).permutation(len(rows)):
+        r = rows[at]
+        own.learn(r["label"], (np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["swap_idx"], np.int32), np.frombuffer(r["swap_val"], np.float32)))
+    return own
+
+
+def averaged(states: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The states z, n of (rows, z, n), averaged by their numbers of rows, in the order given."""
+    seen = sum(n for n, _, _ in states)
+    return tuple(sum((s[0] * s[i].astype(np.float64) for s in states), np.zeros(len(states[0][1]))) / seen for i in (1, 2))

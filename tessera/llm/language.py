@@ -50,7 +50,7 @@ def ngrams(texts: list[str], orders: tuple[int, ...], bits: int) -> tuple[list[n
     return buckets, owners, has_letter
 
 
-def blocks(texts: list[str], size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+def blocks(texts: list[str], size: int = 1 << 16) -> Iterator[tuple[int, int]]:
     """Runs of whole texts of about `size` characters."""
     ends = np.concatenate([[0], np.cumsum([len(t) for t in texts])])
     yield from k.pieces(ends, size)

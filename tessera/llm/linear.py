@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tessera.llm import kernels as k
 from tessera.llm.common import cut, small_batches
 
-EXAMPLE = "shard int, label int, idx binary, val binary, swap_idx binary, swap_val binary"
+EXAMPLE = "label int, idx binary, val binary, swap_idx binary, swap_val binary"
 #: An example's parts: feature indices and values, and the difference that a counterfactual swap makes (often empty).
 Example = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -59,7 +59,7 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
         for batch in batches:
             found = list(features(k.column(batch, "text")))
             pack = lambda i, t: pa.array([x[i].astype(t).tobytes() for x in found], pa.binary())
-            yield pa.RecordBatch.from_arrays([k.column(batch, "shard").cast(pa.int32()), k.column(batch, "label").cast(pa.int32()), pack(0, np.int32), pack(1, np.float32), pack(2, np.int32), pack(3, np.float32)], names=["shard", "label", "idx", "val", "swap_idx", "swap_val"])
+            yield pa.RecordBatch.from_arrays([k.column(batch, "label").cast(pa.int32()), pack(0, np.int32), pack(1, np.float32), pack(2, np.int32), pack(3, np.float32)], names=["label", "idx", "val", "swap_idx", "swap_val"])
 
     small_batches(labelled.sparkSession)
     dealt = labelled.select(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("shard")), F.lit(tasks)).cast("int").alias("shard"), "label", "text")
@@ -73,11 +73,15 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
             rows.sort(key=lambda r: (r["label"], r["idx"], r["val"]))  # whatever order the shuffle brought
             if rows:
                 own = shard_state(rows, new(), shared.value, turn)
-                yield pa.RecordBatch.from_arrays([pa.array([rows[0]["shard"]], pa.int32()), pa.array([len(rows)], pa.int64()), pa.array([own.z.astype(np.float32).tobytes()], pa.binary()), pa.array([own.n.astype(np.float32).tobytes()], pa.binary())], names=["shard", "seen", "z", "n"])
-
-        states = {r["shard"]: r for r in shards.mapInArrow(learn, "shard int, seen long, z binary, n binary").toLocalIterator()}
-        if states:
-            leader.z, leader.n = averaged([(r["seen"], np.frombuffer(r["z"], np.float32), np.frombuffer(r["n"], np.float32)) for _, r in sorted(states.items())])
+                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([own.z.astype(np.float32).tobytes()], pa.binary()), pa.array([own.n.astype(np.float32).tobytes()], pa.binary())], names=["seen", "z", "n"])
+
+        # The iterator gives partition after partition, and a partition is a shard: always the same order of sums.
+        z = n = 0.0
+        seen = 0
+        for r in shards.mapInArrow(learn, "seen long, z binary, n binary").toLocalIterator():
+            z, n, seen = z + r["seen"] * np.frombuffer(r["z"], np.float32), n + r["seen"] * np.frombuffer(r["n"], np.float32), seen + r["seen"]
+        if seen:
+            leader.z, leader.n = z / seen, n / seen
         shared.unpersist()
     return leader.weights()
 
@@ -89,9 +93,3 @@ def shard_state(rows: list[dict], own: Leader, state: tuple[np.ndarray, np.ndarr
         r = rows[at]
         own.learn(r["label"], (np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["swap_idx"], np.int32), np.frombuffer(r["swap_val"], np.float32)))
     return own
-
-
-def averaged(states: list[tuple[int, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    """The states z, n of (rows, z, n), averaged by their numbers of rows, in the order given."""
-    seen = sum(n for n, _, _ in states)
-    return tuple(sum((s[0] * s[i].astype(np.float64) for s in states), np.zeros(len(states[0][1]))) / seen for i in (1, 2))

@@ -17,7 +17,7 @@ from tessera.llm.common import cut, small_batches
 from tessera.llm.exact_dedup import cells, possibly_repeated
 from tessera.llm.graph import components
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 
 
 @dataclass(frozen=True)
@@ -108,8 +108,8 @@ def signatures(docs: DataFrame, p: Near) -> DataFrame:
                     set_a.append(int(k.mix(own).sum(dtype=np.uint64).view(np.int64)))
                     set_b.append(int(np.bitwise_xor.reduce(k.mix(own * k.BASE)).view(np.int64)) if len(own) else 0)
                     low = np.full(p.hashes, np.iinfo(np.uint64).max)
-                    for j in range(0, len(own), 4096):
-                        np.minimum(low, (times[:, None] * own[None, j : j + 4096] + plus[:, None]).min(axis=1), out=low)
+                    for j in range(0, len(own), 1024):
+                        np.minimum(low, (times[:, None] * own[None, j : j + 1024] + plus[:, None]).min(axis=1), out=low)
                     sig.append((low >> np.uint64(32)).astype(np.uint32).tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "set_a", "set_b", "sig"])
 

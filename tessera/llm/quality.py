@@ -13,7 +13,7 @@ from tessera.llm import kernels as k
 from tessera.llm.common import labelled_sample, small_batches
 from tessera.llm.linear import Example, Leader, train
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 SCALE = 4.0
 
 

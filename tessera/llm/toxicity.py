@@ -15,7 +15,7 @@ from tessera.llm.linear import Example, Leader, train
 from tessera.llm.quality import score
 
 __all__ = ["Toxicity", "fit", "score", "IDENTITY"]
-PIECE = 1 << 20
+PIECE = 1 << 17
 PREFIXES = (4, 5, 6)
 
 # Names of groups, by kind; a term is swapped for the next of its kind.

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import quality, toxicity
-from tessera.llm.linear import Leader, averaged
+from tessera.llm.linear import Leader
 
 BIG = "/root/testdata/sf0.01"
 
@@ -44,11 +44,6 @@ def test_updates():
     assert np.allclose(leader.weights(), plain([(y, i.tolist(), v.tolist()) for y, i, v in examples], 6, **kw), atol=1e-9)
 
 
-def test_average():
-    z, n = averaged([(1, np.array([1.0, 0.0]), np.array([4.0, 0.0])), (3, np.array([5.0, 8.0]), np.array([0.0, 4.0]))])
-    assert z.tolist() == [4.0, 6.0] and n.tolist() == [1.0, 3.0]
-
-
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])
 def test_scores_do_not_depend_on_the_layout(spark, module, label):
     docs = spark.read.parquet(f"{BIG}/documents.parquet").select("doc_id", "text")

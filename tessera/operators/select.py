@@ -62,7 +62,7 @@ def soft_labels(fused: DataFrame, labels: DataFrame, top: int, temperature: floa
     w = Window.partitionBy("src")
     s = s.withColumn("place", F.row_number().over(w.orderBy(F.desc(F.round("s", 12)), "label"))).where(F.col("place") <= top)
     e = F.exp((F.col("s") - F.max("s").over(w)) / temperature)
-    return s.withColumn("e", e).select("src", "label", F.round(F.col("e") / F.sum("e").over(w), 8).alias("prob"), "place")
+    return s.withColumn("e", e).select("src", "label", (F.col("e") / F.sum("e").over(w)).alias("prob"), "place")
 
 
 def cohort(rows: DataFrame, owner: str, key: str, least: int, most: int, total: int) -> DataFrame:

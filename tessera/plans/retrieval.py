@@ -115,7 +115,7 @@ Z = "d0 AS (SELECT src AS id, avg(score) AS d FROM knn WHERE rank <= 20 GROUP BY
 ADJ = "adj AS (SELECT k.src, k.dst, k.score, row_number() OVER (PARTITION BY k.src ORDER BY round(k.score + 0.03 * (r.src IS NOT NULL)::INT - 0.02 * z.z, 12) DESC, k.dst) AS rank FROM knn k JOIN z ON z.id = k.dst LEFT JOIN (SELECT src, dst FROM knn WHERE rank <= 20) r ON r.src = k.dst AND r.dst = k.src WHERE k.rank <= 60)"
 
 
-@query("g1_mutual", f"{W60}, {MUTUAL} SELECT src, dst FROM mut")
+@query("g1_mutual", f"{W20}, {MUTUAL} SELECT src, dst FROM mut")
 def g1(spark, d):
     return graph.mutual(knn(spark, d, 20), 10, 20).select("src", "dst")
 

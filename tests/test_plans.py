@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import decimal
+
 import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 
 from tessera import plans
@@ -19,26 +22,32 @@ def duck(sf):
     return con
 
 
-def ordered(df):
-    df = df[sorted(df.columns)].copy()
-    for c in df.columns:
-        if df[c].dtype.kind == "f":
-            df[c] = df[c].round(6)
-        elif df[c].dtype == object or str(df[c].dtype) in ("boolean", "Int64", "string", "str"):
-            df[c] = [None if v is None or v is np.nan or str(v) in ("<NA>", "nan", "NaT") else str(round(v, 6) if isinstance(v, float) else v) for v in df[c]]
-    return df.sort_values(list(df.columns), ignore_index=True, na_position="first")
+def plain(v):
+    """A value as both engines give it: None for missing ones, numbers as floats with six decimals."""
+    if isinstance(v, (list, tuple, np.ndarray)):
+        return str([plain(x) for x in v])
+    if v is None or v is pd.NA or v is pd.NaT or isinstance(v, float) and np.isnan(v):
+        return None
+    if isinstance(v, (bool, np.bool_)):
+        return str(bool(v))
+    if isinstance(v, (int, float, np.integer, np.floating, decimal.Decimal)):
+        return round(float(v), 6)
+    return str(v)
+
+
+def same_rows(got: pd.DataFrame, want: pd.DataFrame) -> None:
+    assert sorted(got.columns) == sorted(want.columns) and len(got) == len(want)
+    names = sorted(got.columns)
+    order = lambda rows: sorted(rows, key=lambda r: [(v is not None, isinstance(v, str), v if v is not None else 0) for v in r])
+    a, b = (order([tuple(plain(v) for v in r) for r in df[names].itertuples(index=False, name=None)]) for df in (got, want))
+    for x, y in zip(a, b, strict=True):
+        for c, v, w in zip(names, x, y, strict=True):
+            assert v == w or isinstance(v, float) and isinstance(w, float) and abs(v - w) <= 2e-6, (c, x, y)
 
 
 @pytest.mark.parametrize("name", sorted(plans.SQL))
 def test_same_as_sql(spark, sf, duck, name):
-    got, want = ordered(plans.QUERIES[name](spark, sf).toPandas()), ordered(duck.execute(plans.SQL[name]).df())
-    assert list(got.columns) == list(want.columns) and len(got) == len(want)
-    for c in got.columns:
-        if got[c].dtype.kind in "fi" and want[c].dtype.kind in "fi":
-            assert np.allclose(got[c].astype(float), want[c].astype(float), atol=2e-6, equal_nan=True), c
-        else:
-            same = [str(a) == str(b) or a is None and b is None for a, b in zip(got[c], want[c], strict=True)]
-            assert all(same), c
+    same_rows(plans.QUERIES[name](spark, sf).toPandas(), duck.execute(plans.SQL[name]).df())
 
 
 @pytest.mark.parametrize("name", ["r5_propagation_rerank", "r6_cluster_first"])

@@ -36,6 +36,65 @@ def bounded_gain(rms_dbfs: Column, peak_dbfs: Column, target: float, most: float
     return F.least(F.greatest(F.lit(target) - rms_dbfs, F.lit(-most)), F.lit(most), F.lit(headroom) - peak_dbfs)
 
 
+def crops(samples: Column, length: int, count: int) -> Column:
+    """`count` crops of `length` samples: a shorter signal is repeated to the length; one crop is the middle, several start evenly from
+    the first to the last place."""
+    whole = F.when(F.size(samples) < length, F.flatten(F.array_repeat(samples, F.ceil(F.lit(length) / F.greatest(F.size(samples), F.lit(1))).cast("int")))).otherwise(samples)
+    last = F.greatest(F.size(whole) - length, F.lit(0))
+    last = F.when(F.size(samples) < length, 0).otherwise(last)
+    at = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda i: F.floor(i * last / F.lit(count - 1)).cast("int")) if count > 1 else F.array(F.floor(last / 2).cast("int"))
+    return F.transform(at, lambda a: F.slice(whole, a + 1, length))
+
+
+def guarded(original: Column, kept: Column, least: Column | float, share: float) -> Column:
+    """What a voice activity policy does with a signal of which it would keep `kept` of `original` units: `trimmed`, or why it stays."""
+    return F.when(kept <= 0, "no_speech").when(kept < least, "too_short").when(kept < share * original, "too_much_removed").when(kept >= original, "unchanged").otherwise("trimmed")
+
+
+def clipped(samples: Column, at: float) -> Column:
+    return F.transform(samples, lambda x: F.greatest(F.lit(-at), F.least(F.lit(at), x)))
+
+
+def dropped_packets(samples: Column, size: int, seed: Column, one_in: int) -> Column:
+    """Packets of `size` samples, one in so many (by a fixed rule of seed and place) replaced with silence."""
+    return F.transform(samples, lambda x, i: F.when((seed * 31 + F.floor(i / size) * 17) % one_in == 0, F.lit(0.0)).otherwise(x))
+
+
+def quantised(samples: Column, levels: int) -> Column:
+    """A coarse codec: samples rounded to so many steps for each unit."""
+    return F.transform(samples, lambda x: F.floor(x * levels + 0.5) / levels)
+
+
+def noisy(samples: Column, seed: Column, amplitude: float) -> Column:
+    """Samples with a reproducible disturbance in [-amplitude, amplitude)."""
+    return F.transform(samples, lambda x, i: x + amplitude * (((seed * 7919 + i * 104729 + 13) % 1000) / 500.0 - 1))
+
+
+def downmixed(channels: Column) -> Column:
+    """The mean of equally long channels."""
+    total = F.aggregate(F.slice(channels, 2, F.greatest(F.size(channels) - 1, F.lit(0))), F.element_at(channels, 1), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return F.transform(total, lambda x: x / F.size(channels))
+
+
+def loaded(channels: Column, start: int, length: int, target: float, most: float) -> Column:
+    """Window, downmix, and bounded gain: what a loader hands on."""
+    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  the value is computed once
+
+    def gained(mono: Column) -> Column:
+        level = loudness(mono)
+        gain = F.pow(F.lit(10.0), bounded_gain(level["rms_dbfs"], level["peak_dbfs"], target, most) / 20)
+        return once(gain, lambda g: F.transform(mono, lambda x: x * g))
+
+    return once(downmixed(F.transform(channels, lambda c: F.slice(c, start + 1, length))), gained)
+
+
+def mean_normalised(frames: Column) -> Column:
+    """Frames (an array of arrays) less the mean frame of the utterance."""
+    n = F.size(frames)
+    mean = F.transform(F.aggregate(F.slice(frames, 2, F.greatest(n - 1, F.lit(0))), F.element_at(frames, 1), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)), lambda x: x / n)
+    return F.element_at(F.transform(F.array(mean), lambda m: F.transform(frames, lambda f: F.zip_with(f, m, lambda x, y: x - y))), 1)
+
+
 @F.pandas_udf(ArrayType(DoubleType()))
 def convolved(signal: pd.Series, kernel: pd.Series) -> pd.Series:
     """Full linear convolution by FFT."""

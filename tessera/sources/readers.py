@@ -26,11 +26,11 @@ def retrieval_manifest(spark: SparkSession, path: str, split: str, root: str, la
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
     """Rows of JSON objects. Strict: an unreadable line or an empty file raises; else such lines have all columns null but _corrupt_record."""
-    df = spark.read.schema(f"{schema}, _corrupt_record string").option("mode", "PERMISSIVE").json(path)
+    options = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}
+    parsed = spark.read.text(path).where(F.trim("value") != "").select(F.from_json("value", f"{schema}, _corrupt_record string", options).alias("row"))
+    df = parsed.select("row.*")
     if strict:
-        counts = df.select(F.col("_corrupt_record").isNotNull().alias("bad"), F.lit(1).alias("one")).cache()
-        bad, n = counts.where("bad").count(), counts.count()
-        counts.unpersist()
+        bad, n = df.agg(F.count_if(F.col("_corrupt_record").isNotNull()), F.count("*")).first()
         if bad or not n:
             raise ValueError(f"{path}: {bad} unreadable of {n} lines")
         df = df.drop("_corrupt_record")
@@ -112,6 +112,28 @@ def wav_headers(files: DataFrame) -> DataFrame:
     return files.select("path", "content").mapInPandas(probe, "path string, frames long, rate long, channels long, seconds double, error string")
 
 
+def wav_windows(files: DataFrame, offset: int, count: int) -> DataFrame:
+    """(path, channels, samples) of files(path, content) with 16-bit samples: `count` frames from `offset` on, channel first, as
+    numbers in [-1, 1); fewer where the file ends. A file that cannot be read has null samples."""
+
+    def read(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        import wave
+
+        for frame in frames:
+            rows = []
+            for name, content in zip(frame["path"], frame["content"], strict=True):
+                try:
+                    with wave.open(io.BytesIO(content)) as w:
+                        w.setpos(min(offset, w.getnframes()))
+                        x = np.frombuffer(w.readframes(count), "<i2").reshape(-1, w.getnchannels()) / 32768
+                        rows.append((name, w.getnchannels(), x.T.tolist()))
+                except (wave.Error, EOFError):
+                    rows.append((name, None, None))
+            yield pd.DataFrame(rows, columns=["path", "channels", "samples"]).astype({"channels": "Int64"})
+
+    return files.select("path", "content").mapInPandas(read, "path string, channels long, samples array<array<double>>")
+
+
 def trial_list(spark: SparkSession, path: str) -> DataFrame:
     """(label, left_id, right_id) of lines `label left right`."""
     parts = F.split(F.trim("value"), r"\s+")

@@ -43,6 +43,40 @@ def write_artifact(df: DataFrame, path: str, first: tuple[str, ...] = (), speake
     return df.agg(F.count("*").alias("rows"), held(speaker).alias("speakers"), held(audio).alias("audio"), total.alias("seconds")).first().asDict()
 
 
+def long_rows(ranking: DataFrame, k: int) -> DataFrame:
+    """(query, rank, neighbor, similarity)."""
+    return ranking.where(F.col("rank") <= k).select(F.col("src").alias("query"), "rank", F.col("dst").alias("neighbor"), F.col("score").alias("similarity"))
+
+
+def mixed_manifest(base: DataFrame, pseudo: DataFrame) -> DataFrame:
+    """Both tables, columns that one lacks null, with `part` (0 for base rows, 1 for pseudo rows): the order of their concatenation."""
+    return base.withColumn("part", F.lit(0)).unionByName(pseudo.withColumn("part", F.lit(1)), allowMissingColumns=True)
+
+
+def inventory(tables: dict[str, DataFrame]) -> DataFrame:
+    """(name, rows, columns) of named tables; each is counted where it lies."""
+    out = None
+    for name, df in sorted(tables.items()):
+        row = df.agg(F.count("*").alias("rows")).select(F.lit(name).alias("name"), "rows", F.lit(len(df.columns)).cast("long").alias("columns"))
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def artifact_index(spark, files: dict[str, str]) -> DataFrame:
+    """(file, exists, bytes) of named paths, by Spark's own listing; a folder counts with all below it."""
+    from pyspark.errors import AnalysisException
+
+    out = None
+    for name, path in sorted(files.items()):
+        try:
+            found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).agg(F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+            row = found.select(F.lit(name).alias("file"), F.lit(True).alias("exists"), "bytes")
+        except AnalysisException:
+            row = spark.createDataFrame([(name, False, None)], "file string, exists boolean, bytes long")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
 def status_row(spark, source: str) -> DataFrame:
     """What stands for a table whose source is missing."""
     return spark.createDataFrame([("missing_source", source)], "status string, source string")

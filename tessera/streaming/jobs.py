@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -10,6 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.lineage import fresh_path
 from tessera.sources.sinks import upserted
 
 
@@ -21,16 +23,35 @@ def telemetry(events: DataFrame, window: str = "1 hour", late: str = "2 hours",
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"), *[f"le_{b:g}" for b in bounds])
 
 
-def replay(spark: SparkSession, path: str, build, files_per_trigger: int = 1) -> DataFrame:
-    """Run a streaming query over the Parquet files below path to its end and return its rows from memory: for tests and small inputs."""
+def replay(spark: SparkSession, path: str, build, mode: str = "complete", files_per_trigger: int = 1) -> DataFrame:
+    """Run a streaming query over the Parquet files of a folder to its end and return its rows from memory: for tests and small inputs."""
     schema = spark.read.parquet(path).schema
     stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    name = "replay_" + str(abs(hash((path, id(build)))))
-    query = build(stream).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    name = "replay_" + uuid.uuid4().hex
+    query = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", fresh_path(spark)).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.table(name)
 
 
+def recurrent_activity(frames: DataFrame, keep: float = 0.9, threshold: float = 0.5) -> DataFrame:
+    """(utt, at, level, speech) of frames(utt, at, energy): a level that keeps part of itself from frame to frame, as state across batches.
+
+    Frames of an utterance must arrive in order of `at`; the state is one number for each utterance.
+    """
+
+    def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
+        level = state.get[0] if state.exists else 0.0
+        frames = pd.concat(list(batches)).sort_values("at")
+        levels = []
+        for e in frames["energy"]:
+            level = keep * level + (1 - keep) * float(e)
+            levels.append(level)
+        state.update((level,))
+        yield pd.DataFrame({"utt": key[0], "at": frames["at"].to_numpy(), "level": levels, "speech": np.array(levels) >= threshold})
+
+    return frames.groupBy("utt").applyInPandasWithState(step, "utt string, at long, level double, speech boolean", "level double", "append", "NoTimeout")
+
+
 def sliding_normalised(frames: DataFrame, window: int) -> DataFrame:
     """frames(utt, at, values array<double>) less the mean, over the deviation, of the last `window` frames: a stream's state is these frames.
 
@@ -39,15 +60,14 @@ def sliding_normalised(frames: DataFrame, window: int) -> DataFrame:
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         held = [list(v) for v in state.get[0]] if state.exists else []
-        for batch in batches:
-            batch = batch.sort_values("at")
-            out = []
-            for v in batch["values"]:
-                held = (held + [list(map(float, v))])[-window:]
-                x = np.array(held)
-                out.append(((x[-1] - x.mean(axis=0)) / np.sqrt(np.maximum(x.var(axis=0), 1e-10))).tolist())
-            yield pd.DataFrame({"utt": key[0], "at": batch["at"].to_numpy(), "values": out})
+        batch = pd.concat(list(batches)).sort_values("at")
+        out = []
+        for v in batch["values"]:
+            held = (held + [list(map(float, v))])[-window:]
+            x = np.array(held)
+            out.append(((x[-1] - x.mean(axis=0)) / np.sqrt(np.maximum(x.var(axis=0), 1e-10))).tolist())
         state.update((held,))
+        yield pd.DataFrame({"utt": key[0], "at": batch["at"].to_numpy(), "values": out})
 
     return frames.groupBy("utt").applyInPandasWithState(step, "utt string, at long, values array<double>", "held array<array<double>>", "append", "NoTimeout")
 
@@ -64,3 +84,15 @@ def upsert_stream(updates: DataFrame, path: str, key: str, version: str):
         upserted(rows.limit(0), rows, key, version).write.mode("overwrite").parquet(f"{path}/{number}.parquet")
 
     return updates.writeStream.foreachBatch(merge)
+
+
+def latest(spark: SparkSession, path: str) -> DataFrame:
+    """The table as the last merged micro-batch left it."""
+    from tessera.sources.readers import optional_table
+
+    number, found = 0, optional_table(spark, f"{path}/0.parquet")
+    while (after := optional_table(spark, f"{path}/{number + 1}.parquet")) is not None:
+        number, found = number + 1, after
+    if found is None:
+        raise ValueError(f"{path}: nothing merged yet")
+    return found

@@ -3,6 +3,7 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pytest
 
 from tessera.llm.neighbours import MultiIndex, near_vectors
 
@@ -81,3 +82,47 @@ def test_copies_count_as_rows(spark):
 def test_empty(spark):
     assert near_vectors(spark.createDataFrame([], SCHEMA)).count() == 0
     assert near_vectors(spark.createDataFrame([(1, None, None, None, None)], SCHEMA)).collect()[0].n_links == 0
+
+
+def planted(n: int, dims: int = 64) -> list:
+    """Unit vectors of `dims` dimensions in one label, every third with a partner just inside the linking distance, in a random direction."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(n):
+        x = rng.normal(size=dims)
+        x /= np.linalg.norm(x)
+        rows.append((2 * i, x.tolist(), 1, "x", 1))
+        if i % 3 == 0:
+            y = rng.normal(size=dims)
+            y -= (y @ x) * x
+            c = rng.uniform(0.9801, 0.985)
+            rows.append((2 * i + 1, (c * x + math.sqrt(1 - c * c) * y / np.linalg.norm(y)).tolist(), 1, "x", 1))
+    return rows
+
+
+def test_recall_at_the_width_of_the_tables(spark):
+    """Links close to the bound, 64 dimensions, 32 x 32 cells: the default finds 0.99 of brute force's links, recall 1 all."""
+    rows = planted(2400)
+    x = np.array([np.array(r[1], np.float32) for r in rows], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    want = int((np.triu(x @ x.T, 1) >= 0.98).sum())
+    assert want > 700
+    df = spark.createDataFrame(rows, SCHEMA)
+    for recall, least in ((0.9999, 0.99), (1.0, 1.0)):
+        got = near_vectors(df, params=MultiIndex(recall=recall, block=16, codes=32)).agg({"n_links": "sum"}).first()[0] / 2
+        assert least * want <= got <= want
+
+
+def test_reach_halves_lose_nothing():
+    """If both of a pair lie farther than the reach from the other's cell, they are too far apart to link."""
+    p = MultiIndex(recall=1.0)
+    assert p.reach(64) == pytest.approx(0.02) and MultiIndex().reach(64) < p.reach(64)
+
+
+def test_repeated_ids_and_clashing_names(spark):
+    rows = [(1, [1.0, 0.0], 1, 5, 6, 7), (1, [1.0, 0.0], 1, 5, 6, 7), (2, [1.0, 0.01], 1, 5, 6, 7), (3, [0.0, 1.0], 1, 5, 6, 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, cell int, x int, w int")
+    got = sorted((r.id, r.n_links, r.component_id) for r in near_vectors(df).collect())
+    assert got == [(1, 2, 1), (1, 2, 1), (2, 2, 1), (3, 0, 3)]
+    wide = spark.createDataFrame([(1, [1e200, 0.0], 1), (2, [1e200, 1e198], 1)], "vec_id long, embedding array<double>, label int")
+    assert {r.n_links for r in near_vectors(wide).collect()} == {1}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -92,7 +94,18 @@ def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     return level.select(F.col("node").alias("shard"), F.inline("has"))
 
 
-def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0, depth: int = 3, blocks: int = 1024, seed: int = 7) -> DataFrame:
+def block_numbers(share: Column, blocks: int) -> Column:
+    """Into how many blocks a source is dealt: a power of two that grows with its share of all words, `blocks` from 1/64 of them on.
+
+    So all sources together have no more than 128 * blocks blocks and one more for each source.
+    """
+    return F.least(F.lit(blocks), F.greatest(F.lit(1), F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(share * 64 * blocks, F.lit(1.0))))))).cast("long")
+
+
+def mix_sources(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, most: float = 2.0,
+    depth: int | None = None, blocks: int = 1024, shard_words: int = 1 << 22, seed: int = 7, broadcast_rows: int = 100_000,
+) -> DataFrame:
     """Mix documents so that each source supplies its target number of words.
 
     Returns each input row inside `row` (no name can clash), with id, size, source_size, target, taken (words, repeats
@@ -100,24 +113,34 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     words, at that place of the shard's local order. A word is `[^\\x20\\x09-\\x0D]+`; null or empty texts have size 0 and
     are never drawn; a null source is a source of its own, last in order. Weights repeat over the sources by code point.
 
-    The documents of a source are dealt by hash to at most `blocks` blocks. Its target is filled by whole blocks in a
-    permuted order, a second permuted pass following the first, so no document is taken more than `most` times; of the last
-    block each document gives the same share of words. Whole blocks are exact quotas that the splitting tree deals to 2**depth
-    shards. Reruns agree: every choice is a hash of id, source and seed. Repeated ids share a block, not a decision.
-    An empty table gives an empty result.
+    The documents of a source are dealt by hash to at most `blocks` blocks (see block_numbers). Its target is filled by whole
+    blocks in a permuted order, a second permuted pass following the first, so no document is taken more than `most` times; of
+    the last block each document gives the same share of words. Whole blocks are exact quotas that the splitting tree deals to
+    2**depth shards (by default as many as give each shard about shard_words words, 8 at least). Reruns agree: every choice is
+    a hash of id, source and seed. Repeated ids share a block, not a decision. An empty table gives an empty result.
+
+    Up to broadcast_rows sources, the plan is broadcast and no text is shuffled; beyond it, rows and plan meet by source and
+    block, so that a source which holds a third of all rows is `blocks` keys.
     """
     key = F.col(source_col).cast("string").alias("source")
     rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), key, F.col(id_col).alias("id"), size_of(F.col(text_col)).alias("size"))
-    block_of = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string")), n)
-    fine = cut(rows.withColumn("block", block_of(F.lit(blocks))).groupBy("source", "block").agg(F.sum("size").alias("words")))
+    rows = rows.withColumn("fine", F.pmod(F.xxhash64(F.lit(seed), F.col("id").cast("string")), blocks))
+    fine = cut(rows.groupBy("source", "fine").agg(F.sum("size").alias("words")))
     sources = targets(fine.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, most)
-    sources = cut(sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source"))))
+    sources = sources.withColumn("source_no", F.row_number().over(Window.orderBy(F.col("source").isNull(), "source")))
+    sources = cut(sources.withColumn("n_blocks", block_numbers(F.col("source_size") / F.nullif(F.sum("source_size").over(Window.partitionBy()), F.lit(0)), blocks)))
+    n_sources, drawn = sources.agg(F.count("*"), F.coalesce(F.sum("target"), F.lit(0.0))).first()
+    depth = min(20, max(3, math.ceil(math.log2(max(1.0, drawn / shard_words))))) if depth is None else depth
+    known = sources.select(F.col("source").alias("_s"), "source_no", "n_blocks", "source_size", "target")
+    small = n_sources <= broadcast_rows
+    with_source = lambda left: left.join(F.broadcast(known) if small else known, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s").withColumn("block", F.pmod("fine", "n_blocks"))
+    named = with_source(fine)
     passes = int(-(-most // 1))
     order = Window.partitionBy("source_no").orderBy("copy", F.xxhash64(F.lit(seed), "source_no", "copy", "block"), "block")
     before = F.coalesce(F.sum("words").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     copies = (
-        fine.where("words > 0").join(sources, fine["source"].eqNullSafe(sources["source"])).drop(fine["source"])
-        .select("source", "source_no", "source_size", "target", "block", "words", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("copy"))
+        named.where("words > 0").groupBy("source_no", "block").agg(F.sum("words").alias("words"), F.first("target").alias("target"))
+        .select("source_no", "target", "block", "words", F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("copy"))
         .withColumn("part", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("target") - before) / F.col("words")))).where("part > 0")
         .withColumn("turn", F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "copy", "block"), "copy", "block")))
     )
@@ -129,12 +152,22 @@ def mix_sources(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
         copies.join(ranges, "source_no").where("turn > from_turn and turn <= to_turn")
         .groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "part"))).alias("has"))
     )
-    plan = sources.select("source", "source_no", "source_size", "target")
-    small = plan.count() * blocks <= 100_000
-    hint = F.broadcast if small else (lambda x: x)
-    out = rows.join(hint(plan.withColumnRenamed("source", "_s")), F.col("source").eqNullSafe(F.col("_s")), "left").withColumn("block", block_of(F.lit(blocks)))
-    out = out.join(hint(placed), ["source_no", "block"], "left")
+    if small:  # no more rows than 128 * blocks + n_sources
+        out = with_source(rows).join(F.broadcast(placed), ["source_no", "block"], "left")
+    else:
+        keyed = named.join(placed, ["source_no", "block"], "left").select(F.col("source").alias("_s"), F.col("fine").alias("_f"), "source_size", "target", "has")
+        out = rows.join(keyed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("fine") == F.col("_f")), "left")
     words = lambda x: F.round(x["part"] * F.col("size")).cast("long")
     draws = F.transform(F.coalesce("has", F.array().cast("array<struct<copy:int,shard:int,part:double>>")), lambda x: F.struct(x["shard"].alias("shard"), x["copy"].alias("copy"), words(x).alias("words"), F.xxhash64(F.lit(seed + 2), x["shard"], x["copy"], F.col("id").cast("string")).alias("position")))
     out = out.withColumn("draws", F.filter(draws, lambda x: x["words"] > 0))
     return out.select("row", "id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "draws")
+
+
+def in_shards(mixed: DataFrame) -> DataFrame:
+    """(shard, position, row) of each whole document that mix_sources draws, shard after shard, each in its local shuffled order.
+
+    A draw of a part of a document's words takes the document with that probability, by a hash of id and copy.
+    """
+    d = mixed.select("row", "id", "size", F.explode("draws").alias("d"))
+    d = d.where(unit(F.lit("whole"), F.col("id").cast("string"), F.col("d.copy")) < F.col("d.words") / F.col("size"))
+    return d.select("d.shard", "d.position", "row").repartition("shard").sortWithinPartitions("shard", "position")

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessera.llm.common import cut
-from tessera.llm.mixing import hypergeometric, mix_sources, splitting_tree, unit
+from tessera.llm.mixing import hypergeometric, in_shards, mix_sources, splitting_tree, unit
 from tests.llm.fixtures import awkward, nothing
 
 
@@ -100,6 +100,38 @@ def test_shards_are_disjoint(spark, sf):
     assert len({r.d.shard for r in rows}) == 8
 
 
+def test_many_sources_without_a_broadcast(spark, sf):
+    """Beyond broadcast_rows sources the plan meets the rows by source and block; the result does not change."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    take = lambda **k: sorted((r.id, r.taken, r.target, str(r.draws)) for r in mix_sources(df, **k).collect())
+    assert take() == take(broadcast_rows=3)
+
+
+def test_whole_documents_in_shuffled_shards(spark, sf):
+    """Each shard is one run of rows in the order of its positions; sources come near their targets in whole documents."""
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    mixed = mix_sources(df)
+    rows = in_shards(mixed).collect()
+    assert all(a.position <= b.position for a, b in zip(rows, rows[1:], strict=False) if a.shard == b.shard)
+    assert len([1 for a, b in zip(rows, rows[1:], strict=False) if a.shard != b.shard]) == len({r.shard for r in rows}) - 1
+    taken = {r.id: r.taken / r.size for r in mixed.where("size > 0").collect()}
+    n = Counter(r.row.doc_id for r in rows)
+    assert all(abs(n[i] - x) < 1 + 1e-9 or n[i] <= 2 for i, x in taken.items()) and set(n) <= set(taken)
+    words, want = Counter(), {r.source: r.target for r in mixed.select("row.source", "target").distinct().collect()}
+    size = {r.id: (r.row.source, r.size) for r in mixed.collect()}
+    for i, c in n.items():
+        words[size[i][0]] += c * size[i][1]
+    largest = Counter()
+    for s, m in size.values():
+        largest[s] = max(largest[s], m)
+    assert all(abs(words[s] - t) <= 3 * (t * largest[s]) ** 0.5 + 3 * largest[s] for s, t in want.items())
+
+
+def test_awkward_rows_in_shards(spark):
+    rows = in_shards(mix_sources(awkward(spark))).collect()
+    assert rows and in_shards(mix_sources(nothing(spark))).count() == 0
+
+
 def test_native(spark, sf):
     plan = mix_sources(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan

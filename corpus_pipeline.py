@@ -11,7 +11,7 @@ from tessera.llm import pieces, toxicity
 from tessera.llm.common import read, remainder, table
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import Near, drop_near
-from tessera.llm.mixing import mix_sources
+from tessera.llm.mixing import in_shards, mix_sources
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -34,14 +34,11 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix draws them, whole: a draw of part of a document's words is taken with that probability, by a hash of its id.
+    """Documents as often as the mix draws them, whole, in the shards of the splitting tree and each shard in its shuffled order.
 
-    A source's draws so keep its target in expectation, and no text is cut.
+    A draw of part of a document's words takes the document with that probability, so a source keeps its target in expectation.
     """
-    mixed = mix_sources(docs)
-    unit = F.pmod(F.xxhash64(F.col("id").cast("string"), F.lit("mix")), F.lit(1 << 20)) / float(1 << 20)
-    times = F.floor(F.col("taken") / F.col("size") + unit).cast("int")
-    return mixed.where("size > 0").select("row", F.explode(F.array_repeat(F.lit(1), times))).select("row.*")
+    return in_shards(mix_sources(docs)).select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -51,8 +51,8 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
     """Weights fitted on (key, label, text) rows, a bounded sample.
 
     The sample's features are written once, in `tasks` shards by a hash of the key. In each round every shard continues from
-    the averaged state over its own rows and returns its state; the driver averages tasks x 2 x 2**bits numbers, whatever the
-    input's size. Shards, the order of rows in them and the order of the averages depend on the rows alone, not on files or partitions.
+    the averaged state over its own rows and returns what it changed; the driver averages at most tasks x 2 x 2**bits numbers,
+    whatever the input's size. Shards, the order of rows in them and the order of the averages depend on the rows alone, not on files or partitions.
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -66,30 +66,36 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
     shards = cut(dealt.repartitionById(tasks, "shard").mapInArrow(extract, EXAMPLE))
     context, leader = labelled.sparkSession.sparkContext, new()
     for turn in range(rounds):
-        shared = context.broadcast((leader.z, leader.n))
+        known = np.flatnonzero(leader.n).astype(np.int32)
+        shared = context.broadcast((known, leader.z[known].astype(np.float32), leader.n[known].astype(np.float32)))
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
             rows = [r for batch in batches for r in batch.to_pylist()]
             rows.sort(key=lambda r: (r["label"], r["idx"], r["val"]))  # whatever order the shuffle brought
             if rows:
-                own = shard_state(rows, new(), shared.value, turn)
-                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), pa.array([own.z.astype(np.float32).tobytes()], pa.binary()), pa.array([own.n.astype(np.float32).tobytes()], pa.binary())], names=["seen", "z", "n"])
+                idx, z, n = shard_changes(rows, new(), shared.value, turn)
+                yield pa.RecordBatch.from_arrays([pa.array([len(rows)], pa.int64()), *(pa.array([x.tobytes()], pa.binary()) for x in (idx, z, n))], names=["seen", "idx", "z", "n"])
 
         # The iterator gives partition after partition, and a partition is a shard: always the same order of sums.
-        z = n = 0.0
-        seen = 0
-        for r in shards.mapInArrow(learn, "seen long, z binary, n binary").toLocalIterator():
-            z, n, seen = z + r["seen"] * np.frombuffer(r["z"], np.float32), n + r["seen"] * np.frombuffer(r["n"], np.float32), seen + r["seen"]
+        z, n, seen = np.zeros_like(leader.z), np.zeros_like(leader.n), 0
+        for r in shards.mapInArrow(learn, "seen long, idx binary, z binary, n binary").toLocalIterator():
+            at = np.frombuffer(r["idx"], np.int32)
+            z[at] += r["seen"] * np.frombuffer(r["z"], np.float32)
+            n[at] += r["seen"] * np.frombuffer(r["n"], np.float32)
+            seen += r["seen"]
         if seen:
-            leader.z, leader.n = z / seen, n / seen
+            leader.z, leader.n = leader.z + z / seen, leader.n + n / seen
         shared.unpersist()
     return leader.weights()
 
 
-def shard_state(rows: list[dict], own: Leader, state: tuple[np.ndarray, np.ndarray], turn: int) -> Leader:
-    """`own` after one pass over a shard's rows from `state`, in an order that the round's number fixes."""
-    own.z, own.n = (x.copy() for x in state)
+def shard_changes(rows: list[dict], own: Leader, state: tuple[np.ndarray, ...], turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(indices, changes of z, changes of n) that one pass over a shard's rows makes of the state, in an order that the round's number fixes."""
+    known, z, n = state
+    own.z[known], own.n[known] = z, n
+    begin_z, begin_n = own.z.copy(), own.n.copy()
     for at in np.random.default_rng(turn).permutation(len(rows)):
         r = rows[at]
         own.learn(r["label"], (np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["swap_idx"], np.int32), np.frombuffer(r["swap_val"], np.float32)))
-    return own
+    changed = np.flatnonzero((own.n != begin_n) | (own.z != begin_z)).astype(np.int32)
+    return changed, (own.z - begin_z)[changed].astype(np.float32), (own.n - begin_n)[changed].astype(np.float32)

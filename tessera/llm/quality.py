@@ -97,6 +97,8 @@ def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(shared.value.score(text), pa.float64())
+        out = pa.array(shared.value.score(text), pa.float64())
+        k.rest()
+        return out
 
     return packed.select("row", scored("text").alias("score"))

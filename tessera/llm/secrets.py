@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.common import bounded_sample
+from tessera.llm.common import bounded_sample, cut
 
 # The patterns of the base kinds, and what each must reach.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -209,32 +210,60 @@ class Scanner:
         return [sorted(x, key=lambda s: (s[0], KINDS.index(s[1]), s[2])) for x in out]
 
 
+def findings(rows: DataFrame) -> DataFrame:
+    """(at, label, code, parts, context) of the spans and runs of rows(key, text), one row for each window and one for a context of each text.
+
+    label 1: a window of a base span. label 0: a window of another run, with its letter parts in lower case (parts is null where
+    the run has five digits in a row or more). context: up to 60 characters before a word that a hash chooses among all of the
+    text's words. `at` orders the rows at random, by a hash of text and place.
+    """
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for text in k.column(batch, "text").to_pylist():
+                own = hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest()
+                order = lambda *place: int.from_bytes(hashlib.blake2b(repr(place).encode(), key=own, digest_size=8).digest(), "little", signed=True)  # noqa: B023, E731
+                spans = base_spans(text)
+                for a, kind, b in spans:
+                    out += [(order("base", a, kind, i), 1, w.astype(np.uint8).tobytes(), [], None) for i, w in enumerate(base_windows(text, a, kind, b))]
+                for a, b in candidates(text, spans):
+                    parts = None if re.search(r"[0-9]{5}", text[a:b]) else sorted({x.lower() for x in re.findall("[A-Za-z]+", text[a:b])})
+                    out += [(order("run", a, i), 0, w.astype(np.uint8).tobytes(), parts, None) for i, w in enumerate(windows(text, a, b))]
+                words = [m.start() for m in re.finditer(r"\S{3,}", text)]
+                if words:
+                    at = words[order("context") % len(words)]
+                    out.append((order("context", at), None, None, None, text[max(0, at - 60) : at].strip()))
+            cols = list(zip(*out, strict=True)) or [[]] * 5
+            kinds = (pa.int64(), pa.int32(), pa.binary(), pa.list_(pa.string()), pa.string())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["at", "label", "code", "parts", "context"])
+
+    return rows.select("text").mapInArrow(emit, "at long, label int, code binary, parts array<string>, context string")
+
+
+def harmless(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(at, code) of the runs of `found` that are words: each letter part is a word of at least two texts of rows. Other runs stay unlabelled."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("(?<![0-9a-z_+/=-])[a-z]+(?![0-9a-z_+/=-])"), F.lit(0)))).alias("part")
+    known = rows.select(word).groupBy("part").agg(F.count("*").alias("n")).where("n >= 2").select("part")
+    runs = found.where("label = 0 and size(parts) > 0").select("at", "code", F.explode("parts").alias("part"), F.size("parts").alias("n"))
+    return runs.join(known, "part").groupBy("at", "code").agg(F.count("*").alias("m"), F.first("n").alias("n")).where("m = n").select("at", "code")
+
+
 def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", bound: int = 4_000, examples: int = 3_000, recall: float = 0.98) -> Scanner:
     """Train on labelled findings in texts of about `bound` rows, chosen by a hash of key_col.
 
     Nobody has labelled findings of these tables. Positive are base findings and invented keys and pass phrases (with and without
-    a digit), negative other runs of the sample and invented harmless ones, each in context from the sample. At most `examples`
-    windows of base findings and of other runs, and as many invented ones beside them (half of them keys with a digit or harmless
-    runs each, and as many keys and phrases without a digit); a fifth is held out to calibrate the scores and to set the threshold.
+    a digit), negative invented harmless runs and the sample's runs that consist of its words (see harmless); what else stands in
+    the texts is not labelled. Of the sample's windows of either kind, `examples` chosen by a hash reach the driver, and as many
+    invented ones beside them (half of them keys with a digit or harmless runs each, and as many keys and phrases without a digit),
+    in contexts from the sample; a fifth is held out to calibrate the scores and to set the threshold.
     """
-    rows = docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text is not null")
-    context, found, other = [], [], []
-    keep = lambda into, x: into.append(x) if len(into) < examples else None
-    for row in bounded_sample(rows, F.col("key"), bound).select("text").toLocalIterator():
-        text = row["text"]
-        for m in re.finditer(r"\S{3,}", text[len(text) // 2 :]):
-            at = len(text) // 2 + m.start()
-            keep(context, text[max(0, at - 60) : at].strip())
-            break
-        spans = base_spans(text)
-        for a, kind, b in spans:
-            for w in base_windows(text, a, kind, b):
-                keep(found, w)
-        for a, b in candidates(text, spans):
-            for w in windows(text, a, b):
-                keep(other, w)
+    rows = cut(bounded_sample(docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text is not null"), F.col("key"), bound).select("text"))
+    all_found = cut(findings(rows))
+    codes = lambda df: [np.frombuffer(r["code"], np.uint8).astype(np.int64) for r in df.select("at", "code").orderBy("at", "code").limit(examples).collect()]
+    found, other = codes(all_found.where("label = 1")), codes(harmless(all_found, rows))
+    context = [r["context"] for r in all_found.where("context is not null").select("at", "context").orderBy("at", "context").limit(examples).collect()] or [" "]
     rng = random.Random(11)
-    context = context or [" "]
     for i in range(examples):  # beside what the tables gave
         own = invented(rng, i % 2 == 0)
         before, after = rng.choice(context), rng.choice(context)

@@ -96,3 +96,33 @@ def test_threshold_keeps_recall_of_overlapping_classes():
     code = rng.normal(0, 1, 4000) + label
     network.calibrate(code, label, 0.98)
     assert network.threshold < 0.5 and (network.probability(code)[label == 1] >= network.threshold).mean() >= 0.98
+
+
+def test_planted_keys_in_a_table(spark):
+    """Keys with a digit, planted in texts that the network has not seen, are found; words of these texts are left alone."""
+    import random
+
+    df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    scanner, rng = secrets.fit(df.where("doc_id % 2 = 0")), random.Random(5)
+    texts = [r.text[:400] for r in df.where("doc_id % 2 = 1 and length(text) > 400").collect()]
+    made = [(i, texts[i % len(texts)], secrets.invented(rng, True)) for i in range(300)]
+    docs = spark.createDataFrame([(i, f"{text} {own} end") for i, text, own in made], "doc_id long, text string")
+    found = extra = 0
+    for r in secrets.digest(secrets.scan(docs, scanner)).selectExpr("row.doc_id as doc_id", "spans").collect():
+        _, text, own = made[r.doc_id]
+        spans = [s.split(":") for s in r.spans.split(",") if s.startswith("net")]
+        found += any(int(a) < len(text) + 1 + len(own) and int(b) > len(text) + 1 for _, a, b in spans)
+        extra += sum(int(b) <= len(text) for _, _, b in spans)
+    assert found >= 285 and extra <= 15
+
+
+def test_findings_do_not_depend_on_the_layout(spark, sf):
+    df = spark.read.parquet(f"{sf}/documents.parquet")
+    a, b = (secrets.fit(x).network for x in (df, df.repartition(5)))
+    assert a.threshold == b.threshold and (a.w["c"] == b.w["c"]).all()
+
+
+def test_unlabelled_runs(spark):
+    rows = spark.createDataFrame([("internationalization of trade",), ("trade internationalization Xq7vBn2kLpRt9sWz",), ("qwertyzuiopasdfgh once",)], "text string")
+    left = secrets.harmless(secrets.findings(rows), rows)
+    assert left.count() == 2

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources.lineage import cut, fresh_path
+
+__all__ = ["cut"]
+
 #: Characters that separate words: space and U+0009..U+000D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -18,27 +18,9 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that later jobs neither recompute it nor depend on one executor.
-
-    The folder is the session's spark.checkpoint.dir; a temporary one is set only where none is configured (tests).
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        shared = spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not context.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="spark-", dir=os.environ.get("TMPDIR", "/tmp")))
-    return df.checkpoint()
-
-
 def table(df: DataFrame) -> DataFrame:
     """df, written as Parquet in the shared checkpoint folder and read again: for results that hold texts."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        cut(df.limit(0))
-    path = f"{context.getCheckpointDir()}/{uuid.uuid4()}"
+    path = fresh_path(df.sparkSession, ".parquet")
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
@@ -86,16 +68,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col:
     return docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(chosen), "_id").select(F.col("_id").alias("key"), "label", "text")
 
 
-def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, how: str = "inner", most: int = 20_000) -> DataFrame:
+def hot_size(total: int, most: int = 20_000) -> int:
+    """The size beyond which a group of `total` rows is hot: fewer than `most` groups can be, whatever the input."""
+    return max(32, -(-total // most))
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """rows joined to groups(key, size, ...), one row for each key, where `size` counts the rows of a key and `total` all of them.
 
-    Keys of more than total / most rows are broadcast: there are fewer than `most` of them, whatever the input. The others, none
-    of which holds more than that part of the rows, meet in a shuffled join. So no key's rows come together in one task.
+    Hot keys (see hot_size) are broadcast, and their rows stay where they are. The others, none of which holds more than a small
+    part of the rows, meet in a shuffled join. So no key's rows come together in one task.
     """
-    least = max(32, -(-total // most))
-    hot = groups.where(F.col(size) > least)
-    known = hot.select(F.col(key).alias("_hot"))
-    marked = rows.join(F.broadcast(known), F.col(key) == F.col("_hot"), "left")
-    few = marked.where(F.col("_hot").isNull()).drop("_hot").join(groups.where(F.col(size) <= least), key, how)
-    many = marked.where(F.col("_hot").isNotNull()).drop("_hot").join(F.broadcast(hot), key)
-    return few.unionByName(many)
+    hot = groups.where(F.col(size) > hot_size(total))
+    marked = rows.join(F.broadcast(hot.select(F.col(key).alias("_hot"))), F.col(key) == F.col("_hot"), "left")
+    few = marked.where(F.col("_hot").isNull()).drop("_hot").join(groups.where(F.col(size) <= hot_size(total)), key)
+    return few.unionByName(rows.join(F.broadcast(hot), key))

@@ -116,3 +116,8 @@ def sums_by(values: np.ndarray, text: np.ndarray, n: int) -> np.ndarray:
 
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
+
+
+def rest() -> None:
+    """Give back to the system what Arrow has freed: a worker waits for its next task beside a JVM that needs the memory."""
+    pa.default_memory_pool().release_unused()

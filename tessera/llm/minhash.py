@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.common import cut, small_batches
+from tessera.llm.common import cut, small_batches, with_group
 from tessera.llm.exact_dedup import cells, possibly_repeated
-from tessera.llm.graph import components
+from tessera.operators.components import components
 
 PIECE = 1 << 17
 
@@ -84,9 +84,11 @@ def shingles(data: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarr
 def sets_of(texts: pd.Series, p: Near) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle hashes of each text, one text after the other, and their n + 1 offsets."""
     data, offsets = k.bytes_of(pa.array(texts, pa.string()))
-    h, owner = shingles(data, offsets, p.words)
-    at = np.searchsorted(owner, np.arange(len(texts) + 1))
-    own = [np.unique(h[at[i] : at[i + 1]]) for i in range(len(texts))]
+    own = []
+    for a, b in k.pieces(offsets, PIECE):
+        h, owner = shingles(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], p.words)
+        at = np.searchsorted(owner, np.arange(b - a + 1))
+        own += [np.unique(h[at[i] : at[i + 1]]) for i in range(b - a)]
     return np.concatenate([np.zeros(0, np.uint64), *own]), np.concatenate([[0], np.cumsum([len(x) for x in own])]).astype(np.int64)
 
 
@@ -112,6 +114,8 @@ def signatures(docs: DataFrame, p: Near) -> DataFrame:
                         np.minimum(low, (times[:, None] * own[None, j : j + 1024] + plus[:, None]).min(axis=1), out=low)
                     sig.append((low >> np.uint64(32)).astype(np.uint32).tobytes() if len(own) else None)
                 yield pa.RecordBatch.from_arrays([ids.slice(a, b - a).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(set_a, pa.int64()), pa.array(set_b, pa.int64()), pa.array(sig, pa.binary())], names=["id", "n_shingles", "set_a", "set_b", "sig"])
+            del batch, data, ids
+            k.rest()
 
     return docs.mapInArrow(sign, "id long, n_shingles long, set_a long, set_b long, sig binary")
 
@@ -208,8 +212,8 @@ def unsettled(members: DataFrame, signed: DataFrame, docs: DataFrame, p: Near, m
     """
     least = p.least_matches()
     rows = members.withColumn("free", F.col("component_id") != F.col("hub_component"))
-    mixed = rows.groupBy("bucket").agg(F.count_if("free").alias("n_free"), F.count("*").alias("n")).where("n_free > 0")
-    rows = rows.join(mixed, "bucket").join(signed.select("id", "n_shingles", "sig"), "id")
+    mixed = cut(rows.groupBy("bucket").agg(F.count_if("free").alias("n_free"), F.count("*").alias("n")).where("n_free > 0"))
+    rows = with_group(rows, mixed, "bucket", "n", mixed.agg(F.sum("n")).first()[0] or 0).join(signed.select("id", "n_shingles", "sig"), "id")
     across = lambda n: F.ceil(F.col(n) / p.block)
     dealt = lambda n: F.pmod(F.xxhash64("id"), across(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), across(n) - 1))
@@ -236,6 +240,7 @@ def unsettled(members: DataFrame, signed: DataFrame, docs: DataFrame, p: Near, m
                 left, _ = alive(np.broadcast_to(sx[i], (len(rest), p.hashes)), sy[rest], p, least)
                 keep_x[i] = len(left) > 0
                 keep_y[rest[left]] = True
+        k.rest()
         return pd.concat([x[keep_x], y[keep_y]])[take]
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
@@ -258,6 +263,7 @@ def unsettled(members: DataFrame, signed: DataFrame, docs: DataFrame, p: Near, m
                 near = near[np.unique(y_part[near], return_index=True)[1]]
                 a += [x["id"].iloc[i]] * len(near)
                 b += y_id[near].tolist()
+        k.rest()
         return pd.DataFrame({"a": a, "b": b}).astype("int64")
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema} | {"ask": "long", "tell": "long", "asks": "boolean"}
@@ -288,9 +294,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", pa
     classes = signed.where("n_shingles > 0 and id is not null").groupBy("n_shingles", "set_a", "set_b").agg(F.min("id").alias("rep"), F.first("sig").alias("sig"))
     classes = cut(classes)
     reps = classes.select(F.col("rep").alias("id"), "n_shingles", "sig")
-    dealt = buckets(reps, p)
+    dealt = cut(buckets(reps, p))
     hubs = cut(dealt.groupBy("bucket").agg(F.min("id").alias("hub"), F.count("*").alias("n")).where("n > 1"))
-    members = cut(dealt.join(hubs, "bucket"))
+    members = cut(with_group(dealt, hubs, "bucket", "n", hubs.agg(F.sum("n")).first()[0] or 0))
     pairs = members.where("id <> hub").groupBy(F.col("hub").alias("a"), F.col("id").alias("b")).agg(F.count("*").alias("shared"))
     first = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a")).select("a", "b"))
     links = cut(verified(plausible(first, reps, p), docs, p))

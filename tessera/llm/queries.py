@@ -22,7 +22,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mix_sources(read(spark, sf_dir, "documents"))
-    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["copy"].cast("string"), x["words"].cast("string"))), ",").alias("draws"))
+    return mixed.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken", F.array_join(F.transform("draws", lambda x: F.concat_ws(":", x["shard"].cast("string"), x["copy"].cast("string"), x["words"].cast("string"), x["position"].cast("string"))), ",").alias("draws"))
 
 
 def held_out(modulus: int, value: int) -> Column:
@@ -88,4 +88,20 @@ SQL: dict[str, str] = {
         WITH n AS (SELECT doc_id, coalesce(text, '') AS t, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS s FROM documents),
         r AS (SELECT doc_id, s, length(t) AS len, first_value(doc_id) OVER (PARTITION BY s ORDER BY length(t) DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY s) AS group_size FROM n)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(s) AS text_sha256 FROM r""",
+    "op8_embedding_dedup": r"""
+        WITH RECURSIVE v AS (SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings),
+        ok AS (SELECT vec_id, label, e FROM v WHERE label IS NOT NULL AND len(e) > 0 AND len([x FOR x IN e IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN e IF x <> 0]) > 0),
+        l AS MATERIALIZED (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.98),
+        r(id, other) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.id, l.b FROM r JOIN l ON l.a = r.other),
+        n AS (SELECT a, count(*) AS n FROM l GROUP BY 1), c AS (SELECT id, min(other) AS component_id FROM r GROUP BY 1)
+        SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM v JOIN c ON c.id = v.vec_id LEFT JOIN n ON n.a = v.vec_id""",
+    "op9_near_dedup": r"""
+        WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        s AS MATERIALIZED (SELECT DISTINCT doc_id, s FROM (SELECT doc_id, unnest(CASE WHEN len(w) = 1 THEN w ELSE [w[i] || ' ' || w[i + 1] FOR i IN range(1, len(w))] END) AS s FROM w)),
+        n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+        c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+        l AS MATERIALIZED (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+        e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+        r(id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
+        SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, w.doc_id = min(other) AS kept FROM w JOIN r ON r.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""",
 }

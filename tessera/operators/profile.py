@@ -21,6 +21,22 @@ def numbered(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     return dealt.join(F.broadcast(first), "_range").withColumn(name, (F.col("_before") + own).cast("long")).drop("_range", "_before")
 
 
+def running_sums(df: DataFrame, order: list[Column], sums: dict[str, str], earlier: bool = False) -> DataFrame:
+    """df with the sum of each column of `sums` (new name: column) over all rows up to and with a row, in the order of the whole table;
+    `earlier` leaves the row itself out. The order names every row once.
+
+    As in numbered, rows are dealt by ranges, and a range starts from the totals of those before it.
+    """
+    dealt = cut(df.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)  # over one row for each range
+    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
+    first = totals.select("_range", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in sums])
+    w = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1 if earlier else 0)
+    out = dealt.join(F.broadcast(first), "_range")
+    out = out.withColumns({n: F.col(f"_b_{n}") + F.coalesce(F.sum(c).over(w), F.lit(0)) for n, c in sums.items()})
+    return out.drop("_range", *[f"_b_{n}" for n in sums])
+
+
 def speaker_stats(files: DataFrame, short: float = 2.0) -> DataFrame:
     """One row for each speaker: counts, durations (sample deviation), shares of short and of bad files, the commonest format."""
     c = F.col

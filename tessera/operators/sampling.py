@@ -6,13 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import hash_order
+from tessera.operators import profile
 
 
 def disjoint_split(rows: DataFrame, owner: str, seed: str, share: float, least: int = 11) -> DataFrame:
     """rows with `split`: `share` of the owners with at least `least` rows (one at least, where any is eligible) go to validation, with all their rows."""
     n = rows.groupBy(owner).agg(F.count("*").alias("n")).where(F.col("n") >= least)
-    w = Window.orderBy(hash_order(seed, F.col(owner)))
-    picked = n.withColumn("r", F.row_number().over(w)).withColumn("m", F.count("*").over(Window.partitionBy()))
+    picked = profile.numbered(n.withColumn("h", hash_order(seed, F.col(owner))), [F.asc("h"), F.asc(owner)], "r")
+    picked = picked.join(F.broadcast(picked.agg(F.count("*").alias("m"))))
     picked = picked.where(F.col("r") <= F.least(F.col("m"), F.greatest(F.lit(1), F.round(F.col("m") * share)))).select(owner, F.lit("validation").alias("_s"))
     return rows.join(picked, owner, "left").withColumn("split", F.coalesce("_s", F.lit("train"))).drop("_s")
 
@@ -41,12 +42,12 @@ def round_robin(rows: DataFrame, owner: str, order: list[Column], n: int) -> Dat
 
 def quotas(capacity: DataFrame, owner: str, total: int) -> DataFrame:
     """(owner, quota): `total` shared by the square root of capacity, largest remainders first, never above capacity."""
-    w = Window.partitionBy()
-    x = capacity.withColumn("share", total * F.sqrt("capacity") / F.sum(F.sqrt("capacity")).over(w))
-    x = x.withColumn("base", F.least(F.floor("share"), F.col("capacity")))
-    x = x.withColumn("left", F.lit(total) - F.sum("base").over(w)).withColumn("open", F.col("base") < F.col("capacity"))
-    r = F.row_number().over(Window.orderBy(F.desc("open"), F.desc(F.round(F.col("share") - F.floor("share"), 9)), owner))
-    return x.select(owner, (F.col("base") + F.when(F.col("open") & (r <= F.col("left")), 1).otherwise(0)).cast("long").alias("quota"))
+    roots = capacity.agg(F.sum(F.sqrt("capacity")).alias("roots"))
+    x = capacity.join(F.broadcast(roots)).withColumn("share", total * F.sqrt("capacity") / F.col("roots"))
+    x = x.withColumn("base", F.least(F.floor("share"), F.col("capacity"))).withColumn("open", F.col("base") < F.col("capacity"))
+    x = x.join(F.broadcast(x.agg((F.lit(total) - F.sum("base")).alias("left")))).withColumn("part", F.round(F.col("share") - F.floor("share"), 9))
+    x = profile.numbered(x, [F.desc("open"), F.desc("part"), F.asc(owner)], "r")
+    return x.select(owner, (F.col("base") + F.when(F.col("open") & (F.col("r") <= F.col("left")), 1).otherwise(0)).cast("long").alias("quota"))
 
 
 def stratified_pick(rows: DataFrame, owner: str, group: str, key: str, seed: str, quota: DataFrame) -> DataFrame:
@@ -60,9 +61,9 @@ def stratified_pick(rows: DataFrame, owner: str, group: str, key: str, seed: str
 def gallery(rows: DataFrame, owner: str, key: str, seed: str, queries: int, others: int, each: int) -> DataFrame:
     """`each` rows of queries + others owners that have so many; the first owners are the queries."""
     n = rows.groupBy(owner).agg(F.count("*").alias("n")).where(F.col("n") >= each)
-    who = n.withColumn("r", F.row_number().over(Window.orderBy(hash_order(seed, F.col(owner))))).where(F.col("r") <= queries + others).select(owner, (F.col("r") <= queries).alias("is_query"))
+    who = profile.numbered(n.withColumn("h", hash_order(seed, F.col(owner))), [F.asc("h"), F.asc(owner)], "r").where(F.col("r") <= queries + others).select(owner, (F.col("r") <= queries).alias("is_query"))
     x = rows.join(who, owner).withColumn("_r", F.row_number().over(Window.partitionBy(owner).orderBy(hash_order(seed, F.col(key))))).where(F.col("_r") <= each).drop("_r")
-    return x.withColumn("gallery_index", F.row_number().over(Window.orderBy(key)) - 1)
+    return profile.numbered(x, [F.asc(key)], "gallery_index").withColumn("gallery_index", F.col("gallery_index") - 1)
 
 
 def hash_trials(rows: DataFrame, owner: str, key: str, bin_col: str, seed: int, negatives: int) -> DataFrame:

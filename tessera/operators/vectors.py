@@ -4,12 +4,65 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.columns import dot, norm, unit_vector
 
-BLOCK = 4096
+BLOCK = 16_384
+#: Rows of a block of queries that are multiplied at a time, and columns of which the greatest score is found first.
+SLICE, STRIP = 512, 64
+
+
+def dealt(queries: DataFrame, gallery: DataFrame, id_col: str, vector_col: str, block: int) -> DataFrame:
+    """(qb, gb, asks, id, v): both sides dealt to blocks by a hash of the id, each block of queries beside each of the gallery."""
+    element = "float" if queries.schema[vector_col].dataType.simpleString() == gallery.schema[vector_col].dataType.simpleString() == "array<float>" else "double"
+    counts = [df.count() for df in ((queries, gallery) if gallery is not queries else (queries,))]
+    n_q, n_g = (max(-(-n // block), min(4, -(-n // 2048)), 1) for n in (counts[0], counts[-1]))
+    own = lambda df, n: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
+    q = own(queries, n_q).select(F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))).alias("gb"), F.lit(True).alias("asks"), "id", "v")
+    g = own(gallery, n_g).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.col("own").alias("gb"), F.lit(False).alias("asks"), "id", "v")
+    return q.unionByName(g)
+
+
+def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids and vectors of a group's queries and of its gallery, the latter in order of id; vectors have equal lengths."""
+    ids, asks = group["id"].to_numpy(), group["asks"].to_numpy()
+    flat = group["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+    v = flat.reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    q, g = np.flatnonzero(asks), np.flatnonzero(~asks)
+    g = g[np.argsort(ids[g], kind="stable")]
+    return ids[q], v[q].astype(np.float64), ids[g], v[g].astype(np.float64)
+
+
+def best_of(x: np.ndarray, y: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row of x, row of y, score) of the k greatest products of each row with rows of another id; of equal ones the smaller id.
+
+    Products in single precision find what may be among them: k strips of columns have a score that reaches the k-th greatest of
+    the strips' maxima, so what lies below it by more than the rounding is out. The others are computed again in double precision.
+    """
+    wide = -(-len(y) // STRIP) * STRIP
+    right = np.zeros((wide, y.shape[1]), np.float32)
+    right[: len(y)] = y
+    left, slack, out = x.astype(np.float32), 2e-7 * y.shape[1] + 1e-6, []
+    for a in range(0, len(x), SLICE):
+        s = left[a : a + SLICE] @ right.T
+        s[:, len(y) :] = -np.inf
+        at = np.searchsorted(ids, own[a : a + SLICE])
+        same = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own[a : a + SLICE]))
+        s[same, at[same]] = -np.inf
+        top = s.reshape(len(s), -1, STRIP).max(axis=2)
+        n = min(k, top.shape[1])
+        bound = np.partition(top, -n, axis=1)[:, -n] if n == k else np.full(len(s), -np.inf)
+        r, c = np.nonzero(s >= np.maximum(bound - slack, -4.0)[:, None])
+        exact = np.einsum("ij,ij->i", x[a + r], y[c])
+        order = np.lexsort((c, -exact, r))
+        r, c, exact = r[order], c[order], exact[order]
+        place = np.arange(len(r)) - np.searchsorted(r, r)
+        keep = (place < k) & (ids[c] != own[a + r])
+        out.append((a + r[keep], c[keep], exact[keep]))
+    return tuple(np.concatenate(z) for z in zip(*out, strict=True))
 
 
 def knn(queries: DataFrame, k: int, gallery: DataFrame | None = None, id_col: str = "vec_id", vector_col: str = "embedding", block: int = BLOCK) -> DataFrame:
@@ -19,27 +72,17 @@ def knn(queries: DataFrame, k: int, gallery: DataFrame | None = None, id_col: st
     keeps k for each query; the best of these are found by a second, small step. Nothing is broadcast and no task
     holds more than two blocks, so any size works; the products are all pairs, which exact search needs.
     """
-    gallery = queries if gallery is None else gallery
-    n_q, n_g = (max(1, -(-df.count() // block)) for df in (queries, gallery))
-    own = lambda df, n: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    q = own(queries, n_q).select(F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))).alias("gb"), F.lit(True).alias("asks"), "id", "v")
-    g = own(gallery, n_g).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.col("own").alias("gb"), F.lit(False).alias("asks"), "id", "v")
+    both = dealt(queries, queries if gallery is None else gallery, id_col, vector_col, block)
 
-    def best(group: pd.DataFrame) -> pd.DataFrame:
-        q, g = group[group["asks"]], group[~group["asks"]].sort_values("id")
-        if not len(q) or not len(g):
-            return pd.DataFrame({"src": [], "dst": [], "score": []}).astype({"src": "int64", "dst": "int64", "score": "float64"})
-        x, y = (np.stack(side["v"].to_numpy()).astype(np.float64) for side in (q, g))
+    def best(group: pa.Table) -> pa.Table:
+        own, x, ids, y = sides(group)
+        if not len(own) or not len(ids):
+            return pa.table({"src": pa.array([], pa.int64()), "dst": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         x, y = (m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-12) for m in (x, y))
-        scores = x @ y.T
-        ids, own_ids = g["id"].to_numpy(), q["id"].to_numpy()
-        scores[own_ids[:, None] == ids[None]] = -np.inf
-        n = min(k, len(ids))
-        order = np.argsort(-scores, axis=1, kind="stable")[:, :n]
-        out = pd.DataFrame({"src": np.repeat(own_ids, n), "dst": ids[order].ravel(), "score": np.take_along_axis(scores, order, 1).ravel()})
-        return out[np.isfinite(out["score"])]
-
-    found = q.unionByName(g).groupBy("qb", "gb").applyInPandas(best, "src long, dst long, score double")
+        r, c, score = best_of(x, y, own, ids, k)
+        return pa.table({"src": own[r], "dst": ids[c], "score": score})
+
+    found = both.groupBy("qb", "gb").applyInArrow(best, "src long, dst long, score double")
     w = Window.partitionBy("src").orderBy(F.desc("score"), "dst")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("src", "dst", "rank", "score")
 
@@ -50,11 +93,26 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(raw.isNotNull(), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), raw)))
 
 
+def every_pair(left: DataFrame, right: DataFrame, key: str, most: int = 10_000, block: int = 2048) -> DataFrame:
+    """Each row of left beside each row of right. A right side of at most `most` rows is broadcast; else both are dealt to blocks that
+    meet pair by pair, left rows by a hash of `key`."""
+    n = right.limit(most + 1).count()
+    if n <= most:
+        return left.crossJoin(F.broadcast(right))
+    n_l, n_r = (max(1, -(-df.count() // block)) for df in (left, right))
+
+    def placed(df: DataFrame, columns: list, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        return df.withColumn(own, F.pmod(F.xxhash64(*columns), F.lit(n_own)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1))))
+
+    a, b = placed(left, [key], "_l", n_l, "_r", n_r), placed(right, right.columns, "_r", n_r, "_l", n_l)
+    return a.join(b, ["_l", "_r"]).drop("_l", "_r")
+
+
 def score_table(left: DataFrame, right: DataFrame) -> DataFrame:
     """(left_id, right_id, score) of (id, v) tables: every left row against every right row, a stated and small query set."""
     a = left.select(F.col("id").alias("left_id"), F.col("v").alias("a"))
     b = right.select(F.col("id").alias("right_id"), F.col("v").alias("b"))
-    return a.crossJoin(b).select("left_id", "right_id", cosine(F.col("a"), F.col("b")).alias("score"))
+    return every_pair(a, b, "left_id").select("left_id", "right_id", cosine(F.col("a"), F.col("b")).alias("score"))
 
 
 def score_blocks(queries: DataFrame, gallery: DataFrame, block: int = 512) -> DataFrame:
@@ -62,10 +120,7 @@ def score_blocks(queries: DataFrame, gallery: DataFrame, block: int = 512) -> Da
 
     Both sides are dealt to blocks as in knn; nothing is broadcast. score lies in [-1, 1], null where a vector has no length.
     """
-    n_q, n_g = (max(1, -(-df.count() // block)) for df in (queries, gallery))
-    own = lambda df, n: df.select(F.col("id").cast("long").alias("id"), F.col("v").cast("array<double>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
-    q = own(queries, n_q).select(F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))).alias("gb"), F.lit(True).alias("asks"), "id", "v")
-    g = own(gallery, n_g).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.col("own").alias("gb"), F.lit(False).alias("asks"), "id", "v")
+    both = dealt(queries, gallery, "id", "v", block)
 
     def scores(group: pd.DataFrame) -> pd.DataFrame:
         q, g = group[group["asks"]], group[~group["asks"]]
@@ -78,7 +133,7 @@ def score_blocks(queries: DataFrame, gallery: DataFrame, block: int = 512) -> Da
         left, right = np.repeat(q["id"].to_numpy(), len(g)), np.tile(g["id"].to_numpy(), len(q))
         return pd.DataFrame({"left_id": left, "right_id": right, "score": score.ravel()})[left != right]
 
-    found = q.unionByName(g).groupBy("qb", "gb").applyInPandas(scores, "left_id long, right_id long, score double")
+    found = both.groupBy("qb", "gb").applyInPandas(scores, "left_id long, right_id long, score double")
     return found.withColumn("score", F.nanvl("score", F.lit(None).cast("double")))
 
 
@@ -112,7 +167,7 @@ def class_posteriors(vectors: DataFrame, label: str, top: int, scale: float = 10
     The centroids are one row for each label; they meet each vector once.
     """
     centres = pooled(vectors, label).select(F.col(label).alias("class_id"), F.col("v").alias("c"))
-    s = vectors.select("id", "v").crossJoin(centres).select("id", "class_id", (scale * cosine(F.col("v"), F.col("c"))).alias("s"))
+    s = every_pair(vectors.select("id", "v"), centres, "id").select("id", "class_id", (scale * cosine(F.col("v"), F.col("c"))).alias("s"))
     w = Window.partitionBy("id")
     p = s.withColumn("e", F.exp(F.col("s") - F.max("s").over(w))).withColumn("prob", F.col("e") / F.sum("e").over(w))
     order = w.orderBy(F.desc("prob"), "class_id")

@@ -68,9 +68,11 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def knn(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The neighbour table, written once: what a query builds on it does not search again."""
     from tessera.operators import vectors as x
+    from tessera.sources.lineage import cut
 
-    return x.knn(read(spark, sf_dir, "embeddings"), k)
+    return cut(x.knn(read(spark, sf_dir, "embeddings"), k))
 
 
 def r6(name: str, alias: str | None = None):

@@ -68,7 +68,24 @@ def m11(spark, d):
     return metrics.min_dcf(curve(spark, d))
 
 
-@query("m12_det")
+def PROBIT(p: str) -> str:
+    a = ("-39.69683028665376", "220.9460984245205", "-275.9285104469687", "138.3577518672690", "-30.66479806614716", "2.506628277459239")
+    b = ("-54.47609879822406", "161.5858368580409", "-155.6989798598866", "66.80131188771972", "-13.28068155288572", "1.0")
+    c = ("-0.007784894002430293", "-0.3223964580411365", "-2.400758277161838", "-2.549732539343734", "4.374664141464968", "2.938163982698783")
+    d = ("0.007784695709041462", "0.3224671290700398", "2.445134137142996", "3.754408661907416", "1.0")
+
+    def poly(coefficients: tuple[str, ...], x: str) -> str:
+        out = f"{coefficients[0]}::DOUBLE"
+        for v in coefficients[1:]:
+            out = f"(({out}) * {x} + {v}::DOUBLE)"
+        return out
+
+    tail = lambda q: f"{poly(c, f'sqrt(-2 * ln({q}))')} / {poly(d, f'sqrt(-2 * ln({q}))')}"
+    r = f"(({p} - 0.5::DOUBLE) * ({p} - 0.5::DOUBLE))"
+    return f"round(CASE WHEN {p} < 0.02425 THEN {tail(p)} WHEN {p} > 0.97575 THEN -({tail(f'(1 - {p})')}) ELSE ({p} - 0.5::DOUBLE) * {poly(a, r)} / {poly(b, r)} END, 6)"
+
+
+@query("m12_det", f"WITH {CURVE}, h AS (SELECT threshold, greatest(1e-6, least(1 - 1e-6, far)) AS f, greatest(1e-6, least(1 - 1e-6, frr)) AS g FROM curve) SELECT threshold, {PROBIT('f')} AS far_probit, {PROBIT('g')} AS frr_probit FROM h")
 def m12(spark, d):
     return metrics.det(curve(spark, d)).select("threshold", r6("far_probit"), r6("frr_probit"))
 

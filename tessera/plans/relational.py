@@ -401,7 +401,7 @@ def a23(spark, d):
 
 @query("w1_row_index", "SELECT url, row_number() OVER (ORDER BY url, page_id) - 1 AS at FROM pages")
 def w1(spark, d):
-    return read(spark, d, "pages").select("url", (F.row_number().over(Window.orderBy("url", "page_id")) - 1).cast("long").alias("at"))
+    return profile.numbered(read(spark, d, "pages").select("url", "page_id"), [F.asc("url"), F.asc("page_id")], "at").select("url", (F.col("at") - 1).alias("at"))
 
 
 @query("w2_coverage", WF + ", s AS (SELECT speaker_id, sum(duration_s) AS t FROM files GROUP BY 1) SELECT row_number() OVER (ORDER BY t DESC, speaker_id) AS rank, speaker_id, round(t, 6) AS t, round(sum(t) OVER (ORDER BY t DESC, speaker_id ROWS UNBOUNDED PRECEDING) / sum(t) OVER (), 8) AS cumulative_fraction FROM s")
@@ -422,8 +422,8 @@ def w4(spark, d):
 
 @query("w7_percentile_score", "SELECT c_custkey, round((row_number() OVER (ORDER BY c_acctbal, c_custkey) - 1) / (count(*) OVER () - 1), 8) AS p FROM customer")
 def w7(spark, d):
-    at = F.row_number().over(Window.orderBy("c_acctbal", "c_custkey")) - 1
-    return read(spark, d, "customer").select("c_custkey", F.round(at / (F.count("*").over(Window.partitionBy()) - 1), 8).alias("p"))
+    c = profile.numbered(read(spark, d, "customer").select("c_custkey", "c_acctbal"), [F.asc("c_acctbal"), F.asc("c_custkey")], "at")
+    return c.join(F.broadcast(c.agg(F.count("*").alias("n")))).select("c_custkey", F.round((F.col("at") - 1) / (F.col("n") - 1), 8).alias("p"))
 
 
 @query("w13_sliding_stats", "SELECT event_id, round(avg(value) OVER w, 6) AS m, round(greatest(var_pop(value) OVER w, 1e-10), 7) AS v FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")

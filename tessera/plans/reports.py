@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, metrics, rerank, reports, sampling, select, vectors as x
-from tessera.plans.base import FILES, KNN, VECTORS, files, knn, nodes, query, r6, read, vectors
+from tessera.plans.base import FILES, KNN, SQL, VECTORS, files, knn, nodes, query, r6, read, vectors
 from tessera.plans.evaluation import CURVE, HITS, PER, TRIALS, curve, per_query, trials
 from tessera.plans.retrieval import ADJ, COMP, DEG, HALF, MUT5, POL, R14, ROUTE, W20, W60, Z, half, policies
 from tessera.sources import readers
@@ -74,7 +74,7 @@ G14 = f"""{W60}, {Z}, {ADJ}, {MUT5}, {COMP}, sz AS (SELECT *, count(*) OVER (PAR
 
 
 def diagnostics(spark, d):
-    k = graph.cut(knn(spark, d, 60))
+    k = knn(spark, d, 60)
     return reports.tail_diagnostics(k, rerank.adjusted_ranking(k, 60), mutual_labels(spark, d), 10, 60, 20)
 
 
@@ -109,7 +109,7 @@ def components_of(spark, d, ranking):
 
 def teachers(spark, d):
     """The whole vectors and their halves: three neighbour tables."""
-    return {"whole": graph.cut(knn(spark, d, 20)), "left": graph.cut(half(spark, d, "left", 20)), "right": graph.cut(half(spark, d, "right", 20))}
+    return {"whole": knn(spark, d, 20), "left": half(spark, d, "left", 20), "right": half(spark, d, "right", 20)}
 
 
 def dropout(spark, d):
@@ -174,13 +174,13 @@ def HUB(k: int) -> str:
 
 @query("m18_hubness", f"{W60} SELECT * FROM {HUB(10)} UNION ALL SELECT * FROM {HUB(50)}")
 def m18(spark, d):
-    h = reports.hubness(graph.cut(knn(spark, d, 60)), nodes(spark, d), (10, 50))
+    h = reports.hubness(knn(spark, d, 60), nodes(spark, d), (10, 50))
     return h.select("k", "p50", r6("p95"), r6("p99"), "most", "gini")
 
 
 @query("m20_agreement", f"{W60}, {Z}, {ADJ}, j AS (SELECT coalesce(a.src, b.src) AS src, a.rank AS ra, b.rank AS rb FROM (SELECT * FROM knn WHERE rank <= 10) a FULL JOIN (SELECT * FROM adj WHERE rank <= 10) b ON a.src = b.src AND a.dst = b.dst), su AS (SELECT src, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS o, count(*) FILTER (ra = rb) AS c, count(*) FILTER (ra = 1 AND rb = 1) AS t FROM j GROUP BY 1) SELECT round(avg(o), 6) AS mean_overlap, median(o)::DOUBLE AS median_overlap, round(sum(c) / (count(*) * 10), 6) AS same_cells, round(avg((c = 10)::INT), 6) AS same_order, round(avg((o = 10)::INT), 6) AS same_set, round(avg((t = 1)::INT), 6) AS same_top1 FROM su")
 def m20(spark, d):
-    k = graph.cut(knn(spark, d, 60))
+    k = knn(spark, d, 60)
     return rounded(reports.agreement_summary(k, rerank.adjusted_ranking(k, 60), 10))
 
 
@@ -471,3 +471,6 @@ def c_dates(spark, d):
 def c_casts(spark, d):
     e = read(spark, d, "events")
     return e.select("event_id", F.col("event_type").try_cast("bigint").alias("bad_number"), F.col("value").cast("bigint").alias("whole"), F.col("event_id").cast("string").alias("text"), (F.col("event_id") % 2).cast("boolean").alias("flag"), F.col("event_id").cast("string").try_cast("double").alias("back"))
+
+
+SQL["m10_eer"] = SQL["m10_eer_sql"]

@@ -299,7 +299,7 @@ def r9_backfill(spark, d):
 
 def half(spark, d, side: str, k: int):
     e = read(spark, d, "embeddings").select("vec_id", F.slice("embedding", 1 if side == "left" else 33, 32).alias("embedding"))
-    return x.knn(e, k)
+    return graph.cut(x.knn(e, k))
 
 
 def HALF(name: str, span: str) -> str:

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.profile import numbered
 from tessera.sources.schema import require
 
 
@@ -20,8 +21,7 @@ def retrieval_manifest(spark: SparkSession, path: str, split: str, root: str, la
     """
     df = require(spark.read.csv(path, header=True), "filepath", *(["speaker_id"] if labelled else []))
     df = df.select(F.col("filepath").cast("string"), (F.col("speaker_id") if labelled else F.lit(None)).cast("string").alias("speaker_id"), F.monotonically_increasing_id().alias("_at"))
-    index = F.row_number().over(Window.orderBy("_at")) - 1
-    return df.select(index.cast("long").alias("row_index"), "filepath", "speaker_id", F.lit(split).alias("split"), F.concat_ws("/", F.lit(root.rstrip("/")), "filepath").alias("resolved_path"))
+    return numbered(df, [F.asc("_at")], "_n").select((F.col("_n") - 1).alias("row_index"), "filepath", "speaker_id", F.lit(split).alias("split"), F.concat_ws("/", F.lit(root.rstrip("/")), "filepath").alias("resolved_path"))
 
 
 def json_lines(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
@@ -60,8 +60,7 @@ def optional_table(spark: SparkSession, path: str, columns: list[str] | None = N
 def submission(spark: SparkSession, path: str) -> DataFrame:
     """(row_index, filepath, neighbours as an array of long) of a submission CSV."""
     df = require(spark.read.csv(path, header=True), "filepath", "neighbours").withColumn("_at", F.monotonically_increasing_id())
-    index = (F.row_number().over(Window.orderBy("_at")) - 1).cast("long")
-    return df.select(index.alias("row_index"), "filepath", F.transform(F.split("neighbours", ","), lambda x: F.trim(x).try_cast("bigint")).alias("neighbours"))
+    return numbered(df, [F.asc("_at")], "_n").select((F.col("_n") - 1).alias("row_index"), "filepath", F.transform(F.split("neighbours", ","), lambda x: F.trim(x).try_cast("bigint")).alias("neighbours"))
 
 
 def numpy_matrix(spark: SparkSession, path: str, key: str = "embeddings", ids: str | None = None) -> DataFrame:

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.common import bounded_sample
+from tessera.llm.common import bounded_sample, small_batches
 
 _letters: list[np.ndarray] = []
 
@@ -86,7 +86,7 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     """Fit on about `bound` rows with a text and a language, an equal share of each language, chosen by a hash of key_col.
 
     Tasks count n-grams and return one row for each language: (languages x tasks) arrays of 2**bits counts reach the driver,
-    a bound that does not grow with the input. Languages are assumed to be a small set. The prior is uniform, as the sample is
+    a bound that does not grow with the input: of the language names, the 256 most frequent are learned. The prior is uniform, as the sample is
     balanced. Without any labelled row every text is `und`.
     """
     rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
@@ -121,6 +121,7 @@ def identify(df: DataFrame, model: Languages, text_col: str = "text") -> DataFra
     The matrix is broadcast: languages x 2**bits x 4 bytes. A null text, or one without a letter, gives `und` and score 0.
     Whole texts are read. An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.common import bounded_sample, cut
+from tessera.llm.common import bounded_sample, cut, small_batches
 
 # The patterns of the base kinds, and what each must reach.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -258,7 +258,7 @@ def fit(docs: DataFrame, text_col: str = "text", key_col: str = "doc_id", bound:
     invented ones beside them (half of them keys with a digit or harmless runs each, and as many keys and phrases without a digit),
     in contexts from the sample; a fifth is held out to calibrate the scores and to set the threshold.
     """
-    rows = cut(bounded_sample(docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text is not null"), F.col("key"), bound).select("text"))
+    rows = cut(bounded_sample(docs.select(F.col(key_col).alias("key"), F.col(text_col).alias("text")).where("text is not null"), F.col("key"), bound).select("text").repartition(16))  # a bounded sample: few files
     all_found = cut(findings(rows))
     codes = lambda df: [np.frombuffer(r["code"], np.uint8).astype(np.int64) for r in df.select("at", "code").orderBy("at", "code").limit(examples).collect()]
     found, other = codes(all_found.where("label = 1")), codes(harmless(all_found, rows))
@@ -288,6 +288,7 @@ def scan(df: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFrame:
     Kinds are assign, access and hex by pattern, net by the network, which gives every span its probability; net spans overlap
     no other. A null text counts as empty. The network (a few kB) is broadcast. An empty table gives an empty result.
     """
+    small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(scanner)
     packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
     kind = pa.struct([("start", pa.int32()), ("kind", pa.string()), ("end", pa.int32()), ("score", pa.float64())])
@@ -301,6 +302,7 @@ def scan(df: DataFrame, scanner: Scanner, text_col: str = "text") -> DataFrame:
             texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode("utf-8", "replace") for i in some]
             for i, found in zip(some, shared.value.scan(texts), strict=True):
                 out[i] = [{"start": s, "kind": kind, "end": e, "score": p} for s, kind, e, p in found]
+        k.rest()
         return pa.array(out, pa.list_(kind))
 
     return packed.select("row", spans("text").alias("spans"))

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -10,6 +11,8 @@ import pyarrow as pa
 #: Odd multiplier of the polynomial hashes (arithmetic modulo 2**64) and the constants of the final mixing.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
+#: Of the C library, where it has it.
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -119,5 +122,21 @@ def column(batch: pa.RecordBatch, name: str) -> pa.Array:
 
 
 def rest() -> None:
-    """Give back to the system what Arrow has freed: a worker waits for its next task beside a JVM that needs the memory."""
+    """Give back to the system what Arrow and numpy have freed: a worker waits for its next task beside a JVM that needs the memory."""
     pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
+_kept: dict[str, Callable[[], None]] = {}
+
+
+def turn_to(operator: str, drop: Callable[[], None] | None = None) -> None:
+    """A worker that serves several operators holds the caches of one: those of the others are dropped. `drop` empties this one's."""
+    others = [name for name in _kept if name != operator]
+    for name in others:
+        _kept.pop(name)()
+    if drop is not None:
+        _kept[operator] = drop
+    if others:
+        rest()

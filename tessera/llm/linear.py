@@ -56,6 +56,7 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
     """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k.turn_to("linear")
         for batch in batches:
             found = list(features(k.column(batch, "text")))
             pack = lambda i, t: pa.array([x[i].astype(t).tobytes() for x in found], pa.binary())
@@ -70,6 +71,7 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
         shared = context.broadcast((known, leader.z[known].astype(np.float32), leader.n[known].astype(np.float32)))
 
         def learn(batches: Iterator[pa.RecordBatch], turn=turn, shared=shared) -> Iterator[pa.RecordBatch]:
+            k.turn_to("linear")
             rows = [r for batch in batches for r in batch.to_pylist()]
             rows.sort(key=lambda r: (r["label"], r["idx"], r["val"]))  # whatever order the shuffle brought
             if rows:
@@ -93,9 +95,13 @@ def shard_changes(rows: list[dict], own: Leader, state: tuple[np.ndarray, ...],
     """(indices, changes of z, changes of n) that one pass over a shard's rows makes of the state, in an order that the round's number fixes."""
     known, z, n = state
     own.z[known], own.n[known] = z, n
-    begin_z, begin_n = own.z.copy(), own.n.copy()
+    touched = np.zeros(len(own.z), bool)
+    for r in rows:
+        touched[np.frombuffer(r["idx"], np.int32)] = True
+        touched[np.frombuffer(r["swap_idx"], np.int32)] = True
+    changed = np.flatnonzero(touched).astype(np.int32)
+    begin_z, begin_n = own.z[changed], own.n[changed]
     for at in np.random.default_rng(turn).permutation(len(rows)):
         r = rows[at]
         own.learn(r["label"], (np.frombuffer(r["idx"], np.int32), np.frombuffer(r["val"], np.float32), np.frombuffer(r["swap_idx"], np.int32), np.frombuffer(r["swap_val"], np.float32)))
-    changed = np.flatnonzero((own.n != begin_n) | (own.z != begin_z)).astype(np.int32)
-    return changed, (own.z - begin_z)[changed].astype(np.float32), (own.n - begin_n)[changed].astype(np.float32)
+    return changed, (own.z[changed] - begin_z).astype(np.float32), (own.n[changed] - begin_n).astype(np.float32)

@@ -97,6 +97,7 @@ def signatures(docs: DataFrame, p: Near) -> DataFrame:
     times, plus = p.coefficients()
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k.turn_to("minhash")
         for batch in batches:
             data, offsets = k.bytes_of(k.column(batch, "text"))
             ids = k.column(batch, "id")

@@ -65,6 +65,8 @@ class Transducer:
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a text: the best-ranked pair first, the leftmost of equal ones; n log n steps for n characters."""
+        if len(text) <= 32:
+            return self.merged_short(text)
         parts, n = list(text), len(text)
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
         queue: list[tuple[float, int, str]] = []
@@ -90,6 +92,18 @@ class Transducer:
             offer(i)
         return [x for x in parts if x]
 
+    def merged_short(self, text: str) -> list[str]:
+        """The same, by looking at all pairs of a short text again and again."""
+        parts, rank, none = list(text), self.rank, float("inf")
+        while len(parts) > 1:
+            costs = [rank.get(x + y, none) for x, y in zip(parts, parts[1:], strict=False)]
+            least = min(costs)
+            if least == none:
+                break
+            best = costs.index(least)
+            parts[best : best + 2] = [parts[best] + parts[best + 1]]
+        return parts
+
     def weight(self, before: str | None, piece: str) -> float:
         """1, or infinity where the merges would not leave `piece` after `before`."""
         if piece not in self.whole:
@@ -190,6 +204,7 @@ def compiled(model: bytes) -> Transducer:
     if key not in _compiled:
         _compiled.clear()
         _compiled[key] = Transducer(model)
+    k.turn_to("pieces", _compiled.clear)
     return _compiled[key]
 
 

@@ -97,6 +97,7 @@ def score(df: DataFrame, model, text_col: str = "text") -> DataFrame:
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
+        k.turn_to("linear")
         out = pa.array(shared.value.score(text), pa.float64())
         k.rest()
         return out

@@ -8,6 +8,7 @@ import sentencepiece
 import corpus_pipeline
 from tessera.llm import pieces
 from tessera.llm.common import read, table
+from tests.llm.fixtures import awkward
 from tests.llm.test_exact_dedup import plain as plain_copies
 from tests.llm.test_minhash import plain as plain_near
 
@@ -63,3 +64,22 @@ def test_stages_without_documents(spark, sf, stages):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf)
         assert docs.count() == 0
+
+
+def test_stages_on_awkward_rows(spark, sf):
+    """Nulls, empty and long texts, repeated rows and clashing names: each stage keeps the columns and its rule."""
+    docs = awkward(spark)
+    n = docs.count()
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, sf)
+        rows = out.collect()
+        if name == "sentencepiece":
+            assert out.schema.names == ["doc_id", "source", "n_tokens", "ids"] and len(rows) == n and all(r.n_tokens == len(r.ids) for r in rows)
+        else:
+            assert out.schema.names == docs.schema.names
+        if name == "exact_dedup":
+            assert sorted(r.text for r in rows if r.text and r.doc_id in (10, 11)) == ["a"]
+        if name == "minhash_near_dedup":
+            assert sum(r.text is None for r in rows) >= 1 and len([r for r in rows if r.doc_id in (7, 8)]) == 1
+        if name == "mixing":
+            assert all(r.text and r.text.strip() for r in rows)

@@ -41,7 +41,7 @@ class Transducer:
     weight: the shortest, and the model's own segmentation. A run of spaces merges last, from the left; its arcs follow that.
     """
 
-    def __init__(self, model: bytes, cache: int = 250_000):
+    def __init__(self, model: bytes, cache: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -60,6 +60,7 @@ class Transducer:
         self.runs: dict[int, list[str]] = {}
         self.cache: dict[str, tuple[int, ...]] = {}
         self.room = cache
+        self.met, self.n_met = bytearray(1 << 23), 0  # by hash: parts that have come once; kept are those that come again
         breaks = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in self.ids)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+|[{breaks}]" if breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
@@ -187,8 +188,20 @@ class Transducer:
                 new = set(chain.from_iterable(some)).difference(self.cache)
             self.learn(list(new))
             out += [list(chain.from_iterable(map(self.cache.__getitem__, parts))) for parts in some]
+            self.keep_repeated(new)
         return out
 
+    def keep_repeated(self, new: set[str]) -> None:
+        """Take out of the cache again what has come for the first time: most parts never come a second time."""
+        if self.n_met > len(self.met) // 4:
+            self.met, self.n_met = bytearray(len(self.met)), 0
+        for part in new:
+            at = hash(part) % len(self.met)
+            if not self.met[at]:
+                self.met[at] = 1
+                self.n_met += 1
+                del self.cache[part]
+
     def decode(self, ids: list[int]) -> str:
         """The text of ids, without the space that the normaliser put first."""
         text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")

@@ -47,10 +47,11 @@ class Leader:
             self.step(swap_idx, 2 * self.swap * (w @ swap_val) * swap_val, w)
 
 
-def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]], new: Callable[[], Leader], tasks: int = 8, rounds: int = 3) -> np.ndarray:
+def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]], new: Callable[[], Leader], tasks: int = 8, rounds: int = 3, least: int = 1000) -> np.ndarray:
     """Weights fitted on (key, label, text) rows, a bounded sample.
 
-    The sample's features are written once, in `tasks` shards by a hash of the key. In each round every shard continues from
+    The sample's features are written once, in shards by a hash of the key: `tasks`, or fewer where these would hold less than
+    `least` rows each, as averages of models of a few rows are poor. In each round every shard continues from
     the averaged state over its own rows and returns what it changed; the driver averages at most tasks x 2 x 2**bits numbers,
     whatever the input's size. Shards, the order of rows in them and the order of the averages depend on the rows alone, not on files or partitions.
     """
@@ -63,6 +64,7 @@ def train(labelled: DataFrame, features: Callable[[pa.Array], Iterator[Example]]
             yield pa.RecordBatch.from_arrays([k.column(batch, "label").cast(pa.int32()), pack(0, np.int32), pack(1, np.float32), pack(2, np.int32), pack(3, np.float32)], names=["label", "idx", "val", "swap_idx", "swap_val"])
 
     small_batches(labelled.sparkSession)
+    tasks = min(tasks, max(1, labelled.count() // least))
     dealt = labelled.select(F.pmod(F.xxhash64(F.col("key").cast("string"), F.lit("shard")), F.lit(tasks)).cast("int").alias("shard"), "label", "text")
     shards = cut(dealt.repartitionById(tasks, "shard").mapInArrow(extract, EXAMPLE))
     context, leader = labelled.sparkSession.sparkContext, new()

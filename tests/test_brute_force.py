@@ -205,3 +205,25 @@ def test_wilcoxon_notes(spark):
     assert reports.signed_ranks(same, "a", "b").first().note == "all_zero_deltas"
     assert reports.signed_ranks(spark.createDataFrame([(1.0, 3.0)], "a double, b double"), "a", "b").first().note == "insufficient_overlap_for_wilcoxon"
     assert reports.two_sided(1.959964) == pytest.approx(0.05, abs=1e-5)
+
+
+def test_platt_scaling(spark, sf):
+    """The fitted slope and offset make the gradient of the logistic loss vanish (but for the ridge on the step)."""
+    from tessera.operators import metrics
+    from tessera.plans.evaluation import trials
+
+    t = trials(spark, sf)
+    a, b = metrics.platt(t)
+    rows = t.collect()
+    x, y = np.array([r.score for r in rows]), np.array([r.label for r in rows])
+    e = y - 1 / (1 + np.exp(-(a * x + b)))
+    assert abs(e.mean()) < 1e-6 and abs((e * x).mean()) < 1e-6
+    row = plans.QUERIES["m15_platt"](spark, sf).first()
+    assert row.slope == pytest.approx(a, abs=1e-6) and row.offset == pytest.approx(b, abs=1e-6)
+
+
+def test_teacher_confidence(spark):
+    """Four shares with their weights; a row that one table lacks counts as 0 there."""
+    of = lambda *v: spark.createDataFrame(list(enumerate(v)), "src long, value double")
+    got = {r.src: r.confidence for r in reports.teacher_confidence(of(1.0, 0.5), of(1.0, 0.0), of(1.0, 0.5), of(1.0)).collect()}
+    assert got[0] == pytest.approx(1.0) and got[1] == pytest.approx(0.2 + 0.1)

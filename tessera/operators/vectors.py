@@ -23,7 +23,7 @@ def dealt(queries: DataFrame, gallery: DataFrame, id_col: str, vector_col: str,
     own = lambda df, n: df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v")).withColumn("own", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int"))
     q = own(queries, n_q).select(F.col("own").alias("qb"), F.explode(F.sequence(F.lit(0), F.lit(n_g - 1))).alias("gb"), F.lit(True).alias("asks"), "id", "v")
     g = own(gallery, n_g).select(F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))).alias("qb"), F.col("own").alias("gb"), F.lit(False).alias("asks"), "id", "v")
-    return q.unionByName(g)
+    return q.unionByName(g).repartition(min(n_q * n_g, 20_000), "qb", "gb")  # by number: little data, but much work for each pair of blocks
 
 
 def sides(group: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -40,7 +40,7 @@ def best_of(x: np.ndarray, y: np.ndarray, own: np.ndarray, ids: np.ndarray, k: i
     """(row of x, row of y, score) of the k greatest products of each row with rows of another id; of equal ones the smaller id.
 
     Products in single precision find what may be among them: k strips of columns have a score that reaches the k-th greatest of
-    the strips' maxima, so what lies below it by more than the rounding is out. The others are computed again in double precision.
+    the strips' maxima (of the scores themselves, where there are fewer strips), so what lies below it by more than the rounding is out. The others are computed again in double precision.
     """
     wide = -(-len(y) // STRIP) * STRIP
     right = np.zeros((wide, y.shape[1]), np.float32)
@@ -52,9 +52,8 @@ def best_of(x: np.ndarray, y: np.ndarray, own: np.ndarray, ids: np.ndarray, k: i
         at = np.searchsorted(ids, own[a : a + SLICE])
         same = np.flatnonzero((at < len(ids)) & (ids[np.minimum(at, len(ids) - 1)] == own[a : a + SLICE]))
         s[same, at[same]] = -np.inf
-        top = s.reshape(len(s), -1, STRIP).max(axis=2)
-        n = min(k, top.shape[1])
-        bound = np.partition(top, -n, axis=1)[:, -n] if n == k else np.full(len(s), -np.inf)
+        top = s.reshape(len(s), -1, STRIP).max(axis=2) if k <= wide // STRIP else s[:, : len(y)]
+        bound = np.partition(top, -k, axis=1)[:, -k] if k <= top.shape[1] else np.full(len(s), -np.inf)
         r, c = np.nonzero(s >= np.maximum(bound - slack, -4.0)[:, None])
         exact = np.einsum("ij,ij->i", x[a + r], y[c])
         order = np.lexsort((c, -exact, r))

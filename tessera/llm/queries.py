@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import language, pieces, quality, secrets, toxicity
+from tessera.llm import language, phrases, pieces, quality, resampling, secrets, toxicity, webpages
 from tessera.llm.common import read, remainder
 from tessera.llm.exact_dedup import exact_dedup
 from tessera.llm.minhash import Near, near_dedup
@@ -70,6 +70,19 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.digests(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
 
+def op11_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return webpages.extract(read(spark, sf_dir, "pages")).select("row.page_id", "row.url", "text", "n_chars", "host", "path")
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(read(spark, sf_dir, "documents"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    drawn = resampling.resample(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return drawn.select(F.col("id").alias("doc_id"), "n_features", "weight", "score", "rank")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_quality": op2_quality,
@@ -81,6 +94,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_embedding_dedup": op8_embedding_dedup,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_html_extraction": op11_html_extraction,
+    "op12_phrase_mining": op12_phrase_mining,
+    "op13_resampling": op13_resampling,
 }
 
 SQL: dict[str, str] = {
@@ -104,4 +120,18 @@ SQL: dict[str, str] = {
         e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
         r(id, other) AS (SELECT doc_id, doc_id FROM w UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other)
         SELECT w.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(other) AS component_id, w.doc_id = min(other) AS kept FROM w JOIN r ON r.id = w.doc_id LEFT JOIN n ON n.doc_id = w.doc_id GROUP BY w.doc_id""",
+    "op12_phrase_mining": r"""
+        WITH p AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+        w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+        g AS (SELECT lang, m, unnest([list_aggregate(w[i:i + m - 1], 'string_agg', ' ') FOR i IN range(1, len(w) - m + 2)]) AS phrase FROM w, (SELECT unnest([1, 2, 3]) AS m) WHERE len(w) >= m),
+        f AS MATERIALIZED (SELECT lang, m, phrase, count(*) AS f FROM g GROUP BY ALL),
+        n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY 1),
+        c AS MATERIALIZED (SELECT lang, m, phrase, f AS a, string_split(phrase, ' ') AS w FROM f WHERE m > 1 AND f >= 10),
+        inside AS (SELECT lang, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS phrase, a FROM c WHERE m = 3),
+        covered AS (SELECT lang, phrase, max(a) AS most FROM inside GROUP BY 1, 2),
+        cuts AS (SELECT lang, phrase, a, k, list_aggregate(w[1:k], 'string_agg', ' ') AS x, list_aggregate(w[k + 1:m], 'string_agg', ' ') AS y FROM c, (SELECT unnest([1, 2]) AS k) WHERE k < m),
+        s AS (SELECT c.lang, c.phrase, c.a, k, x.f AS l, y.f AS r, ((1000000::HUGEINT * c.a * c.a) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM cuts c JOIN f x ON x.lang = c.lang AND x.phrase = c.x JOIN f y ON y.lang = c.lang AND y.phrase = c.y),
+        b AS (SELECT *, row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) AS first FROM s),
+        o AS (SELECT b.*, row_number() OVER (PARTITION BY b.lang ORDER BY score DESC, b.a DESC, encode(b.phrase)) AS rank FROM b LEFT JOIN covered v ON v.lang = b.lang AND v.phrase = b.phrase WHERE first = 1 AND NOT (v.most IS NOT NULL AND 100 * v.most >= 50 * b.a))
+        SELECT o.lang, rank, phrase, a, l, r, n, score FROM o JOIN n ON n.lang = o.lang WHERE rank <= 2000""",
 }

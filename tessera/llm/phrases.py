@@ -25,27 +25,21 @@ def gap(data: np.ndarray) -> np.ndarray:
 
 
 class Words:
-    """The words of some texts of one language, lower-cased and written one after another with a space behind each."""
-
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
-        data = k.lower_ascii(data)
-        start, end, text = k.words(data, offsets, gap)
-        stops = np.concatenate([[0], np.cumsum(STOPS[data])])
-        piece = stops[start] + text  # grows wherever a stop or the end of a text lies between two words
-        length = end - start
-        self.end = np.cumsum(length + 1) - 1
-        self.start = self.end - length
-        self.data = np.full(int(self.end[-1]) + 1 if len(end) else 0, 0x20, np.uint8)
-        self.data[ranges(self.start, length)] = data[ranges(start, length)]
-        self.piece = piece
-        self.hash = k.mix(k.Prefix(self.data).range(self.start, self.end)) if len(start) else np.zeros(0, np.uint64)
-
-    def slices(self, start: np.ndarray, end: np.ndarray) -> pa.Array:
-        """The given ranges of bytes as strings; a range ends at a word's end."""
-        length = end - start
-        data = self.data[ranges(start, length)]
+    """The words of some texts of one language: lower-cased bytes, places, pieces and 64-bit hashes (never 0)."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, seed: int = 0):
+        self.data = k.lower_ascii(data)
+        self.start, self.end, text = k.words(self.data, offsets, gap)
+        self.piece = np.concatenate([[0], np.cumsum(STOPS[self.data])])[self.start] + text  # grows wherever a stop or the end of a text lies between two words
+        h = k.mix(k.Prefix(self.data ^ np.uint8(seed % 256)).range(self.start, self.end)) if len(self.start) else np.zeros(0, np.uint64)
+        self.hash = np.maximum(h, np.uint64(1))
+
+    def texts(self, at: np.ndarray) -> pa.Array:
+        """The words at the given numbers as strings."""
+        length = self.end[at] - self.start[at]
+        data = self.data[ranges(self.start[at], length)]
         offsets = np.concatenate([[0], np.cumsum(length)]).astype(np.int64)
-        return pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(offsets), pa.py_buffer(data))
+        return pa.LargeStringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(data)).cast(pa.string())
 
 
 def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -54,7 +48,7 @@ def ranges(start: np.ndarray, length: np.ndarray) -> np.ndarray:
     return np.arange(int(length.sum())) + np.repeat(start - before, length)
 
 
-def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, Words]]:
+def by_language(batch: pa.RecordBatch, seed: int) -> Iterator[tuple[str, Words]]:
     """The words of each language of a batch of (lang, text), in runs of whole texts."""
     langs = k.column(batch, "lang")
     texts = k.column(batch, "text")
@@ -62,40 +56,36 @@ def by_language(batch: pa.RecordBatch) -> Iterator[tuple[str, Words]]:
         own = texts.filter(pc.equal(langs, lang))
         data, offsets = k.bytes_of(own)
         for a, b in k.pieces(offsets, PIECE):
-            yield lang, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+            yield lang, Words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], seed)
 
 
-def counted(table: pa.Table, keys: list[str]) -> pa.Table:
-    return table.group_by(keys, use_threads=False).aggregate([("n", "sum")]).rename_columns([*keys, "n"])
+def lines(lang: str, columns: dict) -> list[pa.RecordBatch]:
+    t = pa.table(columns)
+    return t.add_column(0, "lang", pa.array([lang] * len(t), pa.string())).combine_chunks().to_batches(max_chunksize=10_000)
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """(lang, phrase, n) of every word of texts(lang, text); each batch sends a word once."""
+def word_counts(texts: DataFrame, seed: int) -> DataFrame:
+    """(lang, x, phrase, n) of every word of texts(lang, text), x its hash; each batch sends a word once."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, words in by_language(batch):
+            for lang, words in by_language(batch, seed):
                 if len(words.start):
-                    t = counted(pa.table({"phrase": words.slices(words.start, words.end), "n": np.ones(len(words.start), np.int64)}), ["phrase"])
-                    yield from lines(lang, {"phrase": t["phrase"].cast(pa.string()), "n": t["n"]})
+                    t = pa.table({"phrase": words.texts(np.arange(len(words.start))), "x": words.hash.view(np.int64)}).group_by(["phrase", "x"], use_threads=False).aggregate([([], "count_all")])
+                    yield from lines(lang, {"x": t["x"], "phrase": t["phrase"], "n": t["count_all"]})
         k.rest()
 
-    return texts.mapInArrow(count, "lang string, phrase string, n long").groupBy("lang", "phrase").agg(F.sum("n").alias("n"))
-
-
-def lines(lang: str, columns: dict) -> list[pa.RecordBatch]:
-    t = pa.table(columns)
-    return t.add_column(0, "lang", pa.array([lang] * len(t), pa.string())).combine_chunks().to_batches(max_chunksize=10_000)
+    return texts.mapInArrow(count, "lang string, x long, phrase string, n long").groupBy("lang", "x", "phrase").agg(F.sum("n").alias("n"))
 
 
 def cells(hashes: np.ndarray, lang: str, bits: int) -> list[np.ndarray]:
     """A word's cell in each row of the table of counts."""
     own = k.Prefix(np.frombuffer(lang.encode() + b" ", np.uint8)).range(np.array([0]), np.array([len(lang.encode()) + 1]))[0]
-    return [(k.mix((hashes ^ own) * s) >> np.uint64(64 - bits)).astype(np.int64) for s in SEEDS]
+    return [(k.mix((hashes ^ own) * s) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64) for s in SEEDS]
 
 
 def rarity(frequent: DataFrame, bits: int) -> np.ndarray:
-    """Two rows of 2**bits cells: the greatest count of the frequent words (lang, phrase, n) in each cell; 0 where there is none.
+    """Two rows of 2**bits cells: the greatest count of the frequent words (lang, x, n) in each cell; 0 where there is none.
 
     A word's rarity is the smaller of its two cells: its count, but for words that share both cells with more frequent ones. The
     tasks combine cells before the shuffle; the result has 2 * 2**bits numbers of 8 bytes, whatever the number of words.
@@ -103,38 +93,38 @@ def rarity(frequent: DataFrame, bits: int) -> np.ndarray:
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            langs, n = k.column(batch, "lang"), k.column(batch, "n").to_numpy()
+            langs, n, x = k.column(batch, "lang"), k.column(batch, "n").to_numpy(), k.column(batch, "x").to_numpy().view(np.uint64)
             for lang in pc.unique(langs).to_pylist():
-                own = pc.equal(langs, lang)
-                data, offsets = k.bytes_of(k.column(batch, "phrase").filter(own))
-                h = k.mix(k.Prefix(data).range(offsets[:-1], offsets[1:]))
-                at = np.concatenate([c + (i << bits) for i, c in enumerate(cells(h, lang, bits))])
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(n[own.to_numpy(zero_copy_only=False)], len(SEEDS)))], names=["cell", "n"])
+                own = pc.equal(langs, lang).to_numpy(zero_copy_only=False)
+                at = np.concatenate([c + (i << bits) for i, c in enumerate(cells(x[own], lang, bits))])
+                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(np.tile(n[own], len(SEEDS)))], names=["cell", "n"])
 
     out = np.zeros(len(SEEDS) << bits, np.int64)
-    for r in frequent.mapInArrow(place, "cell long, n long").groupBy("cell").agg(F.max("n").alias("n")).toLocalIterator():
+    for r in frequent.select("lang", "x", "n").mapInArrow(place, "cell long, n long").groupBy("cell").agg(F.max("n").alias("n")).toLocalIterator():
         out[r["cell"]] = r["n"]
     return out.reshape(len(SEEDS), -1)
 
 
+#: A fragment: the pivot p and up to two words on either side, as hashes, 0 where there is none.
+PLACES = ("l2", "l1", "p", "r1", "r2")
+
+
 def fragments(words: Words, lang: str, table: np.ndarray) -> pa.Table | None:
-    """(pivot, before, fragment, n): each word with the neighbours that its n-grams may reach, equal fragments once with their number.
+    """(l2, l1, p, r1, r2, n): each word with the neighbours that its n-grams may reach, equal fragments once with their number.
 
     An n-gram belongs to its rarest word, the leftmost of equal ones: to the left a fragment reaches over words that are more frequent,
     to the right over words that are not rarer, up to two words each way and within the piece. Words that are not frequent
-    end a fragment. `before` is the number of words left of the pivot.
+    end a fragment.
     """
     bits = int(table.shape[1]).bit_length() - 1
     count = np.minimum(*(row[c] for row, c in zip(table, cells(words.hash, lang, bits), strict=True)))
-    n = len(count)
-    known = count > 0
-    tie = words.hash
+    n, tie = len(count), words.hash
 
     def rarer(a: np.ndarray, b: np.ndarray) -> np.ndarray:
         """Whether the words at a are rarer than those at b."""
         return (count[a] < count[b]) | ((count[a] == count[b]) & (tie[a] < tie[b]))
 
-    at = np.flatnonzero(known)
+    at = np.flatnonzero(count > 0)
     left, right = np.zeros(len(at), np.int64), np.zeros(len(at), np.int64)
     for far in (1, 2):
         i = np.flatnonzero((left == far - 1) & (at >= far))
@@ -142,55 +132,62 @@ def fragments(words: Words, lang: str, table: np.ndarray) -> pa.Table | None:
         left[i[(words.piece[there] == words.piece[at[i]]) & rarer(at[i], there)]] = far
         i = np.flatnonzero((right == far - 1) & (at + far < n))
         there = at[i] + far
-        right[i[known[there] & (words.piece[there] == words.piece[at[i]]) & ~rarer(there, at[i])]] = far
+        right[i[(count[there] > 0) & (words.piece[there] == words.piece[at[i]]) & ~rarer(there, at[i])]] = far
     some = (left > 0) | (right > 0)
     at, left, right = at[some], left[some], right[some]
     if not len(at):
         return None
-    t = pa.table({"pivot": words.hash[at].view(np.int64), "before": left.astype(np.int32), "fragment": words.slices(words.start[at - left], words.end[at + right]), "n": np.ones(len(at), np.int64)})
-    return counted(t, ["pivot", "before", "fragment"])
+    h = words.hash.view(np.int64)
+    held = {0: np.ones(len(at), bool), -1: left > 0, -2: left > 1, 1: right > 0, 2: right > 1}
+    columns = {name: np.where(held[d], h[np.clip(at + d, 0, n - 1)], 0) for name, d in zip(PLACES, (-2, -1, 0, 1, 2), strict=True)}
+    return pa.table(columns).group_by(list(PLACES), use_threads=False).aggregate([([], "count_all")])
 
 
-def routed(texts: DataFrame, table: np.ndarray) -> DataFrame:
+def routed(texts: DataFrame, table: np.ndarray, seed: int) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(table)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for lang, words in by_language(batch):
+            for lang, words in by_language(batch, seed):
                 t = fragments(words, lang, shared.value)
                 if t is not None:
-                    yield from lines(lang, {"pivot": t["pivot"], "before": t["before"], "fragment": t["fragment"].cast(pa.string()), "n": t["n"]})
+                    yield from lines(lang, {**{c: t[c] for c in PLACES}, "n": t["count_all"]})
         k.rest()
 
-    return texts.mapInArrow(route, "lang string, pivot long, before int, fragment string, n long")
+    return texts.mapInArrow(route, "lang string, " + ", ".join(f"{c} long" for c in PLACES) + ", n long")
 
 
-def owned(before: Column, words: Column) -> Column:
-    """The n-grams of two and three words of a fragment that hold its pivot, the word after `before` others."""
-    after = F.size(words) - before - 1
+def frequent_phrases(texts: DataFrame, table: np.ndarray, least: int, seed: int) -> DataFrame:
+    """(lang, x, y, z, n) of the phrases of two and three words (z is 0 for two) that occur at least `least` times.
 
-    def gram(back: int, ahead: int) -> Column:
-        fits = (before >= back) & (after >= ahead)
-        return F.when(fits, F.array_join(F.slice(words, before - back + 1, F.lit(back + ahead + 1)), " "))
+    Fragments are dealt by language and pivot; each pivot's n-grams are counted where its fragments are, without another shuffle.
+    """
+    dealt = routed(texts, table, seed).repartition("lang", "p")
+    none, c = F.lit(0).cast("long"), F.col
 
-    return F.array_compact(F.array(gram(1, 0), gram(0, 1), gram(2, 0), gram(1, 1), gram(0, 2)))
+    def gram(x: str, y: str, z: str | None = None) -> Column:
+        ends = [c(w) != 0 for w in (x, z or y)]
+        return F.when(ends[0] & ends[1], F.struct(c(x).alias("x"), c(y).alias("y"), (c(z) if z else none).alias("z")))
 
+    grams = dealt.select("lang", "p", "n", F.explode(F.array(gram("l1", "p"), gram("p", "r1"), gram("l2", "l1", "p"), gram("l1", "p", "r1"), gram("p", "r1", "r2"))).alias("g")).where("g is not null")
+    counted = grams.select("lang", "p", "n", "g.x", "g.y", "g.z").groupBy("lang", "p", "x", "y", "z").agg(F.sum("n").alias("n"))
+    return counted.where(F.col("n") >= least).select("lang", "x", "y", "z", "n")
 
-def frequent_phrases(texts: DataFrame, table: np.ndarray, least: int) -> DataFrame:
-    """(lang, phrase, n) of the phrases of two and three words that occur at least `least` times.
 
-    Fragments are dealt by language and pivot; each pivot's n-grams are counted where its fragments are, without another shuffle.
-    """
-    dealt = routed(texts, table).repartition("lang", "pivot")
-    grams = dealt.select("lang", "pivot", "n", F.explode(owned(F.col("before"), F.split("fragment", " "))).alias("phrase"))
-    return grams.groupBy("lang", "pivot", "phrase").agg(F.sum("n").alias("n")).where(F.col("n") >= least).select("lang", "phrase", "n")
+def parts(kept: DataFrame, known: DataFrame, total: int) -> DataFrame:
+    """kept(lang, x, y, z, a) with its words' texts and counts and, for three words, the counts of its first and last two.
 
-
-def part_counts(cuts: DataFrame, counts: DataFrame, side: str, total: int) -> DataFrame:
-    """cuts with the count of the part `side`: parts that very many phrases share are broadcast (see with_group), never gathered."""
-    rows = cuts.withColumn("_part", F.struct("lang", F.col(side).alias("phrase")))
-    groups = rows.groupBy("_part").agg(F.count("*").alias("_rows")).join(counts.select(F.struct("lang", "phrase").alias("_part"), F.col("n").alias(f"n_{side}")), "_part")
-    return with_group(rows, cut(groups), "_part", "_rows", total).drop("_part", "_rows", "_hot")
+    All parts are looked up in one join; those that very many phrases share are broadcast (see with_group), never gathered.
+    """
+    none, c = F.lit(0).cast("long"), F.col
+    wanted = [("x", "x", none), ("y", "y", none), ("z", "z", none), ("xy", "x", c("y")), ("yz", "y", c("z"))]
+    part = lambda name, x, y: F.struct(F.lit(name).alias("name"), c(x).alias("_x"), y.alias("_y"))
+    e = F.explode(F.when(c("z") == 0, F.array(*[part(*w) for w in wanted[:2]])).otherwise(F.array(*[part(*w) for w in wanted])))
+    rows = kept.select("lang", "x", "y", "z", "a", e.alias("_e")).select("lang", "x", "y", "z", "a", "_e.name", F.struct("lang", "_e._x", "_e._y").alias("_part"))
+    groups = rows.groupBy("_part").agg(F.count("*").alias("_rows")).join(known.select(F.struct("lang", c("x").alias("_x"), c("y").alias("_y")).alias("_part"), "phrase", "n"), "_part")
+    found = with_group(rows, cut(groups), "_part", "_rows", total)
+    at = lambda name, value: F.max(F.when(c("name") == name, c(value)))
+    return found.groupBy("lang", "x", "y", "z", "a").agg(*[at(n, "phrase").alias(f"t_{n}") for n in "xyz"], *[at(n, "n").alias(f"n_{n}") for n, *_ in wanted])
 
 
 def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang", least: int = 10, best: int = 2000, cover: int = 50, bits: int = 20) -> DataFrame:
@@ -201,39 +198,51 @@ def collocations(df: DataFrame, text_col: str = "text", lang_col: str = "lang",
     the score is the floor of 1,000,000 a a / (l r), for the cut into parts where it is lowest. Phrases of at least `least` occurrences
     count; one that lies in a longer one with at least `cover` per cent of its occurrences is left out. Ranked by score, a and phrase.
 
-    Words are counted first; those below `least` end every fragment. How rare a word is comes from a broadcast table of 2 * 2**bits
+    Words are counted first, under 64-bit hashes that are taken anew if two words should share one; those below `least` end every fragment. How rare a word is comes from a broadcast table of 2 * 2**bits
     cells filled with the counts of all frequent words: words that share their cells with more frequent ones may hand an n-gram to
     another of its words, always the same one, so that counts stay exact. Empty tables and tables without frequent phrases give
     an empty result; repeated rows count as often as they come; columns other than the two are not read.
     """
     small_batches(df.sparkSession)
     texts = df.select(F.coalesce(F.col(lang_col).cast("string"), F.lit("und")).alias("lang"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    words = word_counts(texts)
-    # One pass over the words: the frequent ones, and each language's number of occurrences beside them (null phrase).
-    counts = cut(words.groupBy("lang", F.when(F.col("n") >= least, F.col("phrase")).alias("phrase")).agg(F.sum("n").alias("n")))
+    seed, c = 0, F.col
+    while True:
+        words = word_counts(texts, seed)
+        # The frequent words, and beside them how often the others of a language occur and how many distinct words and hashes it has.
+        often = c("n") >= least
+        hashes = words.groupBy("lang", "x").agg(F.sum("n").alias("n"), F.count("*").alias("words"), F.max("phrase").alias("phrase"))
+        counts = cut(hashes.groupBy("lang", F.when(often, c("x")).alias("x"), F.when(often, c("phrase")).alias("phrase")).agg(F.sum("n").alias("n"), F.max("words").alias("words")))
+        if (counts.agg(F.max("words")).first()[0] or 1) == 1:
+            break
+        seed += 1  # two words share a hash: other hashes
     sizes = counts.groupBy("lang").agg(F.sum("n").alias("n"))
-    frequent = counts.where("phrase is not null")
-    phrases = cut(frequent_phrases(texts, rarity(frequent, bits), least))
-    known = frequent.unionByName(phrases)
+    frequent = counts.where("x is not null").select("lang", "x", "phrase", "n")
+    phrases = cut(frequent_phrases(texts, rarity(frequent, bits), least, seed))
     total = phrases.count()
-    words_of = F.split("phrase", " ")
-    longer = phrases.where(F.size(words_of) == 3).select("lang", F.explode(F.array(F.array_join(F.slice(words_of, 1, 2), " "), F.array_join(F.slice(words_of, 2, 2), " "))).alias("phrase"), F.col("n").alias("inside"))
-    covered = phrases.select("lang", "phrase", "n", F.lit(0).cast("long").alias("inside")).unionByName(longer.select("lang", "phrase", F.lit(0).cast("long").alias("n"), "inside"))
-    kept = covered.groupBy("lang", "phrase").agg(F.max("n").alias("a"), F.max("inside").alias("inside")).where((F.col("a") > 0) & (100 * F.col("inside") < cover * F.col("a"))).drop("inside")
-    cuts = kept.select("lang", "phrase", "a", F.posexplode(F.transform(F.sequence(F.lit(1), F.size(words_of) - 1), lambda i: F.struct(F.array_join(F.slice(words_of, F.lit(1), i), " ").alias("left"), F.array_join(F.slice(words_of, i + 1, F.size(words_of)), " ").alias("right")))).alias("k", "part"))
-    cuts = cuts.select("lang", "phrase", "a", "k", "part.left", "part.right")
-    cuts = part_counts(part_counts(cuts, known, "left", 2 * total), known, "right", 2 * total)
-    wide = lambda c: F.col(c).cast("decimal(19,0)")
-    cuts = cuts.withColumn("num", wide("a") * wide("a") * F.lit(1_000_000).cast("decimal(7,0)")).withColumn("den", wide("n_left") * wide("n_right"))
-    cuts = cuts.withColumn("score", F.expr("num div den"))
-    scored = cuts.groupBy("lang", "phrase", "a").agg(F.min(F.struct("score", "k", F.col("n_left").alias("l"), F.col("n_right").alias("r"))).alias("s")).select("lang", "phrase", "a", "s.l", "s.r", "s.score")
+    none = F.lit(0).cast("long")
+    known = frequent.select("lang", "x", none.alias("y"), "phrase", "n").unionByName(phrases.where("z = 0").select("lang", "x", "y", F.lit(None).cast("string").alias("phrase"), "n"))
+    longer = phrases.where("z <> 0").select("lang", F.inline(F.array(F.struct("x", "y"), F.struct(c("y").alias("x"), c("z").alias("y")))), none.alias("z"), none.alias("a"), c("n").alias("inside"))
+    covered = phrases.select("lang", "x", "y", "z", c("n").alias("a"), none.alias("inside")).unionByName(longer)
+    kept = covered.groupBy("lang", "x", "y", "z").agg(F.max("a").alias("a"), F.max("inside").alias("inside")).where((c("a") > 0) & (100 * c("inside") < cover * c("a"))).drop("inside")
+    known_parts = parts(kept, known, 5 * total)
+    wide = lambda x: c(x).cast("decimal(19,0)")
+
+    def score(left: str, right: str) -> Column:
+        million = F.lit(1_000_000).cast("decimal(7,0)")
+        return F.struct(F.call_function("div", wide("a") * wide("a") * million, wide(left) * wide(right)).alias("score"), F.lit(left).alias("k"), c(left).alias("l"), c(right).alias("r"))
+
+    two, first, second = score("n_x", "n_y"), score("n_x", "n_yz"), score("n_xy", "n_z")
+    best_cut = F.when(c("z") == 0, two).otherwise(F.when(first["score"] <= second["score"], first).otherwise(second))
+    scored = known_parts.select("lang", F.concat_ws(" ", "t_x", "t_y", "t_z").alias("phrase"), "a", best_cut.alias("s")).select("lang", "phrase", "a", "s.l", "s.r", "s.score")
     return ranked(scored, best, total).join(F.broadcast(sizes), "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
-def ranked(scored: DataFrame, best: int, total: int, most: int = 500_000) -> DataFrame:
-    """scored with rank, the first `best` of each language: of each part of a language first, so that no task orders all its phrases."""
+def ranked(scored: DataFrame, best: int, total: int) -> DataFrame:
+    """scored with rank, the first `best` of each language: of each part of a language first, so that no task orders all its phrases.
+
+    There are as many parts as make a part about as large as the parts' first rows together.
+    """
     order = [F.desc("score"), F.desc("a"), F.asc("phrase")]
-    parts = max(1, -(-total // most))
-    part = F.pmod(F.xxhash64("phrase"), F.lit(parts))
+    part = F.pmod(F.xxhash64("phrase"), F.lit(max(1, round((total / best) ** 0.5))))
     first = scored.withColumn("_part", part).withColumn("_r", F.row_number().over(Window.partitionBy("lang", "_part").orderBy(*order))).where(F.col("_r") <= best).drop("_r", "_part")
     return first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= best)

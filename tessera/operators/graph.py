@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.operators.components import components
+from tessera.operators.profile import numbered
+from tessera.operators.quantiles import quantiles
+from tessera.operators.skew import with_count
 from tessera.sources.lineage import cut
 
 
@@ -34,7 +37,8 @@ def density_z(knn: DataFrame, top: int = 20) -> DataFrame:
 def cluster_edges(knn: DataFrame, edge_top: int = 50, reciprocal_top: int = 100, shared_top: int = 50, shared_min: int = 2, rank_weight: float = 0.02, shared_weight: float = 0.04, density_penalty: float = 0.02, min_score: float | None = None, score_quantile: float | None = None) -> DataFrame:
     """(src, dst, rank, score, shared, weight): mutual edges weighted by score, rank, shared neighbours and the target's density."""
     if score_quantile is not None:
-        min_score = knn.where(F.col("rank") <= edge_top).agg(F.percentile("score", score_quantile)).first()[0]
+        found = quantiles(knn.where(F.col("rank") <= edge_top), "score", [score_quantile]).first()
+        min_score = found["value"] if found else None
     edges = mutual(knn, edge_top, reciprocal_top)
     if min_score is not None:
         edges = edges.where(F.col("score") >= min_score)
@@ -53,21 +57,23 @@ def labelled_nodes(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def dense(labels: DataFrame, label: str = "label") -> DataFrame:
-    """labels(id, label) with the labels numbered from 0 in their order; the numbering table holds one row for each label."""
-    names = labels.select(label).distinct()
-    w = Window.orderBy(label)
-    return labels.join(names.withColumn("_n", F.row_number().over(w) - 1), label).select("id", F.col("_n").cast("long").alias(label))
+    """labels(id, label) with the labels numbered from 0 in their order, by ranges of the distinct labels."""
+    names = numbered(labels.select(label).distinct(), [F.asc(label)], "_n")
+    return labels.join(names, label).select("id", (F.col("_n") - 1).cast("long").alias(label))
 
 
-def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 5, self_weight: float = 0.0, size_penalty: float = 0.0) -> DataFrame:
+def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 5, self_weight: float = 0.0, size_penalty: float = 0.0, most_edges: int = 100_000) -> DataFrame:
     """(id, label) after passes that visit rows in ascending order, each seeing the labels already changed in its pass.
 
-    edges(src, dst, weight). A row takes the label of greatest total weight, the smallest of equal ones; rows without edges keep
-    their own id. Labels never leave a connected component and a component that does not change stays so, so each component
-    is run by itself, in one group; the result is the same as over the whole table. Labels are numbered densely.
+    edges(src, dst, rank, weight). A row takes the label of greatest total weight, the smallest of equal ones; rows without edges keep
+    their own id. Labels never leave a connected component and a component that does not change stays so. Components of at most
+    most_edges edges are run by themselves, each in one group; larger ones together, each pass relaxed over the whole table
+    (`relaxed_pass`), with the same result. Labels are numbered densely.
     """
     parts = labelled_nodes(nodes, edges).where("component is not null")
-    dealt = edges.join(parts.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "weight", "rank")
+    dealt = cut(edges.join(parts.select(F.col("id").alias("src"), "component"), "src").select("component", "src", "dst", "weight", "rank"))
+    sizes = cut(dealt.groupBy("component").agg(F.count("*").alias("_edges")))
+    small = dealt.join(sizes.where(F.col("_edges") <= most_edges), "component", "left_semi")
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["src", "rank"])
@@ -86,10 +92,63 @@ def label_propagation(nodes: DataFrame, edges: DataFrame, iterations: int = 5, s
                 break
         return pd.DataFrame({"id": list(label), "label": list(label.values())})
 
-    moved = dealt.groupBy("component").applyInPandas(run, "id long, label long")
+    moved = small.groupBy("component").applyInPandas(run, "id long, label long")
+    large = sizes.where(F.col("_edges") > most_edges)
+    if large.limit(1).count():
+        own = cut(dealt.join(F.broadcast(large), "component", "left_semi").select("src", "dst", "weight", "rank"))
+        ids = own.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        moved = moved.unionByName(relaxed_propagation(ids, own, iterations, self_weight, size_penalty))
     return dense(nodes.select("id").join(moved, "id", "left").select("id", F.coalesce("label", "id").alias("label")))
 
 
+def relaxed_propagation(nodes: DataFrame, edges: DataFrame, iterations: int, self_weight: float = 0.0, size_penalty: float = 0.0) -> DataFrame:
+    """(id, label) of label_propagation's passes, each as joins and aggregations over the edge table; labels are ids, not dense."""
+    labels = cut(nodes.select("id", F.col("id").alias("label")))
+    for _ in range(iterations):
+        after = relaxed_pass(labels, edges, self_weight, size_penalty)
+        labels = after.select("id", F.col("new").alias("label"))
+        if not after.where("new <> label").limit(1).count():
+            break
+    return labels
+
+
+def relaxed_pass(labels: DataFrame, edges: DataFrame, self_weight: float = 0.0, size_penalty: float = 0.0) -> DataFrame:
+    """labels(id, label) with `new`, the labels after one pass in ascending order of id.
+
+    In such a pass a row sees the new labels of lower rows and the old ones of higher rows. All rows are computed at once from what is
+    known, then again those with a lower neighbour whose label has changed since, until nothing changes: rows depend on lower ones only,
+    so the labels that then hold are those of the pass, and after r rounds all rows are right whose chains of lower neighbours
+    are at most r long. A row's edges (edge_top at most) are one array, summed in order of rank as a loop would.
+    """
+    state = cut(labels.withColumn("new", F.col("label")))
+    sized = labels.groupBy("label").agg(F.count("*").alias("_count")) if size_penalty > 0 else None
+    todo = edges
+    while True:
+        ends = state.select(F.col("id").alias("dst"), F.col("label").alias("_old"), F.col("new").alias("_new"))
+        seen = todo.join(ends, "dst").select("src", "rank", "weight", F.when(F.col("dst") < F.col("src"), F.col("_new")).otherwise(F.col("_old")).alias("l"))
+        if self_weight > 0:
+            own = todo.select("src").distinct().join(labels.select(F.col("id").alias("src"), F.col("label").alias("l")), "src")
+            seen = seen.unionByName(own.select("src", F.lit(-1).alias("rank"), F.lit(float(self_weight)).alias("weight"), "l"))
+        if sized is not None:
+            seen = seen.join(sized.select(F.col("label").alias("l"), "_count"), "l", "left").withColumn("_count", F.coalesce("_count", F.lit(1)))
+        else:
+            seen = seen.withColumn("_count", F.lit(1))
+        near = seen.groupBy("src").agg(F.array_sort(F.collect_list(F.struct("rank", "l", F.col("weight").cast("double").alias("w"), "_count"))).alias("_near"))
+
+        def total(label):
+            mine = F.filter("_near", lambda x: x["l"] == label)
+            weight = F.aggregate(mine, F.lit(0.0), lambda a, x: a + x["w"])
+            return F.struct((weight / F.pow(F.element_at(mine, 1)["_count"], F.lit(float(size_penalty))) if size_penalty > 0 else weight).alias("w"), (-label).alias("l"))
+
+        best = (-F.array_max(F.transform(F.array_distinct(F.transform("_near", lambda x: x["l"])), total))["l"]).alias("_best")
+        moved = cut(near.select(F.col("src").alias("id"), best).join(state, "id").where("_best <> new").select("id", "_best"))
+        if not moved.limit(1).count():
+            return state
+        state = cut(state.join(moved, "id", "left").select("id", "label", F.coalesce("_best", "new").alias("new")))
+        again = edges.join(moved.select(F.col("id").alias("dst")), "dst").where("src > dst").select("src").distinct()
+        todo = edges.join(again, "src", "left_semi")
+
+
 def synchronous_propagation(nodes: DataFrame, edges: DataFrame, iterations: int) -> DataFrame:
     """(id, label) after passes in which all rows see the labels of the pass before: a named variant that SQL can check."""
     labels = nodes.select("id", F.col("id").alias("label"))
@@ -102,7 +161,7 @@ def synchronous_propagation(nodes: DataFrame, edges: DataFrame, iterations: int)
 
 def split_oversized(labels: DataFrame, edges: DataFrame, max_size: int, edge_top: int) -> DataFrame:
     """(id, label): labels of more than max_size rows are split into the components of their inner edges of rank <= edge_top."""
-    sized = labels.withColumn("n", F.count("*").over(Window.partitionBy("label")))
+    sized = with_count(labels, "label", "n")
     big = sized.where(F.col("n") > max_size).select("id", "label")
     inner = edges.where(F.col("rank") <= edge_top).join(big.select(F.col("id").alias("src"), "label"), "src").join(big.select(F.col("id").alias("dst"), F.col("label").alias("to")), "dst").where("label = to")
     parts = labelled_nodes(big, inner)

@@ -127,27 +127,3 @@ def trimmed(rate: int, below: float = 38.0, context: float = 0.15, least: float
         return pd.Series([one(x) for x in signal])
 
     return trim
-
-
-def log_mel(rate: int, bands: int = 24, frame: float = 0.025, hop: float = 0.010):
-    """A kernel from samples to log filterbank frames (array of arrays)."""
-
-    @F.pandas_udf("array<array<double>>")
-    def mel(signal: pd.Series) -> pd.Series:
-        size, step = int(frame * rate), int(hop * rate)
-        fft = 1 << (size - 1).bit_length()
-        hz = lambda m: 700 * (10 ** (m / 2595) - 1)
-        edges = np.floor((fft + 1) * hz(np.linspace(2595 * np.log10(1 + 20 / 700), 2595 * np.log10(1 + rate / 1400), bands + 2)) / rate).astype(int)
-        bank = np.zeros((bands, fft // 2 + 1))
-        for i, (a, b, c) in enumerate(zip(edges, edges[1:], edges[2:], strict=False)):
-            bank[i, a:b] = (np.arange(a, b) - a) / max(b - a, 1)
-            bank[i, b:c] = (c - np.arange(b, c)) / max(c - b, 1)
-
-        def one(x) -> list[list[float]]:
-            x = np.asarray(x, float)
-            rows = [x[i : i + size] * np.hamming(size) for i in range(0, len(x) - size + 1, step)]
-            return [np.log(np.maximum(bank @ (np.abs(np.fft.rfft(r, fft)) ** 2), 1e-10)).tolist() for r in rows]
-
-        return pd.Series([one(x) for x in signal])
-
-    return mel

@@ -7,15 +7,17 @@ import wave
 
 import numpy as np
 import pandas as pd
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType
 
-from tessera.operators import signal
+from tessera.operators import filterbank, signal
+from tessera.operators.filterbank import FilterBank
 from tessera.plans.base import FILES, KNN, files, knn, nodes, query, r6, read
 from tessera.plans.evaluation import CURVE, TRIALS, curve, trials
-from tessera.sources import readers, schema, sinks
+from tessera.sources import arrays, readers, schema, sinks
 from tessera.sources.lineage import fresh_path
-from tessera.streaming import jobs
+from tessera.streaming import frontend, jobs
 
 WF = f"WITH {FILES} "
 
@@ -193,6 +195,38 @@ def k8(spark, d):
     return readers.table(spark, path).where("c_mktsegment = 'BUILDING'")
 
 
+@query("k9_npy_sink", "SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS row, len(embedding) AS width, round(list_sum(embedding::DOUBLE[]), 4) AS total FROM embeddings")
+def k9(spark, d):
+    """Embeddings as a matrix of .npy files in order of their ids, with their metadata beside it, read back by row."""
+    path = fresh_path(spark)
+    arrays.write_bank(read(spark, d, "embeddings"), path, "vec_id", "embedding")
+    return arrays.read_bank(spark, path).select("vec_id", "row", F.size("values").cast("long").alias("width"), F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+
+
+@query("s8_embedding_matrix", "SELECT label, count(*) AS n, round(sum(embedding[1]::DOUBLE), 4) AS first, round(sum(embedding[64]::DOUBLE), 4) AS last FROM embeddings GROUP BY 1")
+def s8(spark, d):
+    """A matrix read by parts of 100 rows, joined to its metadata by row."""
+    path = fresh_path(spark)
+    arrays.write_bank(read(spark, d, "embeddings"), path, "vec_id", "embedding")
+    rows = spark.read.format("npy").option("rows", 100).load(f"{path}/matrix")
+    return spark.read.parquet(f"{path}/rows.parquet").join(rows, "row").groupBy("label").agg(F.count("*").alias("n"), F.round(F.sum(F.element_at("values", 1).cast("double")), 4).alias("first"), F.round(F.sum(F.element_at("values", 64).cast("double")), 4).alias("last"))
+
+
+@query("s18_feature_pack", "WITH f AS (SELECT user_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events), n AS (SELECT user_id, count(*) // 4 AS frames FROM f GROUP BY 1), o AS (SELECT user_id, frames, coalesce(sum(frames) OVER (ORDER BY user_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS first FROM n) SELECT o.user_id, first, frames, round(coalesce(sum(value::FLOAT::DOUBLE) FILTER (i < frames * 4), 0), 3) AS total FROM o JOIN f ON f.user_id = o.user_id GROUP BY 1, 2, 3")
+def s18(spark, d):
+    """Frames of four event values for each user, packed into one matrix and read back by each user's byte range."""
+    path = fresh_path(spark)
+    whole = event_values(spark, d).withColumn("frames", F.transform(F.sequence(F.lit(0), F.floor(F.size("values") / 4).cast("int")), lambda i: F.slice("values", 4 * i + 1, 4)))
+    arrays.write_pack(whole.select("user_id", F.filter("frames", lambda f: F.size(f) == 4).alias("frames")), path, "user_id", "frames")
+    got = arrays.read_pack(spark, path, key="user_id").join(spark.read.parquet(f"{path}/places.parquet"), "user_id")
+    return got.select("user_id", "first", F.col("count").alias("frames"), F.round(F.aggregate(F.flatten("frames"), F.lit(0.0), lambda a, x: a + x), 3).alias("total"))
+
+
+def event_values(spark, d):
+    """(user_id, values): each user's event values in order."""
+    return read(spark, d, "events").groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("event_id", "value"))), lambda x: x["value"]).alias("values"))
+
+
 @query("k10_mixed_manifest", "SELECT doc_id, lang, NULL::INT AS toxic, 0 AS part FROM documents UNION ALL SELECT doc_id, NULL, toxic, 1 FROM labels")
 def k10(spark, d):
     return sinks.mixed_manifest(read(spark, d, "documents").select("doc_id", "lang"), read(spark, d, "labels").select("doc_id", "toxic"))
@@ -266,10 +300,25 @@ def q7(spark, d):
     return y.select("doc_id", F.size("y").cast("long").alias("n"), F.round(F.element_at("y", 20), 8).alias("twentieth"), F.round(F.element_at("y", 10), 8).alias("tenth"))
 
 
-@query("q8_log_mel")
+def bank_sql(bank: FilterBank, samples: str) -> str:
+    """CTEs up to e(utt, frame, band, v): the log energies of samples(utt, i, value), by sums over the samples of each frame and frequency."""
+    taper = ", ".join(f"({j}, {float(w)!r}::DOUBLE)" for j, w in enumerate(bank.taper()))
+    weight = ", ".join(f"({k}, {b}, {float(w)!r}::DOUBLE)" for (k, b), w in np.ndenumerate(bank.weights()) if w > 0)
+    frames = f"CASE WHEN n <= {bank.size} THEN 1 ELSE (n - {bank.size} + {bank.hop - 1}) // {bank.hop} + 1 END"
+    return f"""{samples}, size AS (SELECT utt, count(*) AS n FROM samples GROUP BY 1), fr AS (SELECT utt, unnest(range(0, {frames})) AS frame FROM size),
+        taper(j, t) AS (VALUES {taper}), band(k, band, w) AS (VALUES {weight}), freq AS (SELECT unnest(range(0, {bank.fft // 2 + 1})) AS k),
+        turn AS (SELECT j, k, t * cos(2 * pi() * k * j / {bank.fft}) AS c, t * sin(2 * pi() * k * j / {bank.fft}) AS s FROM taper, freq),
+        sums AS (SELECT fr.utt, frame, k, sum(value * c) AS re, sum(value * s) AS im FROM fr JOIN samples x ON x.utt = fr.utt AND i >= frame * {bank.hop} AND i < frame * {bank.hop} + {bank.size} JOIN turn ON j = i - frame * {bank.hop} GROUP BY 1, 2, 3),
+        e AS (SELECT utt, frame, band, ln(greatest(sum((re * re + im * im) * w), {bank.floor})) AS v FROM sums JOIN band USING (k) GROUP BY 1, 2, 3)"""
+
+
+DOCUMENT_BANK = FilterBank(rate=1000, bands=4, frame_ms=24, hop_ms=12, fft=32)
+
+
+@query("q8_log_mel", f"WITH {SIG}, {bank_sql(DOCUMENT_BANK, 'samples AS (SELECT doc_id AS utt, unnest(x) AS value, unnest(range(0, len(x))) AS i FROM g)')} SELECT utt AS doc_id, count(DISTINCT frame) AS frames, count(DISTINCT band) AS bands, round(avg(v), 4) AS mean FROM e GROUP BY 1")
 def q8(spark, d):
     """Frames and bands of the log filterbank, and its mean."""
-    m = signals(spark, d).select("doc_id", signal.log_mel(1000, 8)("x").alias("m"))
+    m = signals(spark, d).select("doc_id", filterbank.log_mel(DOCUMENT_BANK)("x").alias("m"))
     return m.select("doc_id", F.size("m").cast("long").alias("frames"), F.size(F.element_at("m", 1)).cast("long").alias("bands"), F.round(F.aggregate(F.flatten("m"), F.lit(0.0), lambda a, v: a + v) / F.size(F.flatten("m")), 4).alias("mean"))
 
 
@@ -309,17 +358,70 @@ def arriving(spark, d) -> str:
         e.where(F.floor(F.col("event_id") * 3 / F.lit(most + 1)) == i).coalesce(1).sortWithinPartitions("event_id").write.mode("append").parquet(path)
     return path
 
-@query("st1_sliding_normalised", "SELECT event_id AS at, round((value - avg(value) OVER w) / sqrt(greatest(var_pop(value) OVER w, 1e-10)), 4) AS z FROM events WHERE user_id % 5 = 0 OR true WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)".replace(" WHERE user_id % 5 = 0 OR true", ""))
+
+EVENT_BANK = FilterBank(rate=1000, bands=4, frame_ms=16, hop_ms=6, fft=16)
+EVENT_SAMPLES = "samples AS (SELECT user_id AS utt, value / 100 AS value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS i FROM events)"
+
+
+def event_chunks(spark, d, size: int = 7):
+    """Each user's event values as a signal in chunks of `size` samples, the last one marked."""
+    w = Window.partitionBy("user_id")
+    e = read(spark, d, "events").withColumns({"i": F.row_number().over(w.orderBy("event_id")) - 1, "n": F.count("*").over(w)})
+    chunks = e.groupBy("user_id", F.floor(F.col("i") / size).alias("seq")).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", (F.col("value") / 100).alias("v")))), lambda x: x["v"]).alias("samples"), (F.max("i") + 1 == F.first("n")).alias("last"))
+    return chunks.select(F.col("user_id").cast("string").alias("utt"), "seq", "samples", "last", F.when(F.col("user_id") % 2 == 0, 8.0).otherwise(16.0).alias("extra"))
+
+
+def shuffled_chunks(spark, d) -> str:
+    """The chunks in a folder of three files that each hold some chunks of every signal, in no order."""
+    path = fresh_path(spark)
+    event_chunks(spark, d).repartition(3, F.xxhash64("utt", "seq")).write.parquet(path)
+    return path
+
+
+def long_frames(df):
+    return df.select(F.col("utt").cast("long").alias("utt"), "frame", F.posexplode("values").alias("band", "v")).select("utt", "frame", F.col("band").cast("long").alias("band"), F.round("v", 5).alias("v"))
+
+
+@query("q8_filterbank", f"WITH {bank_sql(EVENT_BANK, EVENT_SAMPLES)} SELECT utt, frame, band, round(v, 5) AS v FROM e")
+def q8_bank(spark, d):
+    """The filterbank over each user's whole signal of event values."""
+    x = event_chunks(spark, d, 1 << 30).select("utt", filterbank.log_mel(EVENT_BANK)("samples").alias("m"))
+    return long_frames(x.select("utt", F.posexplode("m").alias("frame", "values")).withColumn("frame", F.col("frame").cast("long")))
+
+
+NORMALISED = "SELECT utt, frame, band, round((v - avg(v) OVER w) / sqrt(greatest(var_pop(v) OVER w, 1e-5)), 5) AS v FROM e WINDOW w AS (PARTITION BY utt, band ORDER BY frame ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)"
+
+
+@query("st1_online_filterbank", f"WITH {bank_sql(EVENT_BANK, EVENT_SAMPLES)} {NORMALISED}")
+def st1_bank(spark, d):
+    """The same filterbank, normalised over five frames, from a stream of chunks in any order."""
+    return long_frames(jobs.replay(spark, shuffled_chunks(spark, d), lambda c: frontend.online_bank(c.drop("extra"), EVENT_BANK, 5), "append"))
+
+
+WIDTHS = {8: (6, 2), 16: (10, 3)}
+
+
+@query("st2_online_activity", f"""WITH RECURSIVE {EVENT_SAMPLES}, size AS (SELECT utt, count(*) AS n, CASE WHEN utt % 2 = 0 THEN 6 ELSE 10 END AS width, CASE WHEN utt % 2 = 0 THEN 2 ELSE 3 END AS before FROM samples GROUP BY 1),
+    win AS (SELECT *, unnest(range(0, (n + width - 1) // width)) AS win FROM size),
+    level AS (SELECT win.utt, win, any_value(width + before) AS len, 10 * log10(greatest(sum(value * value) / any_value(width + before), 1e-10)) AS level FROM win JOIN samples x ON x.utt = win.utt AND i >= win * width - before AND i < win * width + width GROUP BY 1, 2),
+    h AS (SELECT utt, win, level AS fast, level AS slow FROM level WHERE win = 0 UNION ALL SELECT l.utt, l.win, 0.5 * h.fast + 0.5 * l.level, 0.99 * h.slow + 0.01 * l.level FROM h JOIN level l ON l.utt = h.utt AND l.win = h.win + 1)
+    SELECT utt, win AS "window", round(1 / (1 + exp(-0.5 * (fast - slow - 6))), 5) AS probability FROM h""")
+def st2_activity(spark, d):
+    """Voice activity with composite state over the stream of chunks; the rate, and so the window, differs between users."""
+    p = jobs.replay(spark, shuffled_chunks(spark, d), lambda c: frontend.online_activity(c, widths=WIDTHS), "append")
+    return p.select(F.col("utt").cast("long").alias("utt"), "window", F.round("probability", 5).alias("probability"))
+
+
+@query("st1_sliding_normalised", "SELECT event_id AS at, round((value - avg(value) OVER w) / sqrt(greatest(var_pop(value) OVER w, 1e-10)), 4) AS z FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)")
 def st1(spark, d):
     frames = lambda e: jobs.sliding_normalised(e.select(F.col("user_id").cast("string").alias("utt"), F.col("event_id").alias("at"), F.array("value").alias("values")), 10)
     return jobs.replay(spark, arriving(spark, d), frames, "append").select("at", F.round(F.element_at("values", 1), 4).alias("z"))
 
 
-@query("st2_recurrent_activity", "WITH f AS (SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), l AS (SELECT a.event_id, sum(0.1 * b.value * power(0.9, a.i - b.i)) AS level FROM f a JOIN f b ON a.user_id = b.user_id AND b.i <= a.i GROUP BY 1) SELECT event_id AS at, floor(level * 1000 + 0.37110001234567::DOUBLE)::BIGINT AS level, level >= 20 AS speech FROM l")
+@query("st2_recurrent_activity", "WITH RECURSIVE f AS (SELECT user_id, event_id, floor(value * 1000 + 0.5)::BIGINT AS e, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS i FROM events), l AS (SELECT user_id, event_id, i, floor(e / 10)::BIGINT AS level FROM f WHERE i = 1 UNION ALL SELECT f.user_id, f.event_id, f.i, l.level + floor((f.e - l.level) / 10)::BIGINT FROM l JOIN f ON f.user_id = l.user_id AND f.i = l.i + 1) SELECT event_id AS at, level, level >= 20000 AS speech FROM l")
 def st2(spark, d):
-    """The level in thousandths, cut with an odd offset: sums in another order do not tip it over."""
-    frames = lambda e: jobs.recurrent_activity(e.select(F.col("user_id").cast("string").alias("utt"), F.col("event_id").alias("at"), F.col("value").alias("energy")), 0.9, 20.0)
-    return jobs.replay(spark, arriving(spark, d), frames, "append").select("at", F.floor(F.col("level") * 1000 + F.lit(0.37110001234567)).alias("level"), "speech")
+    frames = lambda e: jobs.recurrent_activity(e.select(F.col("user_id").cast("string").alias("utt"), F.col("event_id").alias("at"), F.col("value").alias("energy")), 10, 20_000)
+    return jobs.replay(spark, arriving(spark, d), frames, "append").select("at", "level", "speech")
 
 
 @query("st4_telemetry_stream", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 6) AS total, count(*) FILTER (value <= 10) AS le_10, count(*) FILTER (value <= 50) AS le_50, count(*) FILTER (value <= 100) AS le_100 FROM events GROUP BY 1, 2")

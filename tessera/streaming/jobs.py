@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from typing import Any
 
@@ -23,33 +22,55 @@ def telemetry(events: DataFrame, window: str = "1 hour", late: str = "2 hours",
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", F.round("total", 6).alias("total"), *[f"le_{b:g}" for b in bounds])
 
 
-def replay(spark: SparkSession, path: str, build, mode: str = "complete", files_per_trigger: int = 1) -> DataFrame:
-    """Run a streaming query over the Parquet files of a folder to its end and return its rows from memory: for tests and small inputs."""
+ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def run_to_end(spark: SparkSession, path: str, build, out: str, state: str, mode: str = "append", files_per_trigger: int = 1) -> None:
+    """Run a streaming query over the Parquet files of a folder to its end, and write its rows to `out`; `state` is its checkpoint.
+
+    In append mode rows are appended as Parquet; in complete mode each micro-batch replaces the table by the whole result, so that a
+    retry changes nothing. Composite state needs the RocksDB store, which the query takes for itself. A query with processing-time
+    timers never ends by itself and is started with a trigger of its own instead.
+    """
     schema = spark.read.parquet(path).schema
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
-    name = "replay_" + uuid.uuid4().hex
-    query = build(stream).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", fresh_path(spark)).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.table(name)
+    stream = build(spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path))
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, ROCKS)
+    try:
+        writer = stream.writeStream.outputMode(mode).option("checkpointLocation", state).trigger(availableNow=True)
+        writer = writer.format("parquet").option("path", out) if mode == "append" else writer.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(out))
+        writer.start().awaitTermination()
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)
+
+
+def replay(spark: SparkSession, path: str, build, mode: str = "complete", files_per_trigger: int = 1) -> DataFrame:
+    """The rows of a streaming query over the Parquet files of a folder, run to its end and written in the shared folder."""
+    out = fresh_path(spark, ".parquet")
+    run_to_end(spark, path, build, out, fresh_path(spark), mode, files_per_trigger)
+    return spark.read.parquet(out)
 
 
-def recurrent_activity(frames: DataFrame, keep: float = 0.9, threshold: float = 0.5) -> DataFrame:
-    """(utt, at, level, speech) of frames(utt, at, energy): a level that keeps part of itself from frame to frame, as state across batches.
+def recurrent_activity(frames: DataFrame, share: int = 10, threshold: int = 500) -> DataFrame:
+    """(utt, at, level, speech) of frames(utt, at, energy): a level in thousandths that moves by one part in `share` towards each frame's energy.
 
-    Frames of an utterance must arrive in order of `at`; the state is one number for each utterance.
+    Energies count in whole thousandths and steps are rounded down, so that levels are exact. Frames of an utterance must arrive in
+    order of `at`; the state is one number for each utterance. `frontend.online_activity` takes chunks of samples in any order.
     """
 
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        level = state.get[0] if state.exists else 0.0
+        level = state.get[0] if state.exists else 0
         frames = pd.concat(list(batches)).sort_values("at")
         levels = []
         for e in frames["energy"]:
-            level = keep * level + (1 - keep) * float(e)
+            level += (int(e) - level) // share
             levels.append(level)
         state.update((level,))
         yield pd.DataFrame({"utt": key[0], "at": frames["at"].to_numpy(), "level": levels, "speech": np.array(levels) >= threshold})
 
-    return frames.groupBy("utt").applyInPandasWithState(step, "utt string, at long, level double, speech boolean", "level double", "append", "NoTimeout")
+    whole = frames.select("utt", "at", F.floor(F.col("energy") * 1000 + 0.5).cast("long").alias("energy"))
+    return whole.groupBy("utt").applyInPandasWithState(step, "utt string, at long, level long, speech boolean", "level long", "append", "NoTimeout")
 
 
 def sliding_normalised(frames: DataFrame, window: int) -> DataFrame:

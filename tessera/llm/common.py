@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,19 +45,23 @@ def remainder(id_col: str, modulus: int) -> Column:
 def bounded_sample(df: DataFrame, key: Column, bound: int, by: str | None = None, values: int = 256) -> DataFrame:
     """Rows chosen by a hash of key, about `bound` in all (within each value of `by`, an equal share of it).
 
-    Counts first (only the columns needed), then keeps rows whose hash lies below bound/count; no row is shuffled. Of `by`, the
-    `values` most frequent values are sampled, so that what reaches the driver has a bound.
+    Counts first (only the columns needed), then keeps rows whose 63-bit hash lies below the share bound/count; no row is shuffled. Of
+    `by`, the `values` most frequent values are sampled, so that what reaches the driver has a bound.
     """
-    unit = F.pmod(F.xxhash64(key, F.lit("sample")), F.lit(1 << 20))
+    unit = F.xxhash64(key, F.lit("sample")).bitwiseAND((1 << 63) - 1)
     if by is None:
-        n = df.count()
-        return df.where(unit < int((1 << 20) * min(1.0, bound / max(n, 1))))
+        return df.where(unit <= highest_hash(bound, df.count()))
     counts = {r[0]: r[1] for r in df.groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()}
     share = bound / max(1, len(counts))
-    rate = F.lit(0)
+    rate = F.lit(-1).cast("long")
     for value, n in counts.items():
-        rate = F.when(F.col(by) == F.lit(value), int((1 << 20) * min(1.0, share / n))).otherwise(rate)
-    return df.where(unit < rate)
+        rate = F.when(F.col(by) == F.lit(value), F.lit(highest_hash(share, n))).otherwise(rate)
+    return df.where(unit <= rate)
+
+
+def highest_hash(bound: float, n: int) -> int:
+    """The 63-bit hash up to which about `bound` of n rows lie: never so low that none can, however many rows there are."""
+    return (1 << 63) - 1 if n <= bound else max(1, int((1 << 63) * Fraction(bound) / n) - 1)
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, id_col: str, text_col: str, bound: int) -> DataFrame:

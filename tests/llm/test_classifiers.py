@@ -5,7 +5,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from tessera.llm import language, quality, queries, toxicity
+from tessera.llm import common, language, linear, quality, queries, toxicity
 from tests.llm.fixtures import awkward, nothing
 
 BIG = "/root/testdata/sf0.01"
@@ -42,6 +42,52 @@ def test_naive_bayes_sums(spark):
 def test_held_out_accuracy(spark, query, label, least):
     got = query(spark, BIG).join(spark.read.parquet(f"{BIG}/labels.parquet"), "doc_id").where(f"held_out and {label} is not null").toPandas()
     assert len(got) > 50 and (got.predicted == got[label]).mean() >= least and got.score.between(0, 1).all()
+    constant = max(got[label].mean(), 1 - got[label].mean())
+    assert (got.predicted == got[label]).mean() > constant and area(got[label], got.score) >= 0.93
+
+
+def area(label, score) -> float:
+    """Area under the curve: how often a row of label 1 scores above one of label 0, ties counted half."""
+    a, b = score[label == 1].to_numpy(), score[label == 0].to_numpy()
+    return float(((a[:, None] > b).sum() + (a[:, None] == b).sum() / 2) / (len(a) * len(b)))
+
+
+def test_held_out_toxicity(spark):
+    """On 10,000 documents: recall, precision and area over the held-out rows."""
+    table = "/root/testdata/sf0.1"
+    got = queries.op5_toxicity(spark, table).join(spark.read.parquet(f"{table}/labels.parquet"), "doc_id").where("held_out and toxic is not null").toPandas()
+    found = got[got.predicted == 1].toxic
+    assert found.sum() >= 0.75 * got.toxic.sum() and found.mean() >= 0.95 and area(got.toxic, got.score) >= 0.95
+    print("held out", len(got), (got.predicted == got.toxic).mean(), found.sum(), got.toxic.sum(), (1 - found).sum(), area(got.toxic, got.score))
+
+
+def test_swap_penalty_gradient():
+    """The penalty's step follows the numerical gradient of swap * (score of the text - score of its counterpart)**2."""
+    rng = np.random.default_rng(5)
+    leader = linear.Leader(6, alpha=0.3, l1=0.0, l2=0.0, swap=2.0)
+    leader.z, leader.n = rng.normal(size=64), rng.random(64) + 0.5
+    idx, swap_idx, val = np.array([0, 3, 9]), np.array([3, 9, 20]), np.array([1.0, 1.0, -1.0])
+    start = linear.Leader(6, alpha=0.3, l1=0.0, l2=0.0, swap=0.0)
+    start.z, start.n = leader.z.copy(), leader.n.copy()
+    for x in (leader, start):
+        x.learn(1, (idx, np.ones(3), swap_idx, val))
+    w = start.weights(swap_idx)
+    loss = lambda v: 2.0 * float(v @ val) ** 2
+    gradient = np.array([(loss(w + 1e-6 * e) - loss(w - 1e-6 * e)) / 2e-6 for e in np.eye(3)])
+    assert np.allclose(leader.n[swap_idx] - start.n[swap_idx], gradient**2, rtol=1e-5)
+    moved = gradient - (np.sqrt(start.n[swap_idx] + gradient**2) - np.sqrt(start.n[swap_idx])) / 0.3 * w
+    assert np.allclose(leader.z[swap_idx] - start.z[swap_idx], moved, rtol=1e-4, atol=1e-6)
+
+
+def test_sample_of_any_size(spark):
+    """The share of hashes that a sample takes is never 0, and right to the hash's precision."""
+    for n in (10**4, 10**6, 10**11, 10**15):
+        assert common.highest_hash(100, n) / 2**63 * n == pytest.approx(100, rel=1e-3)
+    assert common.highest_hash(100, 100) == 2**63 - 1
+    df = spark.range(1_000_000)
+    assert 60 <= common.bounded_sample(df, F.col("id"), 100).count() <= 140 and common.bounded_sample(df.limit(50), F.col("id"), 100).count() == 50
+    groups = common.bounded_sample(df.withColumn("g", F.col("id") % 2), F.col("id"), 100, "g").groupBy("g").count().collect()
+    assert len(groups) == 2 and all(25 <= r["count"] <= 80 for r in groups)
 
 
 @pytest.mark.parametrize("module, label", [(quality, "quality"), (toxicity, "toxic")])

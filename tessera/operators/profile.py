@@ -48,15 +48,16 @@ def speaker_stats(files: DataFrame, short: float = 2.0) -> DataFrame:
     )
 
 
-def stat(c: Column, at: float) -> Column:
-    return F.percentile(c, F.lit(at))
-
-
 def long_summary(df: DataFrame, by: str, metrics: list[str]) -> DataFrame:
-    """(by, metric, count, mean, min, p10, p50, p90, p99, max): one unpivot, one aggregation."""
+    """(by, metric, count, mean, min, p10, p50, p90, p99, max): one unpivot, one aggregation, quantiles by ranges; `by` is not null."""
+    from tessera.operators.quantiles import quantile_columns
+
     x = df.select(by, *[F.col(m).cast("double").alias(m) for m in metrics]).unpivot([by], metrics, "metric", "value")
     v = F.col("value")
-    return x.groupBy(by, "metric").agg(F.count(v).alias("count"), F.round(F.avg(v), 8).alias("mean"), F.round(F.min(v), 8).alias("min"), *[F.round(stat(v, q), 8).alias(f"p{round(100 * q)}") for q in (0.1, 0.5, 0.9, 0.99)], F.round(F.max(v), 8).alias("max"))
+    whole = x.groupBy(by, "metric").agg(F.count(v).alias("count"), F.round(F.avg(v), 8).alias("mean"), F.round(F.min(v), 8).alias("min"), F.round(F.max(v), 8).alias("max"))
+    names = {f"p{round(100 * q)}": ("value", q) for q in (0.1, 0.5, 0.9, 0.99)}
+    ends = quantile_columns(x, names, (by, "metric")).select(by, "metric", *[F.round(n, 8).alias(n) for n in names])
+    return whole.join(ends, [by, "metric"], "left").select(by, "metric", "count", "mean", "min", *names, "max")
 
 
 def breakdown(df: DataFrame, buckets: list[str], aggregates: list[Column]) -> DataFrame:
@@ -78,10 +79,9 @@ def post_stratified(local: DataFrame, public: DataFrame, bucket: str, value: str
 
 def coverage(stats: DataFrame, key: str, metric: str) -> DataFrame:
     """(rank, key, metric, cumulative_fraction), the largest first; null fractions where the total is not positive."""
-    w = Window.orderBy(F.desc(metric), key)
-    total = F.sum(metric).over(Window.partitionBy())
-    so_far = F.sum(metric).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    return stats.select(F.row_number().over(w).alias("rank"), key, metric, F.when(total > 0, so_far / total).alias("cumulative_fraction"))
+    x = running_sums(stats.select(key, metric, F.lit(1).cast("long").alias("_one")), [F.desc(metric), F.asc(key)], {"rank": "_one", "_so_far": metric})
+    x = x.join(F.broadcast(stats.agg(F.sum(metric).alias("_total"))))
+    return x.select("rank", key, metric, F.when(F.col("_total") > 0, F.col("_so_far") / F.col("_total")).alias("cumulative_fraction"))
 
 
 def outliers(files: DataFrame, rules: list[tuple[str, str, bool]], most: int = 50, key: str = "filepath") -> DataFrame:

@@ -8,7 +8,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.operators import graph, metrics, profile
+from tessera.operators import graph, metrics, profile, vectors
+from tessera.operators.profile import running_sums
+from tessera.operators.quantiles import quantile_columns, quantiles
+from tessera.operators.skew import with_count
+from tessera.sources.lineage import cut
 
 
 def row_scores(knn: DataFrame) -> DataFrame:
@@ -63,7 +67,7 @@ def tail_diagnostics(knn: DataFrame, ranking: DataFrame, labels: DataFrame, k: i
     margin: score of the first less that of the k-th. support: of the first k, how many name the row among their first
     reciprocal_top. same_label: candidates of the row's label in the first rank_top of `ranking`, over the most there can be: confidence.
     """
-    size = labels.withColumn("label_size", F.count("*").over(Window.partitionBy("label")))
+    size = with_count(labels, "label", "label_size")
     own = size.select(F.col("id").alias("src"), F.col("label").alias("own"), "label_size")
     their = labels.select(F.col("id").alias("dst"), F.col("label").alias("their"))
     same = ranking.where(F.col("rank") <= rank_top).join(own, "src").join(their, "dst").groupBy("src").agg(F.count_if(F.col("own") == F.col("their")).alias("same_label"))
@@ -110,8 +114,8 @@ def hubness(knn: DataFrame, nodes: DataFrame, ks: Sequence[int]) -> DataFrame:
     out = None
     for k in ks:
         degree = graph.in_degree(knn, nodes, k)
-        at = lambda q: F.percentile("in_degree", F.lit(q))
-        row = degree.agg(at(0.5).alias("p50"), at(0.95).alias("p95"), at(0.99).alias("p99"), F.max("in_degree").alias("most")).join(metrics.gini(degree, "in_degree"))
+        ends = quantile_columns(degree, {"p50": ("in_degree", 0.5), "p95": ("in_degree", 0.95), "p99": ("in_degree", 0.99)})
+        row = ends.join(degree.agg(F.max("in_degree").alias("most"))).join(metrics.gini(degree, "in_degree"))
         row = row.select(F.lit(k).cast("long").alias("k"), "p50", "p95", "p99", "most", "gini")
         out = row if out is None else out.unionByName(row)
     return out
@@ -131,7 +135,27 @@ def drift(clean: DataFrame, distorted: DataFrame) -> DataFrame:
     both = clean.select("id", unit_vector(F.col("v")).alias("a")).join(distorted.select("id", unit_vector(F.col("v")).alias("b")), "id")
     apart = F.zip_with("a", "b", lambda x, y: x - y)
     s = both.select(F.greatest(F.lit(-1.0), F.least(F.lit(1.0), dot(F.col("a"), F.col("b")))).alias("cos"), F.sqrt(dot(apart, apart)).alias("l2"))
-    return s.agg(F.avg("cos").alias("cosine_mean"), F.percentile("cos", F.lit(0.95)).alias("cosine_p95"), F.avg("l2").alias("l2_mean"), F.percentile("l2", F.lit(0.95)).alias("l2_p95"))
+    s = cut(s)
+    return s.agg(F.avg("cos").alias("cosine_mean"), F.avg("l2").alias("l2_mean")).join(quantile_columns(s, {"cosine_p95": ("cos", 0.95), "l2_p95": ("l2", 0.95)}))
+
+
+def score_gaps(clean: DataFrame, distorted: DataFrame) -> DataFrame:
+    """One row of two tables of the same trials (trial, label, score): mean distorted score of each class, their gap, and how it differs from the clean gap."""
+    mean = lambda c, v: F.avg(F.when(F.col("label") == v, F.col(c)))
+    both = clean.select("trial", "label", "score").join(distorted.select("trial", F.col("score").alias("now")), "trial")
+    gap = lambda c: mean(c, 1) - mean(c, 0)
+    return both.agg(mean("now", 1).alias("positive_mean_score"), mean("now", 0).alias("negative_mean_score"), gap("now").alias("separation_gap"), (gap("now") - gap("score")).alias("separation_gap_delta"))
+
+
+def self_retrieval(clean: DataFrame, distorted: DataFrame) -> DataFrame:
+    """One row (rows, self_retrieval_at1): how many distorted vectors (id, v) are nearest, by cosine, to the clean vector of their own id.
+
+    Both sets are searched as one, with ids told apart, in the blocks of the exact search; of equal cosines the smallest id counts.
+    """
+    mine, other = (df.select((F.col("id") * 2 + i).alias("id"), "v") for i, df in ((0, clean), (1, distorted)))
+    best = vectors.knn(other, 1, mine, "id", "v")
+    found = best.agg(F.count("*").alias("rows"), F.avg((F.col("src") - 1 == F.col("dst")).cast("double")).alias("self_retrieval_at1"))
+    return found
 
 
 def degradation(conditions: DataFrame, clean: DataFrame) -> DataFrame:
@@ -202,8 +226,7 @@ def signed_ranks(pairs: DataFrame, a: str, b: str) -> DataFrame:
     d = pairs.select((F.col(a) - F.col(b)).alias("d"))
     total = d.agg(F.count("*").alias("rows"), F.avg("d").alias("mean_delta"))
     by = d.where("d <> 0").groupBy(F.abs("d").alias("m")).agg(F.count("*").alias("t"), F.count_if(F.col("d") > 0).alias("plus"))
-    before = F.coalesce(F.sum("t").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    by = by.withColumn("rank", before + (F.col("t") + 1) / 2)
+    by = running_sums(by, [F.asc("m")], {"before": "t"}, earlier=True).withColumn("rank", F.col("before") + (F.col("t") + 1) / 2)
     s = by.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.col("plus") * F.col("rank")), F.lit(0.0)).alias("w_plus"), F.coalesce(F.sum((F.col("t") - F.col("plus")) * F.col("rank")), F.lit(0.0)).alias("w_minus"), F.coalesce(F.sum(F.pow(F.col("t").cast("double"), F.lit(3)) - F.col("t")), F.lit(0.0)).alias("ties")).join(total)
     spread = F.sqrt((F.col("n") * (F.col("n") + 1) * (2 * F.col("n") + 1) - F.col("ties") / 2) / 24)
     z = (F.least("w_plus", "w_minus") - F.col("n") * (F.col("n") + 1) / 4) / F.nullif(spread, F.lit(0.0))
@@ -220,7 +243,7 @@ def round_gate(teacher: DataFrame, student: DataFrame, k: int, overlap_gate: flo
     """One row (overlap, margin_gain, passes): mean share of common neighbours, median gain of the margin between the first two."""
     a = metrics.agreement(teacher, student, k).agg(F.avg(F.col("overlap") / k).alias("overlap"))
     t, s = graph.margins(teacher, 1, 2), graph.margins(student, 1, 2).withColumnRenamed("margin", "after")
-    gain = t.join(s, "src").agg(F.percentile(F.col("after") - F.col("margin"), F.lit(0.5)).alias("margin_gain"))
+    gain = quantiles(t.join(s, "src"), F.col("after") - F.col("margin"), [0.5]).select(F.col("value").alias("margin_gain"))
     return a.join(gain).withColumn("passes", (F.col("overlap") < overlap_gate) | (F.col("margin_gain") >= gain_gate))
 
 
@@ -323,10 +346,10 @@ def acoustic_prior(sample: DataFrame, reference: DataFrame, owner: str, names: S
     weighted distances, and the quantile of its owners' weighted diversities (owners of at least `least` rows). A few numbers."""
     from tessera.functions.columns import weighted_distance
 
-    mid = sample.agg(*[F.percentile(n, F.lit(0.5)).alias(n) for n in names]).first().asDict()
+    mid = quantile_columns(sample, {n: (n, 0.5) for n in names}).first().asDict()
     scale = {n: max(float(v or 0.0), 1e-6) for n, v in reference.agg(*[F.stddev_pop(n).alias(n) for n in names]).first().asDict().items()}
     mid = {n: float(v) for n, v in mid.items()}
-    far = sample.agg(F.percentile(weighted_distance(names, mid, scale, weight), F.lit(distance_q))).first()[0]
+    far = quantiles(sample, weighted_distance(names, mid, scale, weight), [distance_q]).first()["value"]
     spread = sum((weight[n] * F.stddev_pop(n) / scale[n] for n in names[1:]), weight[names[0]] * F.stddev_pop(names[0]) / scale[names[0]])
     floor = sample.groupBy(owner).agg(F.count("*").alias("n"), spread.alias("d")).where(F.col("n") >= least).agg(F.percentile("d", F.lit(diversity_q))).first()[0]
     return {"centre": mid, "scale": scale, "weight": weight, "distance": float(far), "diversity": float(floor or 0.0)}

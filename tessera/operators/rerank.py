@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.operators import graph
 from tessera.sources.lineage import cut
+from tessera.operators.skew import with_count
 
 
 def ranked(df: DataFrame, order: list[Column], k: int | None = None, by: str = "src") -> DataFrame:
@@ -28,7 +29,7 @@ def adjusted_ranking(knn: DataFrame, rank_top: int = 100, reciprocal_top: int =
 def prefer_group(ranking: DataFrame, groups: DataFrame, k: int, least_size: int, most_size: int, least_candidates: int) -> DataFrame:
     """Candidates of a row's own group first, then the others, each in ranking order, where the group's size lies between the
     bounds and enough candidates belong to it; otherwise the ranking as it is. groups(id, label)."""
-    sized = groups.withColumn("n", F.count("*").over(Window.partitionBy("label")))
+    sized = with_count(groups, "label", "n")
     own = sized.select(F.col("id").alias("src"), F.col("label").alias("own"), "n")
     other = groups.select(F.col("id").alias("dst"), F.col("label").alias("their"))
     both = ranking.join(own, "src").join(other, "dst").withColumn("same", F.col("own") == F.col("their"))

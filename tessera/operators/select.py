@@ -6,13 +6,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.operators import graph
+from tessera.operators.profile import numbered
+from tessera.operators.quantiles import quantile_columns, quantiles
+from tessera.operators.skew import with_count, with_group
+from tessera.sources.lineage import cut
 
 
 def by_size(labels: DataFrame, least: int, most: int) -> DataFrame:
     """(id, label, size, pseudo): rows of clusters whose size lies between the bounds, with a dense pseudo label."""
-    s = labels.withColumn("size", F.count("*").over(Window.partitionBy("label"))).where(F.col("size").between(least, most))
-    names = s.select("label").distinct().withColumn("pseudo", (F.row_number().over(Window.orderBy("label")) - 1).cast("long"))
-    return s.join(names, "label").select("id", "label", "size", "pseudo")
+    s = with_count(labels, "label", "size").where(F.col("size").between(least, most))
+    names = numbered(s.select("label").distinct(), [F.asc("label")], "_n")
+    return s.join(names, "label").select("id", "label", "size", (F.col("_n") - 1).alias("pseudo"))
 
 
 def same_label_count(knn: DataFrame, labels: DataFrame, top: int) -> DataFrame:
@@ -25,10 +29,10 @@ def same_label_count(knn: DataFrame, labels: DataFrame, top: int) -> DataFrame:
 def strict_consensus(labels: DataFrame, main: DataFrame, others: list[DataFrame], sizes: tuple[int, int], least_margin: float, margin_quantile: float, top: int, least_same: int, least_models: int, least_rows: int, least_share: float) -> DataFrame:
     """(id, label, margin, confirmed, kept): rows of well-sized clusters with a wide margin that enough models confirm, kept where
     enough of their cluster is selected."""
-    s = labels.withColumn("size", F.count("*").over(Window.partitionBy("label")))
+    s = with_count(labels, "label", "size")
     m = graph.margins(main, 1, top)
-    bound = F.greatest(F.percentile("margin", F.lit(margin_quantile)), F.lit(least_margin))
-    m = m.join(F.broadcast(m.agg(bound.alias("bound"))))
+    bound = quantiles(m, "margin", [margin_quantile]).select(F.greatest(F.col("value"), F.lit(least_margin)).alias("bound"))
+    m = m.join(F.broadcast(bound))
     votes = None
     for knn in others:
         v = same_label_count(knn, labels, top).select("src", (F.col("same") >= least_same).cast("int").alias("yes"))
@@ -36,7 +40,9 @@ def strict_consensus(labels: DataFrame, main: DataFrame, others: list[DataFrame]
     confirmed = votes.groupBy("src").agg(F.sum("yes").alias("confirmed"))
     x = s.join(m, F.col("id") == F.col("src")).drop("src").join(confirmed, F.col("id") == F.col("src"), "left")
     ok = F.col("size").between(*sizes) & (F.col("margin") >= F.col("bound")) & (F.coalesce("confirmed", F.lit(0)) >= least_models)
-    x = x.withColumn("ok", ok).withColumn("n_ok", F.count_if("ok").over(Window.partitionBy("label")))
+    x = cut(x.withColumn("ok", F.coalesce(ok, F.lit(False))))
+    counts = x.groupBy("label").agg(F.count("*").alias("_rows"), F.count_if("ok").alias("n_ok"))
+    x = with_group(x, cut(counts), "label", "_rows", x.count())
     kept = F.col("ok") & (F.col("n_ok") >= least_rows) & (F.col("n_ok") / F.col("size") >= least_share)
     return x.select("id", "label", F.round("margin", 9).alias("margin"), F.coalesce("confirmed", F.lit(0)).cast("long").alias("confirmed"), kept.alias("kept"))
 
@@ -44,9 +50,9 @@ def strict_consensus(labels: DataFrame, main: DataFrame, others: list[DataFrame]
 def weighted(labels: DataFrame, knn: DataFrame, sizes: tuple[int, int], top: int, least: float) -> DataFrame:
     """(id, confidence, weight) of rows of well-sized clusters: margin between its 5th and 95th percentile, same-label share, reciprocal
     share; the weight grows from one half at the least confidence to one."""
-    s = labels.withColumn("size", F.count("*").over(Window.partitionBy("label"))).where(F.col("size").between(*sizes))
+    s = with_count(labels, "label", "size").where(F.col("size").between(*sizes))
     m = graph.margins(knn, 1, top)
-    q = m.agg(F.percentile("margin", F.lit(0.05)).alias("lo"), F.percentile("margin", F.lit(0.95)).alias("hi"))
+    q = quantile_columns(m, {"lo": ("margin", 0.05), "hi": ("margin", 0.95)})
     m = m.join(F.broadcast(q)).select(F.col("src").alias("id"), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("margin") - F.col("lo")) / F.greatest(F.col("hi") - F.col("lo"), F.lit(1e-6)))).alias("m"))
     g = same_label_count(knn, labels, top).select(F.col("src").alias("id"), (F.col("same") / top).alias("g"))
     r = graph.mutual(knn, top, top).groupBy(F.col("src").alias("id")).agg((F.count("*") / top).alias("r"))

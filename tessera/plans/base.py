@@ -56,7 +56,7 @@ PAIRS = "s AS (SELECT a.id AS src, b.id AS dst, list_cosine_similarity(a.e, b.e)
 
 
 def KNN(k: int) -> str:
-    return f"{VECTORS}, {PAIRS}, knn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s) WHERE rank <= {k})"
+    return f"{VECTORS}, {PAIRS}, knn AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY score DESC, dst) AS rank FROM s) WHERE rank <= {k})"
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

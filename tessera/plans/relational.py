@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
 from tessera.operators import profile
+from tessera.operators.quantiles import quantile_columns, quantiles
 from tessera.plans.base import FILES, files, query, r6, read
 from tessera.sources import schema
 
@@ -94,14 +95,14 @@ QS = "[0.25, 0.5, 0.75]"
 @query("p11_quantile_bins", f"WITH q AS (SELECT list_distinct(quantile_cont(value, {QS})) AS e FROM events) SELECT event_id, len(list_filter(e, lambda x: x <= value))::BIGINT AS bin FROM events, q")
 def p11(spark, d):
     e = read(spark, d, "events")
-    edges = e.agg(F.array_distinct(F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))))).alias("e"))
+    edges = quantiles(e, "value", [0.25, 0.5, 0.75]).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))), lambda x: x["value"])).alias("e"))
     return e.join(F.broadcast(edges)).select("event_id", c.bin_of(F.col("value"), F.col("e"), True).cast("long").alias("bin"))
 
 
 @query("p12_cut_bins", f"WITH q AS (SELECT list_distinct(quantile_cont(value, {QS})) AS e FROM events) SELECT event_id, len(list_filter(e, lambda x: x < value))::BIGINT AS bin FROM events, q")
 def p12(spark, d):
     e = read(spark, d, "events")
-    edges = e.agg(F.array_distinct(F.percentile("value", F.array(*map(F.lit, (0.25, 0.5, 0.75))))).alias("e"))
+    edges = quantiles(e, "value", [0.25, 0.5, 0.75]).agg(F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("q", "value"))), lambda x: x["value"])).alias("e"))
     return e.join(F.broadcast(edges)).select("event_id", c.bin_of(F.col("value"), F.col("e"), False).cast("long").alias("bin"))
 
 
@@ -318,8 +319,10 @@ def a2(spark, d):
 
 @query("a3_dataset_summary", WF + "SELECT coalesce(split, 'all') AS split, count(*) AS n, count(error) AS errors, round(sum(duration_s) / 3600, 6) AS hours, round(quantile_cont(duration_s, 0.1), 6) AS p10, round(quantile_cont(duration_s, 0.9), 6) AS p90 FROM files GROUP BY GROUPING SETS ((split), ())")
 def a3(spark, d):
-    q = lambda x: F.round(F.percentile("duration_s", F.lit(x)), 6)
-    return files(spark, d).rollup("split").agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.round(F.sum("duration_s") / 3600, 6).alias("hours"), q(0.1).alias("p10"), q(0.9).alias("p90")).withColumn("split", F.coalesce("split", F.lit("all")))
+    both = files(spark, d).select(F.explode(F.array("split", F.lit("all"))).alias("split"), "error", "duration_s")
+    n = both.groupBy("split").agg(F.count("*").alias("n"), F.count("error").alias("errors"), F.round(F.sum("duration_s") / 3600, 6).alias("hours"))
+    ends = quantile_columns(both, {"p10": ("duration_s", 0.1), "p90": ("duration_s", 0.9)}, ("split",))
+    return n.join(ends, "split", "left").select("split", "n", "errors", "hours", F.round("p10", 6).alias("p10"), F.round("p90", 6).alias("p90"))
 
 
 @query("a4_numeric_summary", WF + f", {LONG} SELECT split, metric, {STATS} FROM long GROUP BY 1, 2")
@@ -441,8 +444,8 @@ def w14(spark, d):
 @query("w16_label_index", "SELECT doc_id, dense_rank() OVER (ORDER BY source) - 1 AS label FROM documents")
 def w16(spark, d):
     docs = read(spark, d, "documents").select("doc_id", "source")
-    names = docs.select("source").distinct().withColumn("label", (F.row_number().over(Window.orderBy("source")) - 1).cast("long"))
-    return docs.join(names, "source").select("doc_id", "label")
+    names = profile.numbered(docs.select("source").distinct(), [F.asc("source")], "n")
+    return docs.join(names, "source").select("doc_id", (F.col("n") - 1).alias("label"))
 
 
 # --- sort, limit, sets

@@ -194,6 +194,17 @@ def m21(spark, d):
     return rounded(reports.drift(vectors(spark, d), distorted(spark, d)))
 
 
+@query("m21_gaps", f"WITH {TRIALS}, b AS (SELECT label, score, score * 0.9 + (id % 7) / 100e0 AS now FROM t) SELECT round(avg(now) FILTER (label = 1), 6) AS positive_mean_score, round(avg(now) FILTER (label = 0), 6) AS negative_mean_score, round(avg(now) FILTER (label = 1) - avg(now) FILTER (label = 0), 6) AS separation_gap, round(avg(now) FILTER (label = 1) - avg(now) FILTER (label = 0) - avg(score) FILTER (label = 1) + avg(score) FILTER (label = 0), 6) AS separation_gap_delta FROM b")
+def m21_gaps(spark, d):
+    t = trials(spark, d).withColumnRenamed("id", "trial")
+    return rounded(reports.score_gaps(t, t.withColumn("score", F.col("score") * 0.9 + (F.col("trial") % 7) / 100)))
+
+
+@query("m21_self_retrieval", f"WITH {VECTORS}, b AS (SELECT id, [CASE WHEN i % 8 = 1 THEN e[i] * 0.5 ELSE e[i] END FOR i IN range(1, 65)] AS f FROM v), n AS (SELECT b.id, v.id AS other, row_number() OVER (PARTITION BY b.id ORDER BY list_cosine_similarity(b.f, v.e) DESC, v.id) AS r FROM b, v) SELECT count(*) AS rows, round(avg((id = other)::INT), 6) AS self_retrieval_at1 FROM n WHERE r = 1")
+def m21_self(spark, d):
+    return rounded(reports.self_retrieval(vectors(spark, d), distorted(spark, d)), "rows")
+
+
 COND = "c AS (SELECT l_returnflag AS model, l_linestatus || l_linenumber AS condition, l_linestatus AS family, CASE l_linenumber WHEN 2 THEN 'light' WHEN 3 THEN 'medium' WHEN 4 THEN 'heavy' ELSE 'clean' END AS severity, avg(l_discount) AS eer, avg(l_tax) AS min_dcf FROM lineitem WHERE l_linenumber <= 4 GROUP BY l_returnflag, l_linestatus, l_linenumber), b AS (SELECT model, avg(eer) AS be, avg(min_dcf) AS bd FROM c WHERE severity = 'clean' GROUP BY 1), g AS (SELECT c.*, 0.5 * greatest((eer - be) / greatest(be, 1e-6), 0) + 0.5 * greatest((min_dcf - bd) / greatest(bd, 1e-6), 0) AS degradation FROM c JOIN b USING (model))"
 
 

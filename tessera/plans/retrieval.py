@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
 from tessera.operators import graph, rerank, vectors as x
+from tessera.operators.quantiles import quantiles
 from tessera.plans.base import KNN, PAIRS, VECTORS, knn, nodes, query, r6, read, vectors
 from tessera.sources import sinks
+from tessera.operators.skew import with_count
 
 W20, W60 = f"WITH {KNN(20)}", f"WITH {KNN(60)}"
 
@@ -103,8 +105,8 @@ def x8(spark, d):
 def x11(spark, d):
     v = vectors(spark, d)
     bent = v.where("id % 10 = 0").select("id", F.transform("v", lambda z, i: F.when(i < 32, z).otherwise(z * 0.5)).alias("v"))
-    best = x.top_of(x.score_table(bent, v.select("id", "v")), 1)
-    return best.select(F.col("left_id").alias("id"), (F.col("left_id") == F.col("right_id")).alias("found"))
+    best = x.knn(bent.withColumn("id", F.col("id") * 2 + 1), 1, v.select((F.col("id") * 2).alias("id"), "v"), "id", "v")  # ids told apart
+    return best.select(((F.col("src") - 1) / 2).cast("long").alias("id"), (F.col("src") - 1 == F.col("dst")).alias("found"))
 
 
 # --- graph
@@ -144,7 +146,7 @@ def g5(spark, d):
 @query("v10_quantile_edges", f"{W20} SELECT src, dst FROM knn WHERE rank <= 10 AND score >= (SELECT quantile_cont(score, 0.9) FROM knn WHERE rank <= 10)")
 def v10(spark, d):
     k = knn(spark, d, 20).where("rank <= 10")
-    bound = k.agg(F.percentile("score", F.lit(0.9)).alias("b"))
+    bound = quantiles(k, "score", [0.9]).select(F.col("value").alias("b"))
     return k.join(F.broadcast(bound), F.col("score") >= F.col("b")).select("src", "dst")
 
 
@@ -155,7 +157,7 @@ MUT5 = "mut5 AS (SELECT k.src, k.dst FROM knn k WHERE rank <= 3 AND EXISTS (SELE
 @query("g6_components", f"{W20}, {MUT5}, {COMP} SELECT id, component, count(*) OVER (PARTITION BY component) AS size FROM comp")
 def g6(spark, d):
     p = graph.labelled_nodes(nodes(spark, d), graph.mutual(knn(spark, d, 20), 3, 3))
-    return p.select("id", "component", F.count("*").over(Window.partitionBy("component")).alias("size"))
+    return with_count(p, "component", "size").select("id", "component", "size")
 
 
 @query("g7_label_propagation")
@@ -189,7 +191,7 @@ def g10(spark, d):
 @query("g11_regime_gate", f"{W20}, t AS (SELECT src, dst, score, src % 3 AS regime FROM knn WHERE rank = 1), q AS (SELECT regime, greatest(0.3, quantile_cont(score, 0.5)) AS tau FROM t GROUP BY 1), mut5 AS (SELECT src, dst FROM t JOIN q USING (regime) WHERE score >= tau), {COMP} SELECT id, component FROM comp")
 def g11(spark, d):
     t = knn(spark, d, 20).where("rank = 1").withColumn("regime", F.col("src") % 3)
-    q = t.groupBy("regime").agg(F.greatest(F.lit(0.3), F.percentile("score", F.lit(0.5))).alias("tau"))
+    q = quantiles(t, "score", [0.5], ("regime",)).select("regime", F.greatest(F.lit(0.3), F.col("value")).alias("tau"))
     return graph.labelled_nodes(nodes(spark, d), t.join(F.broadcast(q), "regime").where("score >= tau"))
 
 

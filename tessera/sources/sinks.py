@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from tessera.operators.skew import with_count
 
 
 def submission_rows(ranking: DataFrame, manifest: DataFrame, k: int) -> DataFrame:
@@ -18,7 +19,7 @@ def write_submission(rows: DataFrame, path: str) -> None:
 
 def cluster_rows(labels: DataFrame, manifest: DataFrame) -> DataFrame:
     """(filepath, row_index, cluster_id, cluster_size)."""
-    sized = labels.withColumn("cluster_size", F.count("*").over(Window.partitionBy("label")))
+    sized = with_count(labels, "label", "cluster_size")
     return manifest.join(sized, F.col("row_index") == F.col("id")).select("filepath", "row_index", F.col("label").alias("cluster_id"), "cluster_size")
 
 

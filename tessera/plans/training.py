@@ -8,6 +8,8 @@ from tessera.operators import audio, batches
 from tessera.operators.batches import PRIME, ROUNDS
 from tessera.plans.base import FILES, files, query, read
 from tessera.plans.storage import SIG, signals
+from tessera.sources import ledger
+from tessera.sources.lineage import fresh_path
 
 
 def mixed_sql(x: str) -> str:
@@ -125,3 +127,14 @@ def q2_trimmed(spark, d):
     from tessera.operators import signal
 
     return s.select("doc_id", F.size(signal.trimmed(1000, least=0.1)("x")).cast("long").alias("n"))
+
+
+@query("st6_resumed_conditions", "SELECT l_returnflag AS model, l_linestatus || l_linenumber AS condition, count(*) AS rows, round(avg(l_discount), 8) AS eer FROM lineitem GROUP BY 1, 2")
+def st6(spark, d):
+    """A measure of each model and condition from two runs over one ledger, the first of which is stopped after a part."""
+    path, keys = fresh_path(spark), ["model", "condition"]
+    plan = read(spark, d, "lineitem").select(F.col("l_returnflag").alias("model"), F.concat("l_linestatus", F.col("l_linenumber").cast("string")).alias("condition"), "l_discount")
+    measure = lambda rows: rows.groupBy(*keys).agg(F.count("*").alias("rows"), F.round(F.avg("l_discount"), 8).alias("eer"))
+    ledger.run_pending(plan, path, keys, measure, most=1)
+    ledger.run_pending(plan, path, keys, measure)
+    return ledger.finished_results(spark, path, "model string, condition string, rows long, eer double", keys).select(*keys, "rows", "eer")

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.operators import audio, batches
+from tessera.operators import audio, batches, cohort
 from tessera.operators.batches import PRIME, ROUNDS
 from tessera.plans.base import FILES, files, query, read
 from tessera.plans.storage import SIG, signals
-from tessera.sources import ledger
+from tessera.sources import arrays, ledger
 from tessera.sources.lineage import fresh_path
 
 
@@ -138,3 +138,29 @@ def st6(spark, d):
     ledger.run_pending(plan, path, keys, measure, most=1)
     ledger.run_pending(plan, path, keys, measure)
     return ledger.finished_results(spark, path, "model string, condition string, rows long, eer double", keys).select(*keys, "rows", "eer")
+
+
+BANK = """WITH s AS (SELECT doc_id, source, lang, embedding::DOUBLE[] AS e FROM documents JOIN embeddings ON vec_id = doc_id), f AS (SELECT * FROM s WHERE lower(lang) IN ('en', 'fr')),
+    a AS (SELECT * FROM f WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)), c AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS turn FROM a),
+    l AS (SELECT * FROM c WHERE n >= 5 AND turn <= 8), b AS (SELECT *, row_number() OVER (ORDER BY turn, source, doc_id) - 1 AS place FROM l QUALIFY place < 120)"""
+
+
+def cohort_parts(spark, d, path):
+    v = read(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").cast("array<double>").alias("v"))
+    docs = read(spark, d, "documents").select("doc_id", "source", "lang")
+    trials = read(spark, d, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("key"))
+    chosen = cohort.Selection({"lang": ["EN", "fr"]}, 5, 8, 120, strict=False)
+    return cohort.build_bank(docs.join(v, "doc_id", "left_semi"), v.join(docs, "doc_id", "left_semi"), path, "doc_id", "source", F.array(F.col("doc_id").cast("string")), trials, docs.where("lang = 'es'"), chosen)
+
+
+@query("l8_whole_bank", f"{BANK} SELECT place, doc_id, source, round(e[1] / sqrt(list_dot_product(e, e)), 5) AS first, round(e[64] / sqrt(list_dot_product(e, e)), 5) AS last FROM b")
+def l8_bank(spark, d):
+    """The bank's rows as written: place, document, owner and ends of the unit vector."""
+    path = fresh_path(spark)
+    cohort_parts(spark, d, path)
+    return arrays.read_bank(spark, path).select("place", "doc_id", "source", F.round(F.element_at("values", 1).cast("double"), 5).alias("first"), F.round(F.element_at("values", 64).cast("double"), 5).alias("last"))
+
+
+@query("l8_bank_summary", f"{BANK} SELECT (SELECT count(*) FROM s) AS source_rows, (SELECT count(*) FROM f) AS after_filters, (SELECT count(*) FROM a) AS after_trials, count(*) AS selected_rows, count(DISTINCT source) AS selected_owners, (SELECT count(*) FROM a) - (SELECT count(*) FROM c WHERE n >= 5) AS excluded_by_least, (SELECT count(*) FROM c WHERE n >= 5 AND turn > 8) AS excluded_by_most, (SELECT count(*) FROM l) - count(*) AS excluded_by_total, count(DISTINCT source) FILTER (source IN (SELECT source FROM documents WHERE lang = 'es')) AS shared_owners FROM b")
+def l8_summary(spark, d):
+    return cohort_parts(spark, d, fresh_path(spark)).drop("excluded_by_filters", "excluded_by_trials", "width", "fallback_used")

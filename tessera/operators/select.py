@@ -71,6 +71,19 @@ def soft_labels(fused: DataFrame, labels: DataFrame, top: int, temperature: floa
     return s.withColumn("e", e).select("src", "label", (F.col("e") / F.sum("e").over(w)).alias("prob"), "place")
 
 
+def kept_soft_labels(soft: DataFrame, labels: DataFrame, confidence: DataFrame, sizes: tuple[int, int], least: float) -> DataFrame:
+    """(src, label, prob, place, confidence) of the soft labels whose clusters have a size between the bounds, renormalised over these.
+
+    soft(src, label, prob, place) and labels(id, label) speak of the same clusters. Rows stay whose own cluster is kept and whose
+    confidence(src, confidence) is at least `least`; a row without a kept cluster among its soft labels drops.
+    """
+    kept = with_count(labels, "label", "_size").where(F.col("_size").between(*sizes))
+    rows = kept.select(F.col("id").alias("src")).join(confidence.where(F.col("confidence") >= least), "src")
+    s = soft.join(kept.select("label").distinct(), "label", "left_semi").join(rows, "src")
+    w = Window.partitionBy("src")
+    return s.select("src", "label", (F.col("prob") / F.sum("prob").over(w)).alias("prob"), F.row_number().over(w.orderBy("place")).cast("long").alias("place"), "confidence")
+
+
 def cohort(rows: DataFrame, owner: str, key: str, least: int, most: int, total: int) -> DataFrame:
     """Rows of a cohort bank: at least and at most so many of an owner, and `total` in all, owners in turn."""
     from tessera.operators.sampling import capped, round_robin

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tessera.operators import graph, metrics, rerank, reports, sampling, select, vectors as x
-from tessera.plans.base import FILES, KNN, SQL, VECTORS, files, knn, nodes, query, r6, read, vectors
+from tessera.plans.base import FILES, KNN, QUERIES, SQL, VECTORS, files, knn, nodes, query, r6, read, vectors
 from tessera.plans.evaluation import CURVE, HITS, PER, TRIALS, curve, per_query, trials
 from tessera.plans.retrieval import ADJ, COMP, DEG, HALF, MUT5, POL, R14, ROUTE, W20, W60, Z, half, policies
+from tessera.sources.lineage import cut
 from tessera.sources import readers
 
 
@@ -396,6 +397,18 @@ def l3(spark, d):
     return rounded(select.weighted(mutual_labels(spark, d), knn(spark, d, 20), (2, 60), 10, 0.1), "id")
 
 
+@query("l4_soft_labels")
+def l4_soft(spark, d):
+    """Multi-teacher soft labels from end to end: fusion, cluster-first clusters, confidence, softmax over clusters, renormalised over kept ones."""
+    from tessera.operators import rerank
+
+    main, _, _ = dropout(spark, d)
+    main = cut(main)
+    labels = cut(rerank.cluster_first(main.select("src", "dst", "rank", "score"), nodes(spark, d), edge_top=10, reciprocal_top=20, rank_top=20, sizes=(3, 60), least_candidates=2, shared_top=10, shared_min=1)[1])
+    sure = QUERIES["l4_teacher_confidence"](spark, d)
+    return rounded(select.kept_soft_labels(select.soft_labels(main, labels, 5), labels, sure, (3, 60), 0.3), "src", "label", "place")
+
+
 @query("l4_teacher_confidence")
 def l4(spark, d):
     """Confidence of multi-teacher soft labels: share of teachers that agree, margin and density percentiles, stability under dropout."""

@@ -30,6 +30,42 @@ def halved(kept: dict, most: int) -> bool:
     return True
 
 
+class Lookup:
+    """A map from whole numbers to whole numbers, in two arrays of at least four slots a key: open addressing with linear probing."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray):
+        bits = max(4, (4 * len(keys)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.full(1 << bits, -1, np.int32)
+        keys, values = np.asarray(keys, np.int64), np.asarray(values, np.int32)
+        at = slots(keys, self.shift)
+        while len(keys):
+            free = self.keys[at] == -1
+            self.keys[at[free]] = keys[free]
+            here = self.keys[at] == keys
+            self.values[at[here]] = values[here]
+            keys, values, at = keys[~here], values[~here], (at[~here] + 1) & self.last
+
+    def get(self, keys: np.ndarray) -> np.ndarray:
+        """The values of keys; -1 for those that the map does not hold."""
+        at = slots(keys, self.shift)
+        met = self.keys[at]
+        out = np.where(met == keys, self.values[at], -1)
+        open_ = np.flatnonzero((met != keys) & (met != -1))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & self.last
+            met = self.keys[at[open_]]
+            hit = met == keys[open_]
+            out[open_[hit]] = self.values[at[open_[hit]]]
+            open_ = open_[~hit & (met != -1)]
+        return out
+
+
+def slots(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
+    """The upper bits of keys times an odd number."""
+    return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback of a byte-pair model with the identity normaliser, compiled to one transducer.
 
@@ -39,9 +75,15 @@ class Transducer:
     leave its piece beside the one before it, which is looked up once for each pair of pieces. Two pieces next to each other
     are what the merges make of a text if and only if they are what the merges make of these two alone, so one path has a finite
     weight: the shortest, and the model's own segmentation. A run of spaces merges last, from the left; its arcs follow that.
+
+    Pieces are compiled to a trie read from their ends, in arrays, and all new words of a batch are composed with it together, place
+    by place (`shortest`). Weights of pairs are kept in a table of fixed size where a new pair takes the slot of an older one. Words
+    of more than `wide` characters are composed one at a time (`extend`), by the same arcs.
     """
 
-    def __init__(self, model: bytes, cache: int = 400_000):
+    wide = 64
+
+    def __init__(self, model: bytes, cache: int = 200_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -61,9 +103,157 @@ class Transducer:
         self.cache: dict[str, tuple[int, ...]] = {}
         self.room = cache
         self.met, self.n_met = bytearray(1 << 23), 0  # by hash: parts that have come once; kept are those that come again
+        self.compile(list(proto.pieces))
         breaks = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in self.ids)
         self.parts = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+|[{breaks}]" if breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
 
+    def compile(self, pieces: list) -> None:
+        """Arrays for `shortest`: the letters of each piece, the trie from their ends, all merges of two pieces, the pieces that merges leave whole."""
+        n = len(self.out)
+        self.n = n
+        self.figures = list(map(str, range(n)))
+        self.letter = np.full(0x110000, -1, np.int32)  # the piece of a character
+        for p, i in self.ids.items():
+            if len(p) == 1:
+                self.letter[ord(p)] = i
+        self.length = np.zeros(n, np.int64)
+        self.letters = np.full((n, max(map(len, self.ids), default=1)), -1, np.int64)
+        nodes, ends, joins = {"": 0}, [-1], {}
+        for p, i in self.ids.items():
+            self.length[i] = len(p)
+            self.letters[i, : len(p)] = [self.letter[ord(c)] for c in p]
+            for a in range(len(p) - 1, -1, -1):
+                if p[a:] not in nodes:
+                    nodes[p[a:]] = len(nodes)
+                    ends.append(self.ids.get(p[a:], -1))
+            for a in range(1, len(p)):
+                x, y = self.ids.get(p[:a]), self.ids.get(p[a:])
+                if x is not None and y is not None:
+                    joins[x * n + y] = i
+        if any(self.letter[ord(c)] < 0 for c in set("".join(self.ids))):
+            raise ValueError("a piece has a character that is not a piece")
+        tails = [t for t in nodes if t]
+        self.edges = Lookup(np.array([nodes[t[1:]] * n + int(self.letter[ord(t[0])]) for t in tails], np.int64), np.array([nodes[t] for t in tails], np.int32))
+        self.of_letter = np.array([nodes.get(p.piece, -1) if len(p.piece) == 1 else -1 for p in pieces], np.int64)
+        self.joins = Lookup(np.array(list(joins), np.int64), np.array(list(joins.values()), np.int32))
+        self.place = np.full(n + 1, np.inf)  # the last one is for "no piece", -1
+        for p, i in self.ids.items():
+            self.place[i] = self.rank[p]
+        every = np.array(list(self.ids.values()), np.int64)
+        merged = self.merges(self.letters[every])
+        left_whole = np.zeros(n + 1, bool)
+        left_whole[every] = (merged[:, 0] == every) & (merged[:, 1:] == -1).all(axis=1)
+        found = np.array(ends, np.int64)
+        self.ends = np.where(left_whole[found], found, -1)
+        self.pair_key, self.pair_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+
+    def join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        """The piece that x and y merge to; -1: none."""
+        return np.where((x >= 0) & (y >= 0), self.joins.get(np.maximum(x, 0) * self.n + np.maximum(y, 0)), -1)
+
+    def merges(self, rows: np.ndarray) -> np.ndarray:
+        """What the merges make of rows of letters (-1 after the last), as `merged` does: the best-ranked pair first, the leftmost of equal ones."""
+        rows = np.column_stack([rows, np.full(len(rows), -1)])
+        out, at = rows.copy(), np.arange(len(rows))
+        pairs = self.join(rows[:, :-1].ravel(), rows[:, 1:].ravel()).reshape(len(rows), -1)
+        columns = np.arange(rows.shape[1])
+        while len(at):
+            cost = self.place[pairs]
+            best = cost.argmin(axis=1)
+            going = cost[np.arange(len(at)), best] < np.inf
+            out[at[~going]] = rows[~going]
+            rows, pairs, best, at = rows[going], pairs[going], best[going], at[going]
+            if not len(at):
+                break
+            line = np.arange(len(at))
+            rows[line, best] = pairs[line, best]
+            rows = np.take_along_axis(rows, np.minimum(columns + (columns > best[:, None]), columns[-1]), axis=1)
+            pairs = np.take_along_axis(pairs, np.minimum(columns[:-1] + (columns[:-1] > best[:, None]), columns[-2]), axis=1)
+            pairs[:, -1] = -1
+            pairs[line, best] = self.join(rows[line, best], rows[line, best + 1])
+            left = line[best > 0]
+            pairs[left, best[left] - 1] = self.join(rows[left, best[left] - 1], rows[left, best[left]])
+        return out
+
+    def pairs_fit(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
+        """Whether the merges leave `piece` after `before`: `weight` for many pairs of pieces."""
+        key = before * self.n + piece
+        at = slots(key, np.uint64(44))
+        fits, new = self.pair_fits[at], np.flatnonzero(self.pair_key[at] != key)
+        if len(new):
+            keys, where = np.unique(key[new], return_inverse=True)
+            x, y = keys // self.n, keys % self.n
+            column = np.arange((self.length[x] + self.length[y]).max())
+            second = column - self.length[x][:, None]
+            wide = self.letters.shape[1] - 1
+            rows = np.where(second < 0, self.letters[x][:, np.minimum(column, wide)], np.where(second <= wide, np.take_along_axis(self.letters[y], np.clip(second, 0, wide), axis=1), -1))
+            made = self.merges(rows)
+            fit = (made[:, 0] == x) & (made[:, 1] == y) & (made[:, 2:] == -1).all(axis=1)
+            fits[new] = fit[where]
+            slot = slots(keys, np.uint64(44))
+            self.pair_key[slot], self.pair_fits[slot] = keys, fit
+        return fits
+
+    def shortest(self, words: list[str]) -> list[tuple[int, ...]]:
+        """Ids of sorted words without spaces inside, all composed at once: place by place, from those that a piece's letters lead back to.
+
+        A place whose word begins like the one before it, up to there, takes over what that one found."""
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        letters = self.letter[codes]
+        first = np.cumsum(size) - size
+        last, step = np.full(len(codes), -1, np.int64), np.ones(len(codes), np.int64)
+        reach, same = np.arange(len(words)), np.arange(len(words)) > 0  # words that reach this place, those that begin like the one before
+        for at in range(1, int(size.max()) + 1):
+            reach = reach[size[reach] >= at]
+            every = first[reach] + at - 1
+            alike = same[reach]
+            asked = np.flatnonzero(alike)
+            word = reach[asked]
+            alike[asked] = (size[word - 1] >= at) & (codes[np.minimum(first[word - 1] + at - 1, len(codes) - 1)] == codes[every[asked]])
+            same[reach] = alike
+            end = every[~alike]
+            end = end[letters[end] >= 0]  # other characters stay single
+            node = self.of_letter[letters[end]]
+            for n in range(1, at + 1):
+                if n > 1:
+                    letter = letters[end - (n - 1)]
+                    node = np.where(letter >= 0, self.edges.get(node * self.n + np.maximum(letter, 0)), -1)
+                    on = node >= 0
+                    end, node = end[on], node[on]
+                if not len(end):
+                    break
+                piece = self.ends[node]
+                fit = piece >= 0
+                if n < at:
+                    before = last[end - n]
+                    asked = np.flatnonzero(fit & (before >= 0))
+                    fit[asked] = self.pairs_fit(before[asked], piece[asked])
+                last[end[fit]], step[end[fit]] = piece[fit], n
+                end, node = end[~fit], node[~fit]
+            owner = every[np.maximum.accumulate(np.where(alike, 0, np.arange(len(every))))]
+            last[every], step[every] = last[owner], step[owner]
+        used = np.zeros(len(codes), bool)
+        at, start = first + size - 1, first
+        while len(at):
+            used[at] = True
+            at = at - step[at]
+            more = at >= start
+            at, start = at[more], start[more]
+        ids, many = last[used], np.add.reduceat(used, first, dtype=np.int64)
+        unknown = np.flatnonzero(ids < 0)
+        if len(unknown):  # the ids of a character's bytes in place of one
+            spelled = [self.written(chr(c)) for c in codes[used][unknown].tolist()]
+            extra = np.fromiter(map(len, spelled), np.int64, len(spelled))
+            wide = np.ones(len(ids), np.int64)
+            wide[unknown] = extra
+            begin = np.cumsum(wide) - wide
+            many = np.add.reduceat(wide, np.cumsum(many) - many)
+            ids = np.repeat(ids, wide)
+            ids[np.repeat(begin[unknown] - (np.cumsum(extra) - extra), extra) + np.arange(extra.sum())] = np.fromiter(chain.from_iterable(spelled), np.int64)
+        flat, bound = tuple(ids.tolist()), np.cumsum(many).tolist()
+        return [flat[a:b] for a, b in zip([0, *bound], bound, strict=False)]
+
     def merged(self, text: str) -> list[str]:
         """What the merges make of a text: the best-ranked pair first, the leftmost of equal ones; n log n steps for n characters."""
         if len(text) <= 32:
@@ -153,29 +343,38 @@ class Transducer:
         return self.runs[n]
 
     def learn(self, parts: list[str]) -> None:
-        """Compose with parts that are not in the cache, in sorted order: what two neighbours share at their start is done once."""
-        cost, last, before = [0.0], [None], ""
-        for part in sorted(parts):
-            word = part.lstrip(SPACE)
-            spaces = len(part) - len(word)
-            text = SPACE + word if spaces and word else word
-            same = 0
-            for x, y in zip(text, before, strict=False):
-                if x != y:
-                    break
-                same += 1
-            cost = cost[: same + 1] + [0.0] * (len(text) - same)
-            last = last[: same + 1] + [None] * (len(text) - same)
-            for at in range(same + 1, len(text) + 1):
-                self.extend(text, at, cost, last)
-            before = text
-            pieces = self.path(text, last)
+        """Compose with parts that are not in the cache."""
+        parts = sorted(parts, key=self.bare)
+        words = [self.bare(part) for part in parts]
+        short = [w for w in words if 0 < len(w) <= self.wide]
+        found = iter(self.shortest(short)) if short else iter(())
+        for part, word in zip(parts, words, strict=True):
+            spaces = len(part) - len(word) + (word[:1] == SPACE)
+            ids = next(found) if 0 < len(word) <= self.wide else self.long(word)
             if spaces and not word:
-                pieces = self.run(spaces)
+                ids = self.spelled(self.run(spaces))
             elif spaces > 1:  # the other spaces merge among themselves, with the last one if it stayed alone
-                alone = pieces[0] == SPACE
-                pieces = self.run(spaces if alone else spaces - 1) + pieces[alone:]
-            self.cache[part] = tuple(chain.from_iterable(map(self.written, pieces)))
+                alone = ids[0] == self.ids.get(SPACE)
+                ids = self.spelled(self.run(spaces if alone else spaces - 1)) + ids[alone:]
+            self.cache[part] = ids
+
+    @staticmethod
+    def bare(part: str) -> str:
+        """A part with one space before it instead of several; spaces only: empty."""
+        if part[0] != SPACE or part[1:2] != SPACE and len(part) > 1:
+            return part
+        word = part.lstrip(SPACE)
+        return SPACE + word if word else ""
+
+    def long(self, word: str) -> tuple[int, ...]:
+        """Ids of one word, place by place."""
+        cost, last = [0.0] * (len(word) + 1), [None] * (len(word) + 1)
+        for at in range(1, len(word) + 1):
+            self.extend(word, at, cost, last)
+        return self.spelled(self.path(word, last))
+
+    def spelled(self, pieces: list[str]) -> tuple[int, ...]:
+        return tuple(chain.from_iterable(map(self.written, pieces)))
 
     def encode(self, texts: list[str | None]) -> list[list[int]]:
         """Ids of each text; a null or empty text has none."""
@@ -278,7 +477,7 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
                 texts = k.column(batch, "text").slice(a, 512).to_pylist()
                 ids = t.encode(texts)
                 same = [t.decode(x) == (y or "") for x, y in zip(ids, texts, strict=True)]
-                sha = [hashlib.sha256(",".join(map(str, x)).encode()).hexdigest() for x in ids]
+                sha = [hashlib.sha256(",".join(map(t.figures.__getitem__, x)).encode()).hexdigest() for x in ids]
                 yield pa.RecordBatch.from_arrays([k.column(batch, "id").slice(a, 512), pa.array([len(x) for x in ids], pa.int64()), pa.array(sha), pa.array(same)], names=["id", "n_tokens", "ids_sha256", "round_trip"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(digest, f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean")

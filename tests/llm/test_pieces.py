@@ -49,3 +49,35 @@ def test_cache_that_overflows(library):
     t = pieces.Transducer(pieces.model_bytes(), cache=20)
     texts = [f"word{i} other{i % 7} thing" for i in range(300)]
     assert t.encode(texts) == library.encode(texts)
+
+
+def test_long_words_and_short_ones_by_the_same_arcs(library):
+    """Words beyond `wide` characters are composed one at a time, the others together; both as the library does."""
+    t, rng = pieces.Transducer(pieces.model_bytes()), random.Random(8)
+    words = ["".join(rng.choice(["an", "ing", "x", "é", "漢", "🙂", "7", "-", "st"]) for _ in range(rng.randint(1, 50))) for _ in range(400)]
+    assert any(len(w) > t.wide for w in words) and any(len(w) < t.wide for w in words)
+    want = [library.encode(w) for w in words]
+    assert t.encode(words) == want
+    for wide in (0, 10_000):
+        other = pieces.Transducer(pieces.model_bytes())
+        other.wide = wide
+        assert other.encode(words) == want
+
+
+def test_pairs_fit_as_single_merges_say():
+    t, rng = pieces.Transducer(pieces.model_bytes()), random.Random(9)
+    names = {i: p for p, i in t.ids.items()}
+    some = rng.sample(sorted(names), 3000)
+    x, y = pieces.np.array(some[:1500]), pieces.np.array(some[1500:])
+    want = [t.merged(names[a] + names[b]) == [names[a], names[b]] for a, b in zip(x.tolist(), y.tolist(), strict=True)]
+    for _ in range(2):  # computed, then from the table
+        assert t.pairs_fit(x, y).tolist() == want
+
+
+def test_lookup_with_keys_that_share_slots():
+    rng = pieces.np.random.default_rng(1)
+    keys = rng.permutation(1 << 14)[:5000].astype(pieces.np.int64) << 40
+    table = pieces.Lookup(keys[:4000], pieces.np.arange(4000))
+    assert table.get(keys[:4000]).tolist() == list(range(4000))
+    assert set(table.get(keys[4000:]).tolist()) == {-1}
+    assert pieces.Lookup(keys[:0], keys[:0]).get(keys).tolist() == [-1] * 5000

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from heapq import heappop, heappush
@@ -19,6 +20,9 @@ from tessera.llm.common import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 NORMAL, BYTE = 1, 6
+#: Slots of the table of pairs' weights: 4 million, 16 MB for a vocabulary of up to 32,767 pieces.
+PAIR_BITS = 22
+CUT = re.compile(f"[^{SPACE}]{SPACE}")
 
 
 def halved(kept: dict, most: int) -> bool:
@@ -66,6 +70,31 @@ def slots(keys: np.ndarray, shift: np.uint64) -> np.ndarray:
     return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> shift).astype(np.int64)
 
 
+def spans(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each span, one span after the other."""
+    return np.repeat(start - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+
+
+def starts(size: np.ndarray) -> np.ndarray:
+    """Where each of several spans of these sizes starts, and the end of all."""
+    return np.concatenate([[0], np.cumsum(size)]).astype(np.int64)
+
+
+class Strings:
+    """Byte strings by number, to be written one after the other."""
+
+    def __init__(self, strings: list[bytes]):
+        self.bytes = np.frombuffer(b"".join(strings), np.uint8)
+        self.size = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.start = starts(self.size)[:-1]
+
+    def written(self, ids: np.ndarray, bound: np.ndarray) -> list[bytes]:
+        """For each run ids[bound[i] : bound[i + 1]], its strings in one."""
+        size = self.size[ids]
+        out, at = self.bytes[spans(self.start[ids], size)].tobytes(), starts(size)[bound].tolist()
+        return [out[a:b] for a, b in zip(at, at[1:], strict=False)]
+
+
 class Transducer:
     """Normaliser, pieces and byte fallback of a byte-pair model with the identity normaliser, compiled to one transducer.
 
@@ -76,14 +105,15 @@ class Transducer:
     are what the merges make of a text if and only if they are what the merges make of these two alone, so one path has a finite
     weight: the shortest, and the model's own segmentation. A run of spaces merges last, from the left; its arcs follow that.
 
-    Pieces are compiled to a trie read from their ends, in arrays, and all new words of a batch are composed with it together, place
-    by place (`shortest`). Weights of pairs are kept in a table of fixed size where a new pair takes the slot of an older one. Words
-    of more than `wide` characters are composed one at a time (`extend`), by the same arcs.
+    Pieces are compiled to a trie read from their ends, in arrays, and all different words of `block` characters of text are composed
+    with it together, place by place (`shortest`). Weights of pairs are kept in a table of fixed size where a new pair takes the slot
+    of an older one. Words of more than `wide` characters are composed one at a time (`extend`), by the same arcs.
     """
 
     wide = 64
+    block = 1 << 19
 
-    def __init__(self, model: bytes, cache: int = 200_000):
+    def __init__(self, model: bytes, room: int = 100_000):
         from sentencepiece import sentencepiece_model_pb2 as pb
 
         proto = pb.ModelProto()
@@ -100,18 +130,16 @@ class Transducer:
         self.fits: dict[tuple[str, str], bool] = {}
         self.whole: dict[str, bool] = {}
         self.runs: dict[int, list[str]] = {}
-        self.cache: dict[str, tuple[int, ...]] = {}
-        self.room = cache
-        self.met, self.n_met = bytearray(1 << 23), 0  # by hash: parts that have come once; kept are those that come again
+        self.room = room
         self.compile(list(proto.pieces))
-        breaks = "".join(re.escape(chr(c)) for c in range(32) if chr(c) not in self.ids)
-        self.parts = re.compile(f"{SPACE}*[^{SPACE}{breaks}]+|{SPACE}+|[{breaks}]" if breaks else f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+        self.breaks = np.array([chr(c) not in self.ids for c in range(32)])  # characters that are parts by themselves
+        self.factors = np.random.default_rng(7).integers(1, 1 << 63, self.wide, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
     def compile(self, pieces: list) -> None:
         """Arrays for `shortest`: the letters of each piece, the trie from their ends, all merges of two pieces, the pieces that merges leave whole."""
         n = len(self.out)
         self.n = n
-        self.figures = list(map(str, range(n)))
+        self.figures, self.spelling = Strings([b"%d," % i for i in range(n)]), Strings(self.out)
         self.letter = np.full(0x110000, -1, np.int32)  # the piece of a character
         for p, i in self.ids.items():
             if len(p) == 1:
@@ -145,7 +173,7 @@ class Transducer:
         left_whole[every] = (merged[:, 0] == every) & (merged[:, 1:] == -1).all(axis=1)
         found = np.array(ends, np.int64)
         self.ends = np.where(left_whole[found], found, -1)
-        self.pair_key, self.pair_fits = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        self.pairs = np.full(1 << PAIR_BITS, -1, np.int32 if 2 * n * n < 1 << 31 else np.int64)  # twice the pair's number, plus one if it fits
 
     def join(self, x: np.ndarray, y: np.ndarray) -> np.ndarray:
         """The piece that x and y merge to; -1: none."""
@@ -178,8 +206,8 @@ class Transducer:
     def pairs_fit(self, before: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether the merges leave `piece` after `before`: `weight` for many pairs of pieces."""
         key = before * self.n + piece
-        at = slots(key, np.uint64(44))
-        fits, new = self.pair_fits[at], np.flatnonzero(self.pair_key[at] != key)
+        known = self.pairs[slots(key, np.uint64(64 - PAIR_BITS))]
+        fits, new = (known & 1) == 1, np.flatnonzero(known >> 1 != key)
         if len(new):
             keys, where = np.unique(key[new], return_inverse=True)
             x, y = keys // self.n, keys % self.n
@@ -190,20 +218,17 @@ class Transducer:
             made = self.merges(rows)
             fit = (made[:, 0] == x) & (made[:, 1] == y) & (made[:, 2:] == -1).all(axis=1)
             fits[new] = fit[where]
-            slot = slots(keys, np.uint64(44))
-            self.pair_key[slot], self.pair_fits[slot] = keys, fit
+            self.pairs[slots(keys, np.uint64(64 - PAIR_BITS))] = 2 * keys + fit
         return fits
 
-    def shortest(self, words: list[str]) -> list[tuple[int, ...]]:
-        """Ids of sorted words without spaces inside, all composed at once: place by place, from those that a piece's letters lead back to.
+    def shortest(self, codes: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of words without spaces inside and how many each has, all composed at once: place by place, from those that a piece's letters lead back to.
 
         A place whose word begins like the one before it, up to there, takes over what that one found."""
-        size = np.fromiter(map(len, words), np.int64, len(words))
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
         letters = self.letter[codes]
         first = np.cumsum(size) - size
         last, step = np.full(len(codes), -1, np.int64), np.ones(len(codes), np.int64)
-        reach, same = np.arange(len(words)), np.arange(len(words)) > 0  # words that reach this place, those that begin like the one before
+        reach, same = np.arange(len(size)), np.arange(len(size)) > 0  # words that reach this place, those that begin like the one before
         for at in range(1, int(size.max()) + 1):
             reach = reach[size[reach] >= at]
             every = first[reach] + at - 1
@@ -251,8 +276,7 @@ class Transducer:
             many = np.add.reduceat(wide, np.cumsum(many) - many)
             ids = np.repeat(ids, wide)
             ids[np.repeat(begin[unknown] - (np.cumsum(extra) - extra), extra) + np.arange(extra.sum())] = np.fromiter(chain.from_iterable(spelled), np.int64)
-        flat, bound = tuple(ids.tolist()), np.cumsum(many).tolist()
-        return [flat[a:b] for a, b in zip([0, *bound], bound, strict=False)]
+        return ids, many
 
     def merged(self, text: str) -> list[str]:
         """What the merges make of a text: the best-ranked pair first, the leftmost of equal ones; n log n steps for n characters."""
@@ -342,30 +366,6 @@ class Transducer:
             self.runs[n] = self.merged(SPACE * n)
         return self.runs[n]
 
-    def learn(self, parts: list[str]) -> None:
-        """Compose with parts that are not in the cache."""
-        parts = sorted(parts, key=self.bare)
-        words = [self.bare(part) for part in parts]
-        short = [w for w in words if 0 < len(w) <= self.wide]
-        found = iter(self.shortest(short)) if short else iter(())
-        for part, word in zip(parts, words, strict=True):
-            spaces = len(part) - len(word) + (word[:1] == SPACE)
-            ids = next(found) if 0 < len(word) <= self.wide else self.long(word)
-            if spaces and not word:
-                ids = self.spelled(self.run(spaces))
-            elif spaces > 1:  # the other spaces merge among themselves, with the last one if it stayed alone
-                alone = ids[0] == self.ids.get(SPACE)
-                ids = self.spelled(self.run(spaces if alone else spaces - 1)) + ids[alone:]
-            self.cache[part] = ids
-
-    @staticmethod
-    def bare(part: str) -> str:
-        """A part with one space before it instead of several; spaces only: empty."""
-        if part[0] != SPACE or part[1:2] != SPACE and len(part) > 1:
-            return part
-        word = part.lstrip(SPACE)
-        return SPACE + word if word else ""
-
     def long(self, word: str) -> tuple[int, ...]:
         """Ids of one word, place by place."""
         cost, last = [0.0] * (len(word) + 1), [None] * (len(word) + 1)
@@ -376,42 +376,110 @@ class Transducer:
     def spelled(self, pieces: list[str]) -> tuple[int, ...]:
         return tuple(chain.from_iterable(map(self.written, pieces)))
 
+    def composed(self, codes: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(number of its word for each span of codes, ids of all words, how many each has); equal spans are one word."""
+        at, place = spans(start, size), spans(np.zeros(len(size), np.int64), size)
+        key = np.add.reduceat((codes[at].astype(np.uint64) + np.uint64(1)) * self.factors[place], starts(size)[:-1])
+        _, one, word = np.unique(key, return_index=True, return_inverse=True)
+        if (size[one][word] != size).any() or (codes[at] != codes[np.repeat(start[one][word], size) + place]).any():  # two words share a hash
+            _, one, word = np.unique([codes[a : a + n].tobytes() for a, n in zip(start.tolist(), size.tolist(), strict=True)], return_index=True, return_inverse=True)
+        begin, many = start[one], size[one]
+        front = [np.where(many > i, codes[np.minimum(begin + i, len(codes) - 1)], 0).astype(np.int64) for i in range(9)]
+        order = np.lexsort([(front[i] << 42) | (front[i + 1] << 21) | front[i + 2] for i in (6, 3, 0)])  # words that begin alike come together
+        ids, n = self.shortest(codes[spans(begin[order], many[order])], many[order])
+        back = np.empty(len(order), np.int64)
+        back[order] = np.arange(len(order))
+        return back[word], ids, n
+
+    def compose(self, text: str, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of normalised chunks of text (those of these sizes, which follow each other in `text`) and how many each has."""
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        blank = codes == ord(SPACE)
+        alone = self.breaks[np.minimum(codes, 31)] & (codes < 32)
+        head = alone | blank
+        head[1:] = (head[1:] & ~(blank[1:] & blank[:-1])) | alone[:-1]
+        head[starts(size)[:-1]] = True
+        start = np.flatnonzero(head)
+        length = np.diff(np.append(start, len(codes)))
+        spaces = np.add.reduceat(blank, start, dtype=np.int64)
+        extra = np.maximum(spaces - 1, 0)
+        words = np.where(spaces < length, length - extra, 0)
+        entry, ids, many = np.full(len(start), -1, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        short = np.flatnonzero((words > 0) & (words <= self.wide))
+        if len(short):
+            entry[short], ids, many = self.composed(codes, start[short] + extra[short], words[short])
+        bound = starts(many)
+        more: dict[tuple[int, str | int], int] = {}
+        added: list[tuple[int, ...]] = []
+        for i in np.flatnonzero((spaces > 1) | (entry < 0)).tolist():  # runs of spaces, and long words
+            a, n, e = int(start[i]), int(spaces[i]), int(entry[i])
+            word: str | int = e if e >= 0 else text[a + int(extra[i]) : a + int(length[i])] if words[i] else ""
+            if (n, word) not in more:
+                more[n, word] = len(many) + len(added)
+                if word == "":
+                    added.append(self.spelled(self.run(n)))
+                else:
+                    found = tuple(ids[bound[e] : bound[e + 1]].tolist()) if e >= 0 else self.long(word)
+                    if n > 1:  # the other spaces merge among themselves, with the last one if it stayed alone
+                        single = found[0] == self.ids.get(SPACE)
+                        found = self.spelled(self.run(n if single else n - 1)) + found[single:]
+                    added.append(found)
+            entry[i] = more[n, word]
+        if added:
+            many = np.concatenate([many, np.fromiter(map(len, added), np.int64, len(added))])
+            ids, bound = np.concatenate([ids, np.fromiter(chain.from_iterable(added), np.int64)]), starts(many)
+        count = many[entry]
+        of_chunk = np.add.reduceat(count, np.searchsorted(start, starts(size)[:-1]))
+        return ids[spans(bound[entry], count)].astype(np.int32), of_chunk
+
+    def chunks(self, text: str) -> Iterator[str]:
+        """A normalised text, cut before runs of spaces into chunks of about `block` characters, so that a long text takes no more memory."""
+        text, at = SPACE + text.replace(" ", SPACE), 0
+        while at < len(text):
+            cut = CUT.search(text, at + self.block)
+            end = cut.end() - 1 if cut else len(text)
+            yield text[at:end]
+            at = end
+
+    def encode_flat(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after the other, and where each text's begin (and all end); a null or empty text has none."""
+        ids, total, waiting, held = [np.zeros(0, np.int32)], np.zeros(len(texts), np.int64), [], 0
+
+        def flush() -> None:
+            found, many = self.compose("".join(c for _, c in waiting), np.array([len(c) for _, c in waiting]))
+            ids.append(found)
+            np.add.at(total, [i for i, _ in waiting], many)
+
+        for i, text in enumerate(texts):
+            for chunk in self.chunks(text) if text else ():
+                if waiting and held + len(chunk) > self.block:
+                    flush()
+                    waiting, held = [], 0
+                waiting.append((i, chunk))
+                held += len(chunk)
+        if waiting:
+            flush()
+        return np.concatenate(ids), starts(total)
+
     def encode(self, texts: list[str | None]) -> list[list[int]]:
-        """Ids of each text; a null or empty text has none."""
-        split = [self.parts.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        out = []
-        for a in range(0, len(split), 512):
-            some = split[a : a + 512]
-            new = set(chain.from_iterable(some)).difference(self.cache)
-            if new and halved(self.cache, self.room - len(new)):
-                new = set(chain.from_iterable(some)).difference(self.cache)
-            self.learn(list(new))
-            out += [list(chain.from_iterable(map(self.cache.__getitem__, parts))) for parts in some]
-            self.keep_repeated(new)
-        return out
+        """Ids of each text."""
+        ids, bound = self.encode_flat(texts)
+        return [ids[a:b].tolist() for a, b in zip(bound, bound[1:], strict=False)]
 
-    def keep_repeated(self, new: set[str]) -> None:
-        """Take out of the cache again what has come for the first time: most parts never come a second time."""
-        if self.n_met > len(self.met) // 4:
-            self.met, self.n_met = bytearray(len(self.met)), 0
-        for part in new:
-            at = hash(part) % len(self.met)
-            if not self.met[at]:
-                self.met[at] = 1
-                self.n_met += 1
-                del self.cache[part]
+    def decode_flat(self, ids: np.ndarray, bound: np.ndarray) -> list[str]:
+        """The text of each run of ids, without the space that the normaliser put first."""
+        texts = [b.decode("utf-8", "replace").replace(SPACE, " ") for b in self.spelling.written(ids, bound)]
+        return [t[1:] if t.startswith(" ") else t for t in texts]
 
     def decode(self, ids: list[int]) -> str:
-        """The text of ids, without the space that the normaliser put first."""
-        text = b"".join(map(self.out.__getitem__, ids)).decode("utf-8", "replace").replace(SPACE, " ")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_flat(np.array(ids, np.int64), np.array([0, len(ids)]))[0]
 
 
 _compiled: dict[int, Transducer] = {}
 
 
 def compiled(model: bytes) -> Transducer:
-    """One transducer for each model and worker, so that its cache lives from batch to batch."""
+    """One transducer for each model and worker, so that its weights live from batch to batch."""
     key = hash(model)
     if key not in _compiled:
         _compiled.clear()
@@ -437,12 +505,9 @@ def encode(df: DataFrame, text_col: str = "text", model: bytes | None = None) ->
     @F.arrow_udf("array<int>")
     def ids(text: pa.Array) -> pa.Array:
         t = compiled(shared.value)
-        found = []
-        for a in range(0, len(text), 512):
-            found += [np.array(x, np.int32) for x in t.encode(text.slice(a, 512).to_pylist())]
+        found, bound = t.encode_flat(text.to_pylist())
         k.rest()
-        at = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(at), pa.array(np.concatenate([np.zeros(0, np.int32), *found])))
+        return pa.ListArray.from_arrays(pa.array(bound, pa.int32()), pa.array(found, pa.int32()))
 
     return packed.select("row", ids("text").alias("ids"))
 
@@ -465,8 +530,6 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
     """(id, n_tokens, ids_sha256, round_trip) of each row: the digest of its ids as comma-joined text, and whether decoding gives the text back.
 
     It does not where the text holds U+2581 itself, which decodes to a space. A null text counts as empty."""
-    import hashlib
-
     small_batches(df.sparkSession)
     shared = df.sparkSession.sparkContext.broadcast(model_bytes() if model is None else model)
 
@@ -475,9 +538,9 @@ def digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model
         for batch in batches:
             for a in range(0, batch.num_rows, 512):
                 texts = k.column(batch, "text").slice(a, 512).to_pylist()
-                ids = t.encode(texts)
-                same = [t.decode(x) == (y or "") for x, y in zip(ids, texts, strict=True)]
-                sha = [hashlib.sha256(",".join(map(t.figures.__getitem__, x)).encode()).hexdigest() for x in ids]
-                yield pa.RecordBatch.from_arrays([k.column(batch, "id").slice(a, 512), pa.array([len(x) for x in ids], pa.int64()), pa.array(sha), pa.array(same)], names=["id", "n_tokens", "ids_sha256", "round_trip"])
+                ids, bound = t.encode_flat(texts)
+                same = [x == (y or "") for x, y in zip(t.decode_flat(ids, bound), texts, strict=True)]
+                sha = [hashlib.sha256(x[:-1]).hexdigest() for x in t.figures.written(ids, bound)]
+                yield pa.RecordBatch.from_arrays([k.column(batch, "id").slice(a, 512), pa.array(np.diff(bound), pa.int64()), pa.array(sha), pa.array(same)], names=["id", "n_tokens", "ids_sha256", "round_trip"])
 
     return df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(digest, f"id {df.schema[id_col].dataType.simpleString()}, n_tokens long, ids_sha256 string, round_trip boolean")

@@ -45,10 +45,14 @@ def test_awkward_rows(spark):
     assert all(r.round_trip for r in pieces.digests(df).collect())
 
 
-def test_cache_that_overflows(library):
-    t = pieces.Transducer(pieces.model_bytes(), cache=20)
-    texts = [f"word{i} other{i % 7} thing" for i in range(300)]
-    assert t.encode(texts) == library.encode(texts)
+def test_blocks_of_any_size(library):
+    """Texts longer than a block are cut into chunks, and several short ones share one; the ids are the same."""
+    t = pieces.Transducer(pieces.model_bytes(), room=20)
+    texts = [f"word{i} other{i % 7}  thing\n" * (1 + i % 5) for i in range(100)] + ["", None, "   ", " a " * 300, "x" * 200 + " y"]
+    want = [library.encode(x or "") for x in texts]
+    for block in (1, 50, 1000, 1 << 19):
+        t.block = block
+        assert t.encode(texts) == want
 
 
 def test_long_words_and_short_ones_by_the_same_arcs(library):
@@ -59,8 +63,7 @@ def test_long_words_and_short_ones_by_the_same_arcs(library):
     want = [library.encode(w) for w in words]
     assert t.encode(words) == want
     for wide in (0, 10_000):
-        other = pieces.Transducer(pieces.model_bytes())
-        other.wide = wide
+        other = type("Other", (pieces.Transducer,), {"wide": wide})(pieces.model_bytes())
         assert other.encode(words) == want
 
 

@@ -71,27 +71,38 @@ def hypergeometric(take: Column, marked: Column, total: Column, u: Column) -> Co
     return let(let(F.struct(take.cast("long").alias("t"), marked.cast("long").alias("m"), total.cast("long").alias("n")), ends), draw)
 
 
+def multivariate(has: Column, take: Column, total: Column, *key: Column) -> Column:
+    """How many blocks each of has(no, quota) gives to a draw of `take` from all `total`: the parts in order, each hypergeometric given those before."""
+
+    def draw(a: Column, x: Column) -> Column:
+        n = hypergeometric(a["take"], x["quota"], a["left"], unit(*key, x["no"]))
+        return let(n, lambda n: F.struct((a["left"] - x["quota"]).alias("left"), (a["take"] - n).alias("take"), F.concat(a["out"], F.array(n)).alias("out")))
+
+    return F.aggregate(has, F.struct(total.alias("left"), take.alias("take"), F.array().cast("array<bigint>").alias("out")), draw)["out"]
+
+
 def splitting_tree(quotas: DataFrame, depth: int, seed: int) -> DataFrame:
     """quotas(source_no, quota) dealt to 2**depth shards: (source_no, shard, quota), with nothing lost.
 
-    At each node half of the blocks, drawn without replacement, go left. Taking the sources in order, each one's part of
-    the draw is hypergeometric given what the sources before it have taken; so the parts are multivariate hypergeometric.
+    At each node half of the blocks, drawn without replacement, go left, and the sources' parts of the draw are multivariate
+    hypergeometric. The draw is made in two steps that have the same distribution as one: first for chunks of sources, then inside
+    each chunk. A chunk holds the square root of the number of sources, so no row holds more than that many quotas.
     """
-    level = quotas.groupBy().agg(F.array_sort(F.collect_list(F.struct("source_no", "quota"))).alias("has")).select(F.lit(0).alias("node"), "has")
-    zero = F.lit(0).cast("long")
+    width = max(1, math.isqrt(quotas.count()))
+    zero, quota = F.lit(0).cast("long"), F.struct(F.col("source_no").cast("long").alias("no"), F.col("quota").cast("long").alias("quota"))
+    level = quotas.groupBy(F.lit(0).alias("node"), F.floor(F.col("source_no") / width).alias("chunk")).agg(F.array_sort(F.collect_list(quota)).alias("has"))
     for at in range(depth):
-        total = F.aggregate("has", zero, lambda a, x: a + x["quota"])
-
-        def draw(a, x):
-            n = hypergeometric(a["take"], x["quota"], a["left"], unit(F.lit(seed), F.lit(at), F.col("node"), x["source_no"]))  # noqa: B023  used within this pass
-            return let(n, lambda n: F.struct((a["left"] - x["quota"]).alias("left"), (a["take"] - n).alias("take"), F.concat(a["out"], F.array(n)).alias("out")))
-
-        start = F.struct(F.col("total").alias("left"), F.floor((F.col("total") + F.col("node") % 2) / 2).alias("take"), F.array().cast("array<bigint>").alias("out"))
-        level = level.select("node", "has", total.alias("total")).select("node", "has", F.aggregate("has", start, draw)["out"].alias("left"))
-        part = lambda side: F.transform(F.arrays_zip("has", "left"), lambda x: F.struct(x["has"]["source_no"].alias("source_no"), (x["left"] if side == 0 else x["has"]["quota"] - x["left"]).alias("quota")))
-        sides = F.array(F.struct((F.col("node") * 2).alias("node"), part(0).alias("has")), F.struct((F.col("node") * 2 + 1).alias("node"), part(1).alias("has")))
+        level = level.withColumn("total", F.aggregate("has", zero, lambda a, x: a + x["quota"]))
+        nodes = level.groupBy("node").agg(F.array_sort(F.collect_list(F.struct(F.col("chunk").alias("no"), F.col("total").alias("quota")))).alias("chunks"), F.sum("total").alias("all"))
+        half = F.floor((F.col("all") + F.col("node") % 2) / 2)
+        taken = multivariate(F.col("chunks"), half, F.col("all"), F.lit(seed), F.lit(at), F.lit("chunk"), F.col("node"))
+        takes = nodes.select("node", "chunks", taken.alias("take")).select("node", F.inline(F.arrays_zip("chunks", "take"))).select("node", F.col("chunks.no").alias("chunk"), "take")
+        left = multivariate(F.col("has"), F.col("take"), F.col("total"), F.lit(seed), F.lit(at), F.lit("source"), F.col("node"))
+        level = level.join(takes, ["node", "chunk"]).select("node", "chunk", "has", left.alias("left"))
+        part = lambda side: F.transform(F.arrays_zip("has", "left"), lambda x: F.struct(x["has"]["no"].alias("no"), (x["left"] if side == 0 else x["has"]["quota"] - x["left"]).alias("quota")))
+        sides = F.array(*[F.struct((F.col("node") * 2 + side).alias("node"), "chunk", part(side).alias("has")) for side in (0, 1)])
         level = cut(level.select(F.inline(sides)))
-    return level.select(F.col("node").alias("shard"), F.inline("has"))
+    return level.select(F.col("node").alias("shard"), F.inline("has")).select(F.col("no").cast("int").alias("source_no"), "shard", "quota")
 
 
 def block_numbers(share: Column, blocks: int) -> Column:
@@ -114,8 +125,9 @@ def mix_sources(
     are never drawn; a null source is a source of its own, last in order. Weights repeat over the sources by code point.
 
     The documents of a source are dealt by hash to at most `blocks` blocks (see block_numbers). Its target is filled by whole
-    blocks in a permuted order, a second permuted pass following the first, so no document is taken more than `most` times; of
-    the last block each document gives the same share of words. Whole blocks are exact quotas that the splitting tree deals to
+    blocks in a permuted order, a second permuted pass following the first, so no document is taken more than `most` times. The last
+    block is filled by whole cells (of `blocks` cells of a source, dealt by the same hash) in a permuted order; in the last cell each
+    document gives the same share of its words, rounded up or down by a hash. Blocks are exact quotas that the splitting tree deals to
     2**depth shards (by default as many as give each shard about shard_words words, 8 at least). Reruns agree: every choice is
     a hash of id, source and seed. Repeated ids share a block, not a decision. An empty table gives an empty result.
 
@@ -145,20 +157,28 @@ def mix_sources(
         .withColumn("turn", F.row_number().over(Window.partitionBy("source_no").orderBy(F.xxhash64(F.lit(seed + 1), "copy", "block"), "copy", "block")))
     )
     copies = cut(copies)
+    cells = named.where("words > 0").select("source_no", "block", "fine", F.col("words").alias("cell_words")).join(copies.where("part < 1").select("source_no", "block", "copy", (F.col("part") * F.col("words")).alias("goal")), ["source_no", "block"])
+    place = lambda copy, fine: F.xxhash64(F.lit(seed + 3), F.col("source_no"), copy, fine)
+    cells = cells.withColumn("edge", place(F.col("copy"), F.col("fine")))
+    filled = F.sum("cell_words").over(Window.partitionBy("source_no", "copy").orderBy("edge", "fine"))  # at most `blocks` cells
+    edges = cells.withColumn("over", filled - F.col("goal")).where("over >= 0 and over < cell_words").select("source_no", "copy", "edge", (1 - F.col("over") / F.col("cell_words")).alias("edge_part"))
+    copies = cut(copies.join(edges, ["source_no", "copy"], "left").withColumn("edge", F.when(F.col("part") < 1, F.col("edge"))))
     leaves = splitting_tree(copies.groupBy("source_no").agg(F.count("*").alias("quota")), depth, seed)
     upto = F.sum("quota").over(Window.partitionBy("source_no").orderBy("shard"))
     ranges = leaves.select("source_no", "shard", (upto - F.col("quota")).alias("from_turn"), upto.alias("to_turn")).where("to_turn > from_turn")
     placed = (
         copies.join(ranges, "source_no").where("turn > from_turn and turn <= to_turn")
-        .groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "part"))).alias("has"))
+        .groupBy("source_no", "block").agg(F.array_sort(F.collect_list(F.struct("copy", "shard", "edge", "edge_part"))).alias("has"))
     )
     if small:  # no more rows than 128 * blocks + n_sources
         out = with_source(rows).join(F.broadcast(placed), ["source_no", "block"], "left")
     else:
-        keyed = named.join(placed, ["source_no", "block"], "left").select(F.col("source").alias("_s"), F.col("fine").alias("_f"), "source_size", "target", "has")
+        keyed = named.join(placed, ["source_no", "block"], "left").select(F.col("source").alias("_s"), F.col("fine").alias("_f"), "source_no", "source_size", "target", "has")
         out = rows.join(keyed, F.col("source").eqNullSafe(F.col("_s")) & (F.col("fine") == F.col("_f")), "left")
-    words = lambda x: F.round(x["part"] * F.col("size")).cast("long")
-    draws = F.transform(F.coalesce("has", F.array().cast("array<struct<copy:int,shard:int,part:double>>")), lambda x: F.struct(x["shard"].alias("shard"), x["copy"].alias("copy"), words(x).alias("words"), F.xxhash64(F.lit(seed + 2), x["shard"], x["copy"], F.col("id").cast("string")).alias("position")))
+    by_hash = lambda x: F.floor(x["edge_part"] * F.col("size") + unit(F.lit(seed + 4), x["copy"], F.col("id").cast("string")))
+    at = lambda x: place(x["copy"], F.col("fine"))
+    words = lambda x: F.when(x["edge"].isNull() | (at(x) < x["edge"]), F.col("size")).when(at(x) == x["edge"], by_hash(x)).otherwise(0).cast("long")
+    draws = F.transform(F.coalesce("has", F.array().cast("array<struct<copy:int,shard:int,edge:bigint,edge_part:double>>")), lambda x: F.struct(x["shard"].alias("shard"), x["copy"].alias("copy"), words(x).alias("words"), F.xxhash64(F.lit(seed + 2), x["shard"], x["copy"], F.col("id").cast("string")).alias("position")))
     out = out.withColumn("draws", F.filter(draws, lambda x: x["words"] > 0))
     return out.select("row", "id", "size", "source_size", "target", F.aggregate("draws", F.lit(0).cast("long"), lambda a, x: a + x["words"]).alias("taken"), "draws")
 

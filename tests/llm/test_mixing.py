@@ -136,3 +136,27 @@ def test_native(spark, sf):
     plan = mix_sources(spark.read.parquet(f"{sf}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
     assert cut(spark.range(3)).count() == 3
+
+
+def test_many_small_sources_meet_their_targets(spark):
+    """20,000 sources, hundreds of which hold one-word texts in a single block: each comes within two words or 1 % of its target."""
+    tiny = spark.range(20_000).select(F.col("id").alias("doc_id"), F.lit("w").alias("text"), F.concat(F.lit("t"), F.col("id").cast("string")).alias("source"))
+    small = spark.range(60_000).select((F.col("id") + 1_000_000).alias("doc_id"), F.lit("w").alias("text"), F.concat(F.lit("s"), (F.col("id") % 60).cast("string")).alias("source"))
+    got = mix_sources(tiny.unionByName(small), blocks=8).groupBy("row.source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target"), F.count("*").alias("n")).toPandas()
+    assert len(got) == 20_060
+    many = got[got.n > 1]
+    assert (got.taken - got.target).abs()[got.n == 1].max() <= 1
+    fine = mix_sources(small).groupBy("row.source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).toPandas()
+    assert ((fine.taken - fine.target).abs() <= (fine.target * 0.01).clip(lower=2)).all()
+    assert ((many.taken - many.target).abs() / many.target).mean() < 0.05
+
+
+def test_parts_of_a_draw(spark):
+    """Over many nodes, the parts that sources have in halves have the mean and the spread of a multivariate hypergeometric draw."""
+    quotas = [40, 10, 25, 5, 20, 60, 3, 37, 50]
+    left = [{r.source_no: r.quota for r in splitting_tree(spark.createDataFrame(list(enumerate(quotas, 1)), "source_no int, quota long"), 1, seed).collect() if r.shard == 0} for seed in range(12)]
+    total = sum(quotas)
+    for no, q in enumerate(quotas, 1):
+        mean = sum(x.get(no, 0) for x in left) / len(left)
+        sd = (total / 2 * (q / total) * (1 - q / total) * (total / 2) / (total - 1)) ** 0.5
+        assert abs(mean - q / 2) <= 5 * sd / len(left) ** 0.5 + 1e-9

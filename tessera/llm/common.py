@@ -42,21 +42,21 @@ def remainder(id_col: str, modulus: int) -> Column:
     return F.crc32(F.col(id_col).cast("string")) % modulus
 
 
-def bounded_sample(df: DataFrame, key: Column, bound: int, by: str | None = None, values: int = 256) -> DataFrame:
-    """Rows chosen by a hash of key, about `bound` in all (within each value of `by`, an equal share of it).
+def bounded_sample(df: DataFrame, key: Column, bound: int, by: str | None = None, least: int = 32, broadcast_rows: int = 100_000) -> DataFrame:
+    """Rows chosen by a hash of key, about `bound` in all (of each value of `by` an equal share of it, but about `least` rows at the least).
 
-    Counts first (only the columns needed), then keeps rows whose 63-bit hash lies below the share bound/count; no row is shuffled. Of
-    `by`, the `values` most frequent values are sampled, so that what reaches the driver has a bound.
+    Counts first (only the columns needed), then keeps rows whose 63-bit hash lies below the share bound/count. Up to broadcast_rows
+    values of `by`, their shares are broadcast and no row is shuffled. A value of `by` has all its rows where it has few; nulls have none.
     """
     unit = F.xxhash64(key, F.lit("sample")).bitwiseAND((1 << 63) - 1)
     if by is None:
         return df.where(unit <= highest_hash(bound, df.count()))
-    counts = {r[0]: r[1] for r in df.groupBy(by).count().orderBy(F.desc("count"), by).limit(values).collect()}
-    share = bound / max(1, len(counts))
-    rate = F.lit(-1).cast("long")
-    for value, n in counts.items():
-        rate = F.when(F.col(by) == F.lit(value), F.lit(highest_hash(share, n))).otherwise(rate)
-    return df.where(unit <= rate)
+    counts = cut(df.where(F.col(by).isNotNull()).groupBy(F.col(by).alias("_by")).agg(F.count("*").alias("_n")))
+    values = counts.count()
+    share = float(max(least, bound / max(1, values)))
+    rate = F.when(F.col("_n") <= share, F.lit((1 << 63) - 1)).otherwise(F.greatest(F.lit(1), F.floor(share / F.col("_n") * float(1 << 62)) * 2))
+    rates = counts.select("_by", rate.cast("long").alias("_rate"))
+    return df.join(F.broadcast(rates) if values <= broadcast_rows else rates, F.col(by) == F.col("_by")).where(unit <= F.col("_rate")).drop("_by", "_rate")
 
 
 def highest_hash(bound: float, n: int) -> int:

@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm import kernels as k
-from tessera.llm.common import bounded_sample, small_batches
+from tessera.llm.common import bounded_sample, cut, small_batches, table
 
 _letters: list[np.ndarray] = []
 
@@ -65,8 +65,14 @@ class Languages:
 
     def score(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         """Most probable language of each text and its posterior probability; `und` and 0 for null or without a letter."""
+        names, _, mass = self.best(texts)
+        return names, np.divide(1.0, mass, out=np.zeros(len(mass)), where=mass > 0)
+
+    def best(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Of each text the most probable language (of equal ones the first), its log probability, and the sum of all languages'
+        probabilities in units of it; `und`, 0 and 0 for null or without a letter."""
         texts = [t or "" for t in texts]
-        names, scores = [], []
+        names, tops, masses = [], [np.zeros(0)], [np.zeros(0)]
         for a, b in blocks(texts):
             buckets, owners, has_letter = ngrams(texts[a:b], self.orders, self.bits)
             total = np.tile(self.log_prior, (b - a, 1))
@@ -76,21 +82,39 @@ class Languages:
                 if len(some):
                     total[some] += np.add.reduceat(self.log_prob[bucket], at[:-1][some], axis=0, dtype=np.float64)
             best = total.argmax(axis=1)
-            posterior = 1 / np.exp(total - total.max(axis=1, keepdims=True)).sum(axis=1)
+            top = total.max(axis=1)
             names += [self.names[j] if ok else "und" for j, ok in zip(best, has_letter, strict=True)]
-            scores.append(np.where(has_letter, posterior, 0.0))
-        return names, np.concatenate(scores) if scores else np.zeros(0)
+            tops.append(np.where(has_letter, top, 0.0))
+            masses.append(np.where(has_letter, np.exp(total - top[:, None]).sum(axis=1), 0.0))
+        return names, np.concatenate(tops), np.concatenate(masses)
+
+
+def sampled(labelled: DataFrame, text_col: str, lang_col: str, key_col: str, bound: int, tasks: int) -> DataFrame:
+    """(lang, text) of about `bound` rows with a text and a language, or 32 of each language if these are more, chosen by a hash of key_col."""
+    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
+    return cut(bounded_sample(rows, F.col("key"), bound, "lang").select("lang", "text").repartition(tasks))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 16, bound: int = 20_000, alpha: float = 0.1, tasks: int = 16) -> Languages:
-    """Fit on about `bound` rows with a text and a language, an equal share of each language, chosen by a hash of key_col.
+    """One model of all languages, fitted on about `bound` rows, an equal share of each language (see sampled).
 
-    Tasks count n-grams and return one row for each language: (languages x tasks) arrays of 2**bits counts reach the driver,
-    a bound that does not grow with the input: of the language names, the 256 most frequent are learned. The prior is uniform, as the sample is
-    balanced. Without any labelled row every text is `und`.
+    The prior is uniform, as the sample is balanced. Without any labelled row every text is `und`. The matrix grows by 2**bits * 4
+    bytes with each language; fit_blocks bounds it.
     """
-    rows = labelled.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(key_col).alias("key"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
-    sample = bounded_sample(rows, F.col("key"), bound, "lang").select("lang", "text").repartition(tasks)
+    return counted(sampled(labelled, text_col, lang_col, key_col, bound, tasks), orders, bits, alpha)
+
+
+def fit_blocks(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key_col: str = "doc_id", orders: tuple[int, ...] = (1, 2, 3, 4), bits: int = 16, bound: int = 20_000, alpha: float = 0.1, tasks: int = 16, most: int = 256) -> Iterator[Languages]:
+    """The model of fit in blocks of at most `most` languages, by name, each fitted as it is asked for: every language is learned, and
+    no more than one block is held at a time. The languages' names reach the driver."""
+    sample = sampled(labelled, text_col, lang_col, key_col, bound, tasks)
+    names = sorted(r["lang"] for r in sample.select("lang").distinct().toLocalIterator())
+    for at in range(0, max(1, len(names)), most):
+        yield counted(sample.where(F.col("lang").isin(names[at : at + most])), orders, bits, alpha)
+
+
+def counted(sample: DataFrame, orders: tuple[int, ...], bits: int, alpha: float) -> Languages:
+    """Log probabilities of the n-grams of sample(lang, text): tasks count them and return one row for each language."""
     width = 1 << bits
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,21 +139,39 @@ def fit(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", key
     return Languages(names, np.zeros(len(names)), matrix, orders, bits)
 
 
-def identify(df: DataFrame, model: Languages, text_col: str = "text") -> DataFrame:
+def identify(df: DataFrame, model: Languages | Iterable[Languages], text_col: str = "text") -> DataFrame:
     """Each row inside `row` (no name can clash), with lang_pred and score.
 
-    The matrix is broadcast: languages x 2**bits x 4 bytes. A null text, or one without a letter, gives `und` and score 0.
-    Whole texts are read. An empty table gives an empty result.
+    The matrix is broadcast: languages x 2**bits x 4 bytes. Of a model in blocks one block is broadcast at a time; between blocks the
+    rows are written with the best language so far, so the result is that of one matrix of all languages. A null text, or one without a
+    letter, gives `und` and score 0. Of equal posteriors the first name wins. Whole texts are read. An empty table gives an empty result.
     """
     small_batches(df.sparkSession)
-    shared = df.sparkSession.sparkContext.broadcast(model)
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    rows = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text_col).alias("text"))
+    for at, block in enumerate([model] if isinstance(model, Languages) else model):
+        shared = df.sparkSession.sparkContext.broadcast(block)
+        if at == 0:
+            rows = rows.withColumn("best", best_of(shared)("text"))
+        else:
+            rows = table(rows).withColumn("other", best_of(shared)("text")).select("row", "text", better(F.col("best"), F.col("other")).alias("best"))
+    return rows.select("row", "best.lang_pred", F.when(F.col("best.mass") > 0, 1 / F.col("best.mass")).otherwise(0.0).alias("score"))
+
 
-    @F.pandas_udf("lang_pred string, score double")
-    def score(text):
+def best_of(shared):
+    """Column function of a text: its best language in the broadcast block."""
+
+    @F.pandas_udf("lang_pred string, top double, mass double")
+    def best(text):
         import pandas as pd
 
-        names, scores = shared.value.score(text.tolist())
-        return pd.DataFrame({"lang_pred": names, "score": scores})
+        names, top, mass = shared.value.best(text.tolist())
+        return pd.DataFrame({"lang_pred": names, "top": top, "mass": mass})
+
+    return best
+
 
-    return packed.withColumn("_s", score("text")).select("row", "_s.lang_pred", "_s.score")
+def better(a: Column, b: Column) -> Column:
+    """The best of two blocks' best languages, a before b where they are equal, with the mass of both."""
+    top = F.greatest(a["top"], b["top"])
+    mass = a["mass"] * F.exp(a["top"] - top) + b["mass"] * F.exp(b["top"] - top)
+    return F.struct(F.when(a["top"] >= b["top"], a["lang_pred"]).otherwise(b["lang_pred"]).alias("lang_pred"), top.alias("top"), mass.alias("mass"))

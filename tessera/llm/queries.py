@@ -32,7 +32,7 @@ def held_out(modulus: int, value: int) -> Column:
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    model = language.fit(docs.where(~held_out(4, 2)))
+    model = language.fit_blocks(docs.where(~held_out(4, 2)))
     return language.identify(docs.select("doc_id", "text"), model).selectExpr("*", "row.doc_id").select("doc_id", held_out(4, 2).alias("held_out"), "lang_pred", "score")
 
 

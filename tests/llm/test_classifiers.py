@@ -38,6 +38,23 @@ def test_naive_bayes_sums(spark):
     assert name == [model.names[int(total.argmax())]] and score[0] == pytest.approx(float(np.exp(total.max()) / np.exp(total).sum()), rel=1e-4)
 
 
+def test_every_language_is_learned(spark):
+    """300 languages, one of them with most of the rows: all are learned, and blocks of 70 give what one matrix gives."""
+    rng = np.random.default_rng(3)
+    alphabet = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows = []
+    for no in range(300):
+        words = ["".join(rng.choice(alphabet, 5)) for _ in range(12)]
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 20)), f"l{no:03d}") for i in range(400 if no == 7 else 3)]
+    df = spark.createDataFrame([*rows, (-1, "x", None), (-2, None, "l000"), (-3, " 12 ", "l001")], "doc_id long, text string, lang string")
+    one = {r.doc_id: r for r in language.identify(df, language.fit(df)).selectExpr("row.doc_id", "row.lang", "lang_pred", "score").collect()}
+    blocks = list(language.fit_blocks(df, most=70))
+    assert [len(b.names) for b in blocks] == [70, 70, 70, 70, 20]
+    many = {r.doc_id: r for r in language.identify(df, iter(blocks)).selectExpr("row.doc_id", "row.lang", "lang_pred", "score").collect()}
+    assert len(one) == len(many) == df.count() and all(one[i].lang_pred == many[i].lang_pred and one[i].score == pytest.approx(many[i].score, abs=1e-9) for i in one)
+    assert sum(r.lang == r.lang_pred for r in many.values()) >= 0.99 * len(rows) and many[-2].lang_pred == many[-3].lang_pred == "und"
+
+
 @pytest.mark.parametrize("query, label, least", [(queries.op2_quality, "quality", 0.9), (queries.op5_toxicity, "toxic", 0.9)])
 def test_held_out_accuracy(spark, query, label, least):
     got = query(spark, BIG).join(spark.read.parquet(f"{BIG}/labels.parquet"), "doc_id").where(f"held_out and {label} is not null").toPandas()

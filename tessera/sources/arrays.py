@@ -221,11 +221,12 @@ def register(spark: SparkSession) -> None:
 def write_bank(df: DataFrame, path: str, key: str, column: str, dtype: str = "<f4") -> None:
     """A matrix and its metadata, row by row: `path`/matrix in order of `key`, and `path`/rows.parquet with `row` beside all other columns.
 
-    Rows are dealt by ranges of the key, so that the tasks' files follow each other in its order; the key names every row once.
+    Numbered rows are dealt by ranges of their number, so that the tasks' files follow each other in its order (the numbering itself
+    leaves ranges in any order); the key names every row once.
     """
     register(df.sparkSession)
     rows = numbered(df, [F.asc(key)], "_number").withColumn("row", F.col("_number") - 1).drop("_number")
-    rows.select("row", column).sortWithinPartitions("row").write.format("npy").mode("overwrite").options(path=f"{path}/matrix", column=column, dtype=dtype).save()
+    rows.select("row", column).repartitionByRange("row").sortWithinPartitions("row").write.format("npy").mode("overwrite").options(path=f"{path}/matrix", column=column, dtype=dtype).save()
     rows.drop(column).write.mode("overwrite").parquet(f"{path}/rows.parquet")
 
 
@@ -238,7 +239,7 @@ def read_bank(spark: SparkSession, path: str) -> DataFrame:
 def write_pack(df: DataFrame, path: str, key: str, frames: str, dtype: str = "<f4") -> None:
     """The frames (array of equally long arrays) of all rows, one after another in order of `key`, as one matrix, and where each row's frames are.
 
-    `path`/places.parquet holds (key, first, count); rows without frames have count 0.
+    `path`/places.parquet holds (key, first, count); rows without frames have count 0. Frames are dealt by ranges of their place, as in write_bank.
     """
     from tessera.operators.profile import running_sums
 
@@ -246,7 +247,7 @@ def write_pack(df: DataFrame, path: str, key: str, frames: str, dtype: str = "<f
     counted = df.select(key, F.col(frames).alias("_f"), F.coalesce(F.size(frames), F.lit(0)).cast("long").alias("count"))
     placed = running_sums(counted.withColumn("count", F.greatest("count", F.lit(0))), [F.asc(key)], {"first": "count"}, earlier=True)
     frame = placed.select("first", F.posexplode("_f").alias("_i", "values")).select((F.col("first") + F.col("_i")).alias("at"), "values")
-    frame.sortWithinPartitions("at").select("values").write.format("npy").mode("overwrite").options(path=f"{path}/matrix", column="values", dtype=dtype).save()
+    frame.repartitionByRange("at").sortWithinPartitions("at").select("values").write.format("npy").mode("overwrite").options(path=f"{path}/matrix", column="values", dtype=dtype).save()
     placed.select(key, F.col("first").cast("long").alias("first"), "count").write.mode("overwrite").parquet(f"{path}/places.parquet")
 
 

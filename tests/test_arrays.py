@@ -88,3 +88,24 @@ def test_reads_only_its_bytes(tmp_path):
     assert np.array_equal(arrays.read_rows(m, 5, 15), x[5:20])
     with pytest.raises(ValueError, match="not all there"):
         arrays.read_rows(m, 15, 10)
+
+
+def test_files_follow_the_order_of_many_ranges(spark, tmp_path):
+    """Ranges that stay apart (no coalescing) lie in the matrix in order of their rows, in banks and in packs."""
+    from pyspark.sql import functions as F
+
+    conf = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "8"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        df = spark.range(400).select((F.col("id") * 7 % 400).alias("id")).withColumn("v", F.array(F.col("id").cast("float"), (F.col("id") * 2).cast("float")))
+        arrays.write_bank(df, f"{tmp_path}/bank", "id", "v")
+        got = arrays.read_bank(spark, f"{tmp_path}/bank").collect()
+        assert len(got) == 400 and all(list(r["values"]) == [r.id, 2 * r.id] and r.row == r.id for r in got)
+        arrays.write_pack(df.withColumn("f", F.array("v", "v")), f"{tmp_path}/pack", "id", "f")
+        got = arrays.read_pack(spark, f"{tmp_path}/pack").collect()
+        assert len(got) == 400 and all([list(f) for f in r.frames] == [[r.id, 2 * r.id]] * 2 for r in got)
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)

@@ -34,12 +34,29 @@ def shuffled(x: Column, n: Column, key: Column) -> Column:
     Each round pairs every place with another one, x with (k - x) mod n, and swaps a pair or not by a bit that both share.
     """
 
-    def turn(x: Column, r: Column) -> Column:
-        other = (mixed(key + r * 7_919) % n - x + n) % n
-        bit = F.shiftright(mixed(F.greatest(x, other) % PRIME * 69_621 + key + r * 104_729), 7) % 2
-        return F.when(bit == 1, other).otherwise(x)
+    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), x.cast("long"), lambda x, r: swapped(x, partner(x, n, key, r), key, r))
 
-    return F.aggregate(F.sequence(F.lit(0).cast("long"), F.lit(ROUNDS - 1).cast("long")), x.cast("long"), turn)
+
+def partner(x: Column, n: Column, key: Column, r: Column | int) -> Column:
+    return (mixed(key + r * 7_919) % n - x + n) % n
+
+
+def swapped(x: Column, other: Column, key: Column, r: Column | int) -> Column:
+    bit = F.shiftright(mixed(F.greatest(x, other) % PRIME * 69_621 + key + r * 104_729), 7) % 2
+    return F.when(bit == 1, other).otherwise(x)
+
+
+def with_shuffled(df: DataFrame, name: str, x: Column, n: Column, key: Column) -> DataFrame:
+    """df with `name`, shuffled(x, n, key), for many rows: key and places are columns, a projection or two for each round.
+
+    An expression in a function of arrays is interpreted, and computed as often as it is named: the sha256 of the key eight times a
+    round. Here it is computed once, and the rounds are compiled. The rows are written once, since planning a join on top of so many
+    projections takes minutes.
+    """
+    df = df.withColumns({"_x": x.cast("long"), "_m": n.cast("long"), "_key": key})
+    for r in range(ROUNDS):
+        df = df.withColumn("_other", partner(F.col("_x"), F.col("_m"), F.col("_key"), r)).withColumn("_x", swapped(F.col("_x"), F.col("_other"), F.col("_key"), r))
+    return cut(df.withColumn(name, F.col("_x")).drop("_x", "_m", "_key", "_other"))
 
 
 @dataclass(frozen=True)
@@ -100,19 +117,18 @@ def batches(table: Balanced, batch_size: int, seed: int, epoch: int, first: int,
         n_base = table.sizes.get(0, 0)
         n = F.lit(sum(table.sizes.values())).cast("long")
         drawn = slots.select("batch", "slot", (F.col("batch") * batch_size + F.col("slot")).alias("_p"), n.alias("_n"), none.alias("_d"))
-        place = shuffled(F.col("_p") % F.col("_n"), F.col("_n"), key_of(seed, epoch, F.col("_d")))
-        drawn = drawn.withColumn("_at", place).select("batch", "slot", "_p", "_n", (F.col("_at") >= n_base).cast("int").alias("domain"), F.when(F.col("_at") >= n_base, F.col("_at") - n_base).otherwise(F.col("_at")).alias("at"))
+        drawn = with_shuffled(drawn, "_at", F.col("_p") % F.col("_n"), F.col("_n"), key_of(seed, epoch, F.col("_d"))).select("batch", "slot", "_p", "_n", (F.col("_at") >= n_base).cast("int").alias("domain"), F.when(F.col("_at") >= n_base, F.col("_at") - n_base).otherwise(F.col("_at")).alias("at"))
     else:
         inner = batch_size - outer
         from_outer = F.col("slot") >= inner
         p = F.when(from_outer, F.col("batch") * outer + F.col("slot") - inner).otherwise(F.col("batch") * inner + F.col("slot"))
         n = F.when(from_outer, F.lit(table.sizes[1])).otherwise(F.lit(table.sizes[0])).cast("long")
         drawn = slots.select("batch", "slot", p.alias("_p"), n.alias("_n"), from_outer.cast("int").alias("domain"))
-        drawn = drawn.withColumn("at", shuffled(F.col("_p") % F.col("_n"), F.col("_n"), key_of(seed, epoch, F.col("domain"))))
+        drawn = with_shuffled(drawn, "at", F.col("_p") % F.col("_n"), F.col("_n"), key_of(seed, epoch, F.col("domain")))
     visit = F.floor(F.col("_p") / F.col("_n"))
     drawn = drawn.withColumn("_visit", visit).join(table.owners, ["domain", "at"])
     turn = F.floor(F.col("_visit") / F.col("rows"))
-    drawn = drawn.withColumn("place", shuffled(F.col("_visit") % F.col("rows"), F.col("rows"), key_of(seed, epoch, F.col("domain") + 2, F.col("at"), turn)))
+    drawn = with_shuffled(drawn, "place", F.col("_visit") % F.col("rows"), F.col("rows"), key_of(seed, epoch, F.col("domain") + 2, F.col("at"), turn))
     low, high = crop
     seconds = F.round(low + (high - low) * key_of(seed, epoch, 5, F.col("batch")) / PRIME, 6)
     return drawn.join(table.rows, ["domain", "at", "place"]).select(F.lit(epoch).cast("long").alias("epoch"), "batch", "slot", F.col("domain").cast("long").alias("domain"), "owner", "key", seconds.alias("crop_seconds"), key_of(seed, epoch, F.col("batch"), F.col("slot")).alias("request_seed"))

@@ -95,3 +95,17 @@ def test_plan_reads_only_the_batches(spark):
     t, _ = table(spark, [3, 4])
     plan = batches.batches(t, 4, 5, 0, 100, 101)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "rangepartitioning" not in plan and "Python" not in plan
+
+
+def test_key_is_computed_once_for_a_row(spark):
+    """The rounds name the key as a column; the places are those of the interpreted function."""
+    df = spark.range(300).select("id", (F.col("id") % 7 + 40).alias("n"))
+    args = (F.col("id") % F.col("n"), F.col("n"), batches.key_of(7, 0, F.col("id") % 3))
+    seen, real = [], batches.cut
+    batches.cut = lambda d: (seen.append(d._jdf.queryExecution().optimizedPlan().toString()), real(d))[1]
+    try:
+        got = batches.with_shuffled(df, "at", *args).collect()
+    finally:
+        batches.cut = real
+    assert {r.id: r.at for r in got} == {r.id: r.at for r in df.select("id", batches.shuffled(*args).alias("at")).collect()}
+    assert seen[0].count("sha2(") == 1 and "lambda" not in seen[0]

@@ -71,3 +71,17 @@ def test_plan_of_a_pass(spark):
     finally:
         graph.cut = real
     assert len(seen) >= 3 and not any(x in p for p in seen for x in ("Python", "Pandas", "Arrow", "SinglePartition", "Window"))
+
+
+def test_rounds_are_bounded_by_blocks(spark):
+    """A path numbered in order, whose labels run along all of it in one pass: as many rounds as blocks and passes at most, not as rows."""
+    n = 60
+    edges = [(i, i - 1, 1, 1.0) for i in range(1, n)] + [(0, 1, 1, 0.5)]
+    nodes, e = spark.createDataFrame([(i,) for i in range(n)], "id long"), spark.createDataFrame(edges, "src long, dst long, rank int, weight double")
+    seen, real = [], graph.cut
+    graph.cut = lambda df: (seen.append(1), real(df))[1]
+    try:
+        got = {r.id: r.label for r in graph.label_propagation(nodes, e, 2, most_edges=20).collect()}
+    finally:
+        graph.cut = real
+    assert got == loop(list(range(n)), edges, 2) and len(seen) <= 3 + 3 * (3 + 2)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessera.functions import columns as c
-from tessera.operators import profile
+from tessera.operators import profile, vectors
 from tessera.operators.quantiles import quantile_columns, quantiles
 from tessera.plans.base import FILES, files, query, r6, read
 from tessera.sources import schema
@@ -290,7 +290,7 @@ def j9(spark, d):
 def j9_all(spark, d):
     s = read(spark, d, "supplier")
     a, b = s.where("s_suppkey % 10 = 0").select(F.col("s_suppkey").alias("enrol")), s.select(F.col("s_suppkey").alias("test"))
-    return a.join(b, F.col("enrol") != F.col("test"))
+    return vectors.in_blocks(a, b, "enrol", "test").where("enrol <> test")
 
 
 @query("j14_lookup", "SELECT s_suppkey, coalesce(n_name, 'none') AS nation FROM supplier LEFT JOIN nation ON s_nationkey = n_nationkey AND n_regionkey < 3")

@@ -2,7 +2,33 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pytest
+
 from tessera import plans
+from tessera.operators import reports
+
+
+def test_cohesion(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, 1 if i < 90 else 2 if i < 96 else 3 if i == 96 else None, [float(x) for x in rng.standard_normal(5) + 0.5]) for i in range(100)]
+    rows[4], rows[5], rows[7] = (4, 1, None), (5, 1, [0.0] * 5), (7, 1, [1.0, None, 0.0, 0.0, 0.0])
+    rows += [(200 + i, 4, [1.0, 2.0, 0.0, 0.0, 0.0]) for i in range(30)] + [(200, 4, [2.0, 1.0, 0.0, 0.0, 0.0])]
+    df = spark.createDataFrame(rows, "id long, label int, v array<double>").repartition(5)
+    got = {r.label: r for r in reports.cohesion(df, cells=64, block=16).collect()}
+    assert set(got) == {1, 2, 4}
+    for label, r in got.items():
+        own = [(i, None if v is None or None in v or not any(v) else np.array(v) / np.linalg.norm(v)) for i, at, v in rows if at == label]
+        pairs = [None if x is None or y is None else float(x @ y) for i, x in own for j, y in own if i < j]
+        known = np.array([s for s in pairs if s is not None])
+        assert r.pairs == len(pairs)
+        assert [r["mean"], r.deviation, r.least, r.p10] == pytest.approx([known.mean(), known.std(), known.min(), np.quantile(known, 0.1)], abs=1e-9)
+
+
+def test_cohesion_of_unknown_scores(spark):
+    df = spark.createDataFrame([(1, 1, [0.0]), (2, 1, [1.0])], "id long, label int, v array<double>")
+    assert [tuple(r) for r in reports.cohesion(df).collect()] == [(1, 1, None, None, None, None)]
+    assert reports.cohesion(df.where("id = 1")).count() == 0
 
 
 def test_enrolments_in_blocks(spark, tmp_path):

@@ -31,6 +31,20 @@ def test_cohesion_of_unknown_scores(spark):
     assert reports.cohesion(df.where("id = 1")).count() == 0
 
 
+def test_unordered_pairs_in_blocks(spark):
+    rows = [(1 if i < 60 else i % 3 + 2 if i < 70 else None, i) for i in range(75)] + [(1, 5), (1, None)]
+    found = reports.unordered_pairs(spark.createDataFrame(rows, "owner int, k long"), "owner", "k", block=8)
+    known = [(o, k) for o, k in rows if o is not None and k is not None]
+    assert sorted(map(tuple, found.collect())) == sorted((o, j, k) for o, j in known for p, k in known if o == p and j < k)
+
+
+def test_pairs_are_dealt(spark):
+    """Few bytes, many pairs: one task had them all."""
+    rows = spark.range(4000).selectExpr("id as k", "1 as owner", "'none' as role")
+    found = reports.unordered_pairs(rows, "owner", "k")
+    assert found.rdd.getNumPartitions() >= 4 and found.count() == 4000 * 3999 // 2
+
+
 def test_enrolments_in_blocks(spark, tmp_path):
     spark.range(9000).selectExpr("id as s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
     found = plans.QUERIES["j9_enrol_test_all"](spark, str(tmp_path))

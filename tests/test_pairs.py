@@ -38,11 +38,20 @@ def test_unordered_pairs_in_blocks(spark):
     assert sorted(map(tuple, found.collect())) == sorted((o, j, k) for o, j in known for p, k in known if o == p and j < k)
 
 
+def test_pair_trials_in_blocks(spark):
+    rows = [(i, None if i == 3 else i % 4, "none") for i in range(50)]
+    found = reports.role_trials(spark.createDataFrame(rows, "k long, s int, role string"), "k", "s", "role", 8)
+    speaker = {k: s for k, s, _ in rows}
+    want = {(a, b): None if None in (speaker[a], speaker[b]) else int(speaker[a] == speaker[b]) for a in speaker for b in speaker if a < b}
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(want) and {(a, b): same for a, b, same in got} == want
+
+
 def test_pairs_are_dealt(spark):
     """Few bytes, many pairs: one task had them all."""
     rows = spark.range(4000).selectExpr("id as k", "1 as owner", "'none' as role")
-    found = reports.unordered_pairs(rows, "owner", "k")
-    assert found.rdd.getNumPartitions() >= 4 and found.count() == 4000 * 3999 // 2
+    for found in (reports.unordered_pairs(rows, "owner", "k"), reports.role_trials(rows, "k", "owner", "role", 256)):
+        assert found.rdd.getNumPartitions() >= 4 and found.count() == 4000 * 3999 // 2
 
 
 def test_enrolments_in_blocks(spark, tmp_path):

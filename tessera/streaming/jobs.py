@@ -73,6 +73,21 @@ def recurrent_activity(frames: DataFrame, share: int = 10, threshold: int = 500)
     return whole.groupBy("utt").applyInPandasWithState(step, "utt string, at long, level long, speech boolean", "level long", "append", "NoTimeout")
 
 
+def window_scores(x: np.ndarray, new: int, window: int) -> np.ndarray:
+    """The last `new` rows of x less the mean, over the deviation, of the last `window` rows up to each; 1,024 rows at a time."""
+    known, out = len(x) - new, []
+    padded = np.concatenate([np.zeros((window - 1, x.shape[1])), x])  # row i of x is the last of the window that begins at i
+    for at in range(known, len(x), 1024):
+        end = np.arange(at, min(at + 1024, len(x)))
+        rows = padded[end[:, None] + np.arange(window)]
+        n = np.minimum(end + 1, window)[:, None]
+        there = (np.arange(window) >= window - n)[:, :, None]
+        mean = rows.sum(axis=1) / n
+        variance = (np.where(there, rows - mean[:, None], 0.0) ** 2).sum(axis=1) / n
+        out.append((x[end] - mean) / np.sqrt(np.maximum(variance, 1e-10)))
+    return np.concatenate(out)
+
+
 def sliding_normalised(frames: DataFrame, window: int) -> DataFrame:
     """frames(utt, at, values array<double>) less the mean, over the deviation, of the last `window` frames: a stream's state is these frames.
 
@@ -82,12 +97,9 @@ def sliding_normalised(frames: DataFrame, window: int) -> DataFrame:
     def step(key: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
         held = [list(v) for v in state.get[0]] if state.exists else []
         batch = pd.concat(list(batches)).sort_values("at")
-        out = []
-        for v in batch["values"]:
-            held = (held + [list(map(float, v))])[-window:]
-            x = np.array(held)
-            out.append(((x[-1] - x.mean(axis=0)) / np.sqrt(np.maximum(x.var(axis=0), 1e-10))).tolist())
-        state.update((held,))
+        new = [list(map(float, v)) for v in batch["values"]]
+        out = window_scores(np.array((held[-(window - 1) :] if window > 1 else []) + new, float), len(new), window).tolist()
+        state.update(((held + new)[-window:],))
         yield pd.DataFrame({"utt": key[0], "at": batch["at"].to_numpy(), "values": out})
 
     return frames.groupBy("utt").applyInPandasWithState(step, "utt string, at long, values array<double>", "held array<array<double>>", "append", "NoTimeout")

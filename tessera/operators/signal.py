@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -70,15 +72,24 @@ def noisy(samples: Column, seed: Column, amplitude: float) -> Column:
     return F.transform(samples, lambda x, i: x + amplitude * (((seed * 7919 + i * 104729 + 13) % 1000) / 500.0 - 1))
 
 
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once for a row, wherever and however often body names it: an expression in a lambda is computed anew for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def mean_row(rows: Column) -> Column:
+    """The mean of equally long arrays, element by element."""
+    total = lambda r: F.aggregate(F.slice(r, 2, F.greatest(F.size(r) - 1, F.lit(0))), F.element_at(r, 1), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
+    return once(rows, lambda r: F.transform(total(r), lambda x: x / F.size(r)))
+
+
 def downmixed(channels: Column) -> Column:
     """The mean of equally long channels."""
-    total = F.aggregate(F.slice(channels, 2, F.greatest(F.size(channels) - 1, F.lit(0))), F.element_at(channels, 1), lambda a, x: F.zip_with(a, x, lambda p, q: p + q))
-    return F.transform(total, lambda x: x / F.size(channels))
+    return mean_row(channels)
 
 
 def loaded(channels: Column, start: int, length: int, target: float, most: float) -> Column:
     """Window, downmix, and bounded gain: what a loader hands on."""
-    once = lambda value, body: F.element_at(F.transform(F.array(value), body), 1)  # noqa: E731  the value is computed once
 
     def gained(mono: Column) -> Column:
         level = loudness(mono)
@@ -90,9 +101,7 @@ def loaded(channels: Column, start: int, length: int, target: float, most: float
 
 def mean_normalised(frames: Column) -> Column:
     """Frames (an array of arrays) less the mean frame of the utterance."""
-    n = F.size(frames)
-    mean = F.transform(F.aggregate(F.slice(frames, 2, F.greatest(n - 1, F.lit(0))), F.element_at(frames, 1), lambda a, x: F.zip_with(a, x, lambda p, q: p + q)), lambda x: x / n)
-    return F.element_at(F.transform(F.array(mean), lambda m: F.transform(frames, lambda f: F.zip_with(f, m, lambda x, y: x - y))), 1)
+    return once(frames, lambda f: once(mean_row(f), lambda m: F.transform(f, lambda v: F.zip_with(v, m, lambda x, y: x - y))))
 
 
 @F.pandas_udf(ArrayType(DoubleType()))

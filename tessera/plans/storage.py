@@ -324,7 +324,7 @@ def q8(spark, d):
 
 @query("q9_mean_normalised", f"WITH {SIG}, f AS (SELECT doc_id, i, x[2 * i + 1] AS a, x[2 * i + 2] AS b FROM g, (SELECT unnest(range(0, 100)) AS i)) SELECT doc_id, count(*) AS frames, round(max(a - m), 6) AS most_a, round(min(b - n), 6) AS least_b FROM (SELECT *, avg(a) OVER (PARTITION BY doc_id) AS m, avg(b) OVER (PARTITION BY doc_id) AS n FROM f) GROUP BY 1")
 def q9(spark, d):
-    frames = F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.slice("x", 2 * i + 1, 2))
+    frames = signal.once(F.col("x"), lambda x: F.transform(F.sequence(F.lit(0), F.lit(99)), lambda i: F.slice(x, 2 * i + 1, 2)))
     f = signals(spark, d).select("doc_id", signal.mean_normalised(frames).alias("f"))
     return f.select("doc_id", F.size("f").cast("long").alias("frames"), F.round(F.array_max(F.transform("f", lambda v: v[0])), 6).alias("most_a"), F.round(F.array_min(F.transform("f", lambda v: v[1])), 6).alias("least_b"))
 

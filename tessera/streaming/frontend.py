@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 from typing import Any
 
 import numpy as np
@@ -25,72 +26,91 @@ class InOrder(StatefulProcessor):
 
     A signal ends with its chunk marked `last`, or, where `idle_ms` is set, when nothing has come for that long; its state is then
     cleared. Chunks after the end begin a new signal of that name.
+
+    Each access to the state is a message between two processes and costs far more than what it carries. So a signal has one value with
+    all that `advance` remembers (the columns `MEMORY`), and early chunks wait in pages of `PAGE` consecutive numbers, which the value lists.
     """
 
+    MEMORY, PAGE = "", 16
+
     def __init__(self, idle_ms: int | None = None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.place = handle.getValueState("place", "next long, at long")
-        self.early = handle.getMapState("early", "seq long", "samples array<double>, last boolean, extra double")
-        self.open(handle)
+        self.signal = handle.getValueState("signal", f"next long, at long, pages array<long>, {self.MEMORY}")
+        self.early = handle.getMapState("early", "page long", "seq array<long>, samples array<array<double>>, last array<boolean>, extra array<double>")
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        raise NotImplementedError
-
-    def advance(self, key: str, at: int, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[int, list[dict]]:
-        """Takes the next chunks (samples, extra) and gives the number of rows so far and new rows."""
-        raise NotImplementedError
-
-    def drop(self) -> None:
+    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, pd.DataFrame]:
+        """Takes the next chunks (samples, extra) after `at` rows, and gives what to remember (None before any chunk) and the new rows."""
         raise NotImplementedError
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
-        following, at = self.place.get() if self.place.exists() else (0, 0)
+        known = self.signal.get()
+        following, at, pages, memory = (known[0], known[1], set(known[2]), tuple(known[3:])) if known else (0, 0, set(), None)
         waiting: dict[int, tuple] = {}
         for frame in rows:
             extra = frame["extra"] if "extra" in frame else [0.0] * len(frame)
             for seq, samples, last, more in zip(frame["seq"], frame["samples"], frame["last"], extra, strict=True):
                 if seq >= following:
                     waiting[int(seq)] = (array(samples), bool(last), float(more))
-        ready, ended = [], False
+        ready, ended, read, changed = [], False, {}, set()
         while not ended:
-            if following in waiting:
-                samples, ended, more = waiting.pop(following)
-            elif self.early.containsKey((following,)):
-                samples, ended, more = self.early.getValue((following,))
-                self.early.removeKey((following,))
-            else:
+            if following not in waiting and following not in self._page(following // self.PAGE, pages, read):
                 break
+            changed |= {following // self.PAGE} & pages
+            early = read.get(following // self.PAGE, {}).pop(following, None)
+            samples, ended, more = waiting.pop(following, early)
             ready.append((array(samples), float(more)))
             following += 1
-        for seq, (samples, last, more) in waiting.items():
-            self.early.updateValue((seq,), (samples.tolist(), last, more))
         if ready:
-            at, out = self.advance(key[0], at, ready, ended)
-            if out:
-                yield pd.DataFrame(out)
+            memory, out = self.advance(key[0], at, memory, ready, ended)
+            at += len(out)
+            if len(out):
+                yield out
         if ended:
-            self._forget()
+            self._forget(known)
             return
-        self.place.update((following, at))
+        for seq, chunk in waiting.items():
+            self._page(seq // self.PAGE, pages, read)[seq] = chunk
+            changed.add(seq // self.PAGE)
+        for page in changed:
+            left = {seq: chunk for seq, chunk in self._page(page, pages, read).items() if seq >= following}
+            if left:
+                samples, last, more = zip(*left.values(), strict=True)
+                self.early.updateValue((page,), (list(left), [array(x).tolist() for x in samples], list(last), list(more)))
+                pages.add(page)
+            elif page in pages:
+                self.early.removeKey((page,))
+                pages.remove(page)
+        if ready or changed or not known:
+            self.signal.update((following, at, sorted(pages), *(memory or [None] * len(self.MEMORY.split(", ")))))
         if self.idle_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t if isinstance(t, int) else t[0])
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
-        at = self.place.get()[1] if self.place.exists() else 0
-        _, out = self.advance(key[0], at, [], True)
-        self._forget()
-        if out:
-            yield pd.DataFrame(out)
-
-    def _forget(self) -> None:
-        self.place.clear()
-        self.early.clear()
-        self.drop()
+        known = self.signal.get()
+        _, out = self.advance(key[0], known[1] if known else 0, tuple(known[3:]) if known else None, [], True)
+        self._forget(known)
+        if len(out):
+            yield out
+
+    def _page(self, page: int, pages: set[int], read: dict[int, dict]) -> dict[int, tuple]:
+        """The chunks that wait in a page, fetched once."""
+        if page not in read:
+            read[page] = {}
+            if page in pages:
+                seq, *chunks = self.early.getValue((page,))
+                read[page] = dict(zip(seq, zip(*chunks, strict=True), strict=True))
+        return read[page]
+
+    def _forget(self, known: tuple | None) -> None:
+        if known:
+            self.signal.clear()
+            if known[2]:
+                self.early.clear()
 
     def close(self) -> None:
         pass
@@ -103,26 +123,19 @@ class OnlineBank(InOrder):
         super().__init__(idle_ms)
         self.bank, self.normalise = bank, normalise
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.rest = handle.getValueState("rest", "samples array<double>")
-        self.held = handle.getListState("held", "values array<double>")
+    MEMORY = "rest array<double>, held array<array<double>>"
 
-    def advance(self, key: str, at: int, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[int, list[dict]]:
-        x = np.concatenate([array(self.rest.get()[0]) if self.rest.exists() else np.zeros(0), *(c for c, _ in chunks)])
+    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, pd.DataFrame]:
+        rest, held = memory or (None, None)
+        x = np.concatenate([array(rest), *(c for c, _ in chunks)])
         frames, rest = self.bank.frames(x, False)
         if ended and (len(rest) or at + len(frames)):
             frames = np.concatenate([frames, self.bank.flushed(rest, at + len(frames))])
         out = self.bank.energies(frames)
         if self.normalise and len(out):
-            held = np.array([array(v[0]) for v in self.held.get()]).reshape(-1, self.bank.bands) if self.held.exists() else out[:0]
-            out, held = sliding_normalised(out, held, self.normalise)
-            self.held.put([(v.tolist(),) for v in held]) if len(held) else self.held.clear()
-        self.rest.update((rest.tolist(),))
-        return at + len(out), [{"utt": key, "frame": at + i, "values": v.tolist()} for i, v in enumerate(out)]
-
-    def drop(self) -> None:
-        self.rest.clear()
-        self.held.clear()
+            out, kept = sliding_normalised(out, array(held).reshape(-1, self.bank.bands), self.normalise)
+            held = kept.tolist()
+        return (rest.tolist(), held), pd.DataFrame({"utt": key, "frame": np.arange(at, at + len(out)), "values": list(out)})
 
 
 def online_bank(chunks: DataFrame, bank: FilterBank, normalise: int = 0, idle_ms: int | None = None) -> DataFrame:
@@ -146,43 +159,41 @@ class Activity(InOrder):
         super().__init__(idle_ms)
         self.decays, self.margin, self.slope, self.widths = np.array(decays), margin, slope, widths or self.WIDTHS
 
-    def open(self, handle: StatefulProcessorHandle) -> None:
-        self.memory = handle.getValueState("memory", "hidden array<double>, context array<double>, rest array<double>, rate long")
+    MEMORY = "hidden array<double>, context array<double>, rest array<double>, rate long"
 
     def windows(self, x: np.ndarray, hidden: np.ndarray | None, context: np.ndarray, rate: int) -> tuple[list[float], np.ndarray | None, np.ndarray, np.ndarray]:
         """Probabilities of the whole windows of x, and hidden vector, context and left-over samples after them."""
         width, before = self.widths[rate]
-        out = []
         whole = len(x) // width
         joined = np.concatenate([context, x])
-        for i in range(whole):
-            part = joined[i * width : i * width + before + width]
-            level = 10 * np.log10(max(float(np.mean(part**2)), 1e-10))
-            hidden = np.full(len(self.decays), level) if hidden is None else self.decays * hidden + (1 - self.decays) * level
-            out.append(float(1 / (1 + np.exp(-self.slope * (hidden[0] - hidden[-1] - self.margin)))))
-        return out, hidden, joined[whole * width : whole * width + before], x[whole * width :]
-
-    def advance(self, key: str, at: int, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[int, list[dict]]:
-        hidden, context, rest, rate = self.memory.get() if self.memory.exists() else (None, None, None, 0)
+        rest = joined[whole * width : whole * width + before], x[whole * width :]
+        if not whole:
+            return [], hidden, *rest
+        parts = np.lib.stride_tricks.sliding_window_view(joined, before + width)[: whole * width : width]
+        levels = 10 * np.log10(np.maximum(np.mean(parts**2, axis=1), 1e-10))
+        means = np.empty((whole, len(self.decays)))
+        for i, level in enumerate(levels):
+            hidden = means[i] = np.full(len(self.decays), level) if hidden is None else self.decays * hidden + (1 - self.decays) * level
+        return (1 / (1 + np.exp(-self.slope * (means[:, 0] - means[:, -1] - self.margin)))).tolist(), hidden, *rest
+
+    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, pd.DataFrame]:
+        hidden, context, rest, rate = memory if memory and memory[3] else (None, None, None, 0)
         hidden = None if hidden is None else array(hidden)
         context, rest, out = array(context), array(rest), []
-        for samples, chunk_rate in chunks:
-            if int(chunk_rate) != rate:
-                rate, hidden, rest = int(chunk_rate), None, np.zeros(0)
+        alike = [list(g) for _, g in groupby(chunks, lambda c: int(c[1]))]
+        for run in alike:
+            if int(run[0][1]) != rate:
+                rate, hidden, rest = int(run[0][1]), None, np.zeros(0)
                 if rate not in self.widths:
                     raise ValueError(f"no window for rate {rate}")
                 context = np.zeros(self.widths[rate][1])
-            found, hidden, context, rest = self.windows(np.concatenate([rest, samples]), hidden, context, rate)
+            found, hidden, context, rest = self.windows(np.concatenate([rest, *(x for x, _ in run)]), hidden, context, rate)
             out += found
         if ended and len(rest):
             found, hidden, context, rest = self.windows(np.concatenate([rest, np.zeros(-len(rest) % self.widths[rate][0])]), hidden, context, rate)
             out += found
-        if rate:
-            self.memory.update((None if hidden is None else hidden.tolist(), context.tolist(), rest.tolist(), rate))
-        return at + len(out), [{"utt": key, "window": at + i, "probability": p} for i, p in enumerate(out)]
-
-    def drop(self) -> None:
-        self.memory.clear()
+        memory = (None if hidden is None else hidden.tolist(), context.tolist(), rest.tolist(), rate) if rate else None
+        return memory, pd.DataFrame({"utt": key, "window": np.arange(at, at + len(out)), "probability": np.array(out, float)})
 
 
 def online_activity(chunks: DataFrame, idle_ms: int | None = None, **kw) -> DataFrame:

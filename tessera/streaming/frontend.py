@@ -7,8 +7,7 @@ from itertools import groupby
 from typing import Any
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from tessera.operators.filterbank import FilterBank, sliding_normalised
@@ -28,33 +27,34 @@ class InOrder(StatefulProcessor):
     cleared. Chunks after the end begin a new signal of that name.
 
     Each access to the state is a message between two processes and costs far more than what it carries. So a signal has one value with
-    all that `advance` remembers (the columns `MEMORY`), and early chunks wait in pages of `PAGE` consecutive numbers, which the value lists.
+    all that `advance` remembers (the columns `MEMORY`), and early chunks wait in pages of `PAGE` consecutive numbers: the page of the next
+    chunk in the value itself, later ones, which the value lists, in the map.
     """
 
     MEMORY, PAGE = "", 16
+    CHUNKS = "seq array<long>, samples array<array<double>>, last array<boolean>, extra array<double>"
 
     def __init__(self, idle_ms: int | None = None):
         self.idle_ms = idle_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.signal = handle.getValueState("signal", f"next long, at long, pages array<long>, {self.MEMORY}")
-        self.early = handle.getMapState("early", "page long", "seq array<long>, samples array<array<double>>, last array<boolean>, extra array<double>")
+        self.signal = handle.getValueState("signal", f"next long, at long, pages array<long>, {self.CHUNKS}, {self.MEMORY}")
+        self.early = handle.getMapState("early", "page long", self.CHUNKS)
 
-    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, pd.DataFrame]:
+    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, list[Row]]:
         """Takes the next chunks (samples, extra) after `at` rows, and gives what to remember (None before any chunk) and the new rows."""
         raise NotImplementedError
 
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: Any) -> Iterator[Row]:
         known = self.signal.get()
-        following, at, pages, memory = (known[0], known[1], set(known[2]), tuple(known[3:])) if known else (0, 0, set(), None)
+        following, at, pages, memory = (known[0], known[1], set(known[2]), tuple(known[7:])) if known else (0, 0, set(), None)
+        read = {following // self.PAGE: self._chunks(*known[3:7]) if known else {}}
         waiting: dict[int, tuple] = {}
-        for frame in rows:
-            extra = frame["extra"] if "extra" in frame else [0.0] * len(frame)
-            for seq, samples, last, more in zip(frame["seq"], frame["samples"], frame["last"], extra, strict=True):
-                if seq >= following:
-                    waiting[int(seq)] = (array(samples), bool(last), float(more))
-        ready, ended, read, changed = [], False, {}, set()
+        for row in rows:
+            if row.seq >= following:
+                waiting[row.seq] = (array(row.samples), bool(row.last), float(row.extra if "extra" in row else 0.0))
+        ready, ended, changed = [], False, set()
         while not ended:
             if following not in waiting and following not in self._page(following // self.PAGE, pages, read):
                 break
@@ -66,46 +66,53 @@ class InOrder(StatefulProcessor):
         if ready:
             memory, out = self.advance(key[0], at, memory, ready, ended)
             at += len(out)
-            if len(out):
-                yield out
+            yield from out
         if ended:
             self._forget(known)
             return
         for seq, chunk in waiting.items():
             self._page(seq // self.PAGE, pages, read)[seq] = chunk
             changed.add(seq // self.PAGE)
-        for page in changed:
+        here = following // self.PAGE
+        for page in changed - {here}:
             left = {seq: chunk for seq, chunk in self._page(page, pages, read).items() if seq >= following}
             if left:
-                samples, last, more = zip(*left.values(), strict=True)
-                self.early.updateValue((page,), (list(left), [array(x).tolist() for x in samples], list(last), list(more)))
+                self.early.updateValue((page,), self._columns(left))
                 pages.add(page)
             elif page in pages:
                 self.early.removeKey((page,))
                 pages.remove(page)
+        left = {seq: chunk for seq, chunk in self._page(here, pages, read).items() if seq >= following}
+        if here in pages:
+            self.early.removeKey((here,))
+            pages.remove(here)
         if ready or changed or not known:
-            self.signal.update((following, at, sorted(pages), *(memory or [None] * len(self.MEMORY.split(", ")))))
+            self.signal.update((following, at, sorted(pages), *self._columns(left), *(memory or [None] * len(self.MEMORY.split(", ")))))
         if self.idle_ms is not None:
             for t in list(self.handle.listTimers()):
                 self.handle.deleteTimer(t if isinstance(t, int) else t[0])
             self.handle.registerTimer(timerValues.getCurrentProcessingTimeInMs() + self.idle_ms)
 
-    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[Row]:
         known = self.signal.get()
-        _, out = self.advance(key[0], known[1] if known else 0, tuple(known[3:]) if known else None, [], True)
+        _, out = self.advance(key[0], known[1] if known else 0, tuple(known[7:]) if known else None, [], True)
         self._forget(known)
-        if len(out):
-            yield out
+        yield from out
 
     def _page(self, page: int, pages: set[int], read: dict[int, dict]) -> dict[int, tuple]:
         """The chunks that wait in a page, fetched once."""
         if page not in read:
-            read[page] = {}
-            if page in pages:
-                seq, *chunks = self.early.getValue((page,))
-                read[page] = dict(zip(seq, zip(*chunks, strict=True), strict=True))
+            read[page] = self._chunks(*self.early.getValue((page,))) if page in pages else {}
         return read[page]
 
+    @staticmethod
+    def _chunks(seq: list[int], *columns: list) -> dict[int, tuple]:
+        return dict(zip(seq, zip(*columns, strict=True), strict=True))
+
+    @staticmethod
+    def _columns(chunks: dict[int, tuple]) -> tuple[list, ...]:
+        return list(chunks), [array(x).tolist() for x, _, _ in chunks.values()], [last for _, last, _ in chunks.values()], [more for _, _, more in chunks.values()]
+
     def _forget(self, known: tuple | None) -> None:
         if known:
             self.signal.clear()
@@ -125,7 +132,7 @@ class OnlineBank(InOrder):
 
     MEMORY = "rest array<double>, held array<array<double>>"
 
-    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, pd.DataFrame]:
+    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, list[Row]]:
         rest, held = memory or (None, None)
         x = np.concatenate([array(rest), *(c for c, _ in chunks)])
         frames, rest = self.bank.frames(x, False)
@@ -135,7 +142,7 @@ class OnlineBank(InOrder):
         if self.normalise and len(out):
             out, kept = sliding_normalised(out, array(held).reshape(-1, self.bank.bands), self.normalise)
             held = kept.tolist()
-        return (rest.tolist(), held), pd.DataFrame({"utt": key, "frame": np.arange(at, at + len(out)), "values": list(out)})
+        return (rest.tolist(), held), [Row(utt=key, frame=at + i, values=v) for i, v in enumerate(out.tolist())]
 
 
 def online_bank(chunks: DataFrame, bank: FilterBank, normalise: int = 0, idle_ms: int | None = None) -> DataFrame:
@@ -143,7 +150,7 @@ def online_bank(chunks: DataFrame, bank: FilterBank, normalise: int = 0, idle_ms
 
     Memory for a signal is its left-over samples (less than a frame), normalise - 1 frames and the chunks that came early.
     """
-    return chunks.groupBy("utt").transformWithStateInPandas(OnlineBank(bank, normalise, idle_ms), "utt string, frame long, values array<double>", "Append", "None" if idle_ms is None else "ProcessingTime")
+    return chunks.groupBy("utt").transformWithState(OnlineBank(bank, normalise, idle_ms), "utt string, frame long, values array<double>", "Append", "None" if idle_ms is None else "ProcessingTime")
 
 
 class Activity(InOrder):
@@ -176,7 +183,7 @@ class Activity(InOrder):
             hidden = means[i] = np.full(len(self.decays), level) if hidden is None else self.decays * hidden + (1 - self.decays) * level
         return (1 / (1 + np.exp(-self.slope * (means[:, 0] - means[:, -1] - self.margin)))).tolist(), hidden, *rest
 
-    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, pd.DataFrame]:
+    def advance(self, key: str, at: int, memory: tuple | None, chunks: list[tuple[np.ndarray, float]], ended: bool) -> tuple[tuple | None, list[Row]]:
         hidden, context, rest, rate = memory if memory and memory[3] else (None, None, None, 0)
         hidden = None if hidden is None else array(hidden)
         context, rest, out = array(context), array(rest), []
@@ -193,9 +200,9 @@ class Activity(InOrder):
             found, hidden, context, rest = self.windows(np.concatenate([rest, np.zeros(-len(rest) % self.widths[rate][0])]), hidden, context, rate)
             out += found
         memory = (None if hidden is None else hidden.tolist(), context.tolist(), rest.tolist(), rate) if rate else None
-        return memory, pd.DataFrame({"utt": key, "window": np.arange(at, at + len(out)), "probability": np.array(out, float)})
+        return memory, [Row(utt=key, window=at + i, probability=p) for i, p in enumerate(out)]
 
 
 def online_activity(chunks: DataFrame, idle_ms: int | None = None, **kw) -> DataFrame:
     """(utt, window, probability) of a stream of CHUNK rows with the rate in `extra`: the same windows whatever the cut and the order of chunks."""
-    return chunks.groupBy("utt").transformWithStateInPandas(Activity(idle_ms=idle_ms, **kw), "utt string, window long, probability double", "Append", "None" if idle_ms is None else "ProcessingTime")
+    return chunks.groupBy("utt").transformWithState(Activity(idle_ms=idle_ms, **kw), "utt string, window long, probability double", "Append", "None" if idle_ms is None else "ProcessingTime")

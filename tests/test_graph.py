@@ -85,3 +85,17 @@ def test_rounds_are_bounded_by_blocks(spark):
     finally:
         graph.cut = real
     assert got == loop(list(range(n)), edges, 2) and len(seen) <= 3 + 3 * (3 + 2)
+
+
+def test_rounds_write_no_tables(spark):
+    """Twelve blocks whose labels run through all of them: a round is one job over the blocks' partitions, however many rounds there are."""
+    n = 60
+    edges = [(i, i - 1, 1, 1.0) for i in range(1, n)] + [(0, 1, 1, 0.5)] + [(i, (i * 7 + 3) % n, 2, 0.75) for i in range(n) if (i * 7 + 3) % n != i]
+    nodes, e = spark.createDataFrame([(i,) for i in range(n)], "id long"), spark.createDataFrame(edges, "src long, dst long, rank int, weight double")
+    seen, real = [], graph.cut
+    graph.cut = lambda df: (seen.append(1), real(df))[1]
+    try:
+        got = {r.id: r.label for r in graph.label_propagation(nodes, e, 3, 0.5, most_edges=10).collect()}
+    finally:
+        graph.cut = real
+    assert got == loop(list(range(n)), edges, 3, 0.5) and len(seen) <= 5

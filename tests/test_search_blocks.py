@@ -47,3 +47,19 @@ def test_scores_hold_the_gallery_once(spark):
     assert found.rdd.getNumPartitions() == 1 and found.count() == 45 * 89
     got = {(r.left_id, r.right_id): r.score for r in found.collect()}
     assert all(abs(z - e[a // 3] @ e[b // 3]) < 1e-9 for (a, b), z in got.items())
+
+
+def test_pairs_shuffle_a_row_65_times_at_most(spark):
+    """Blocks grow with an owner: by blocks of 4, each of 2,000 rows was shuffled 501 times."""
+    from tessera.operators import skew
+
+    rows = spark.range(2000).selectExpr("id as k", "'a' as owner")
+    for owner in (None, "owner"):
+        seen = []
+        real, skew.within_blocks = skew.within_blocks, lambda *a: seen.append(real(*a)) or seen[-1]
+        try:
+            found = skew.unordered(rows, owner, "k", 4)
+        finally:
+            skew.within_blocks = real
+        dealt = seen[0][0]
+        assert dealt.count() <= 64 * 2000 and found.selectExpr("count(distinct left, right)", "count(*)", "count_if(left >= right)").first()[:] == (1999000, 1999000, 0)
